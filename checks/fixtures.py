@@ -74,9 +74,12 @@ class Fixtures:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = tune(spark)
         self.sf_dir = sf_dir
+        self._given: dict[str, DataFrame] = {}
 
     def given(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name not in self._given:
+            self._given[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._given[name]
 
     def raw(self, name: str) -> DataFrame:
         text, tables = RAW_TABLES[name]
@@ -125,9 +128,12 @@ class Fixtures:
     def clean_relationships(self) -> DataFrame:
         return pair_per_patent(self.clean_patent_inventor, self.clean_patent_company)
 
+    raw_patent_inventor = None
+    raw_patent_assignee = None
+
     @cached_property
     def star(self) -> star.Star:
-        return star.star_of(self.raw_patent, self.raw_inventor, self.raw_assignee, self.raw_location)
+        return star.RawStar(self)
 
     @cached_property
     def target_tables(self) -> dict[str, DataFrame]:

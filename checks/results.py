@@ -62,15 +62,14 @@ def _(fx: Fixtures):
 def _(fx: Fixtures):
     s = fx.star
     return star.load_relationships(
-        fx.clean_patent_inventor, fx.clean_patent_company, s.patents, s.inventors, s.companies
+        fx.clean_patent_inventor, fx.clean_patent_company, s.inventors, s.companies, s.patents
     )
 
 
 @check("build_star", "SELECT patent_id, title, year, filing_date FROM patents")
 def _(fx: Fixtures):
-    root = fx.scratch("star")
-    star.build_star(fx.raw_patent, fx.raw_inventor, fx.raw_assignee, fx.raw_location, root)
-    return star.read_star(fx.spark, root).patents.select("patent_id", "title", "year", "filing_date")
+    stored = star.build_star(fx.spark, fx, fx.scratch("star"))
+    return stored.patents.select("patent_id", "title", "year", "filing_date")
 
 
 @check(

@@ -25,8 +25,15 @@ _CASED = r"\p{Lu}\p{Ll}\p{Lt}"
 
 
 def strip(c: Column) -> Column:
-    """Remove white space of every kind from both ends."""
-    return F.btrim(c, F.lit(WHITESPACE))
+    """Remove white space of every kind from both ends.
+
+    Trimming by a set of characters is slow and only done for texts with more
+    than plain spaces around them.
+    """
+    plain = F.trim(c)
+    others = [ch for ch in WHITESPACE if ch != " "]
+    rest = F.substring(plain, 1, 1).isin(*others) | F.substring(plain, -1, 1).isin(*others)
+    return F.when(rest, F.btrim(c, F.lit(WHITESPACE))).otherwise(plain)
 
 
 def strip_or_empty(c: Column) -> Column:
@@ -46,7 +53,7 @@ def title_case(c: Column) -> Column:
     """Capitalise the first letter after every character that has no case."""
     runs = F.regexp_extract_all(F.lower(c), F.lit(f"([{_CASED}]+|[^{_CASED}]+)"), F.lit(1))
     return F.array_join(
-        F.transform(runs, lambda run: F.concat(F.upper(F.left(run, F.lit(1))), F.substr(run, F.lit(2)))), ""
+        F.transform(runs, lambda run: F.concat(F.upper(F.substring(run, 1, 1)), F.substr(run, F.lit(2)))), ""
     )
 
 
@@ -55,7 +62,10 @@ def is_two_letters(c: Column) -> Column:
 
 
 def full_name(first: Column, last: Column) -> Column:
-    return strip(F.concat_ws(" ", strip_or_empty(first), strip_or_empty(last)))
+    def part(c: Column) -> Column:
+        return F.nullif(strip(c), F.lit(""))
+
+    return F.concat_ws(" ", part(first), part(last))
 
 
 def label(name: Column, country: Column) -> Column:

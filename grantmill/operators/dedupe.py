@@ -4,21 +4,34 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def keep_first(df: DataFrame, key: str, order: Sequence[str] = ()) -> DataFrame:
-    """The first row of every key, by ``order`` and then by the other columns as listed.
+def keep_first(
+    df: DataFrame, key: str, order: Sequence[str] = (), where: Column | None = None, by_column: bool = False
+) -> DataFrame:
+    """The first row of every key, by ``order`` and then by the other columns as listed; nulls come first.
 
     A minimum is combined before the shuffle, so a key that holds a third of
-    all rows still sends one row per task. Each column comes from the minimum
-    over the columns up to it: all of them belong to the same first row, and
-    the optimizer drops the wide columns a caller does not read. List narrow
-    columns first.
+    all rows still sends one row per task. ``where`` limits the rows that may be
+    first; unlike a filter below it, it does not compute a derived column twice.
+
+    With ``by_column`` each column is taken from the minimum over the columns up
+    to it. All of them still belong to the same first row, but the optimizer
+    can drop the columns a caller does not read: order wide texts last.
     """
     ranked = [*order, *[c for c in df.columns if c != key and c not in order]]
-    firsts = [F.min(F.struct(*ranked[: i + 1]))[name].alias(name) for i, name in enumerate(ranked)]
+    if not by_column:
+        row = F.struct(*ranked)
+        first = df.groupBy(key).agg(F.min(row if where is None else F.when(where, row)).alias("_first"))
+        return first.where(F.col("_first").isNotNull()).select(key, "_first.*").select(*df.columns)
+    if where is not None:
+        df = df.where(where)
+    head = ranked[0]
+    # The same order of nulls as in a struct, but a number or date is aggregated by hash.
+    firsts = [F.when(F.count(head) == F.count(F.lit(1)), F.min(head)).alias(head)]
+    firsts += [F.min(F.struct(*ranked[: i + 1]))[c].alias(c) for i, c in enumerate(ranked) if i > 0]
     return df.groupBy(key).agg(*firsts).select(*df.columns)
 
 

@@ -64,6 +64,19 @@ def _with_country(
     return found.select(key, "name", country.alias("country"))
 
 
+def _distinct_entities(
+    raw: DataFrame, candidates: Sequence[str], columns: Sequence[str], order: Sequence[str]
+) -> DataFrame:
+    """Id and attributes of each entity, once per spelling rather than once per patent.
+
+    Repeats go before the shuffle and before any text is cleaned. An ordinal
+    column makes every row its own, so then all rows stay.
+    """
+    rows = raw.select(F.col(pick_column(raw, candidates)).alias("_id"), *order, *columns)
+    rows = rows.na.drop(subset=["_id"])
+    return rows if order else rows.distinct()
+
+
 def clean_inventors(
     raw: DataFrame,
     locations: DataFrame | None,
@@ -75,16 +88,17 @@ def clean_inventors(
     Rows are reduced to one per id before the location lookup, which then
     joins inventors and not their patents.
     """
+    attributes = ["disambig_inventor_name_first", "disambig_inventor_name_last", "inventor_country", "location_id"]
     df = add_missing_null(raw, ["inventor_country", "location_id"])
-    named = df.select(
-        F.col(pick_column(df, INVENTOR_ID)).alias("inventor_id"),
+    named = _distinct_entities(df, INVENTOR_ID, attributes, order).select(
+        F.col("_id").alias("inventor_id"),
         *order,
         full_name(F.col("disambig_inventor_name_first"), F.col("disambig_inventor_name_last")).alias("name"),
         blank_to_null(F.col("inventor_country")).alias("direct_country"),
         "location_id",
     )
-    named = named.na.drop(subset=["inventor_id"]).where(F.length("name") > 1)
-    return _with_country(keep_first(named, "inventor_id", order), locations, names, "inventor_id")
+    first = keep_first(named, "inventor_id", order, where=F.length("name") > 1)
+    return _with_country(first, locations, names, "inventor_id")
 
 
 def clean_companies(
@@ -94,16 +108,18 @@ def clean_companies(
     order: Sequence[str] = (),
 ) -> DataFrame:
     """One named row per company: the first row of each id stays, then short names go."""
+    attributes = ["disambig_assignee_organization", "assignee_country", "location_id"]
     df = add_missing_null(raw, ["assignee_country", "location_id"])
-    named = df.select(
-        F.col(pick_column(df, COMPANY_ID)).alias("company_id"),
+    df = df.na.drop(subset=["disambig_assignee_organization"])
+    named = _distinct_entities(df, COMPANY_ID, attributes, order).select(
+        F.col("_id").alias("company_id"),
         *order,
         strip(F.col("disambig_assignee_organization")).alias("name"),
         blank_to_null(F.col("assignee_country")).alias("direct_country"),
         "location_id",
     )
-    first = keep_first(named.na.drop(subset=["company_id", "name"]), "company_id", order)
-    return _with_country(first.where(F.length("name") > 1), locations, names, "company_id")
+    first = keep_first(named, "company_id", order).where(F.length("name") > 1)
+    return _with_country(first, locations, names, "company_id")
 
 
 def _clean_pairs(raw: DataFrame, patents: DataFrame, candidates: Sequence[str], key: str) -> DataFrame:

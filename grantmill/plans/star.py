@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from abc import ABC, abstractmethod
 from collections.abc import Mapping
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from grantmill import schemas
 from grantmill.functions.country import COUNTRY_NAMES
@@ -24,13 +26,27 @@ from grantmill.plans.clean import (
     clean_patents,
 )
 
-# Narrow columns first: see keep_first.
-_PATENT_ORDER = ("filing_date", "year", "patent_type", "wipo_kind", "title", "abstract")
+_PATENT_ORDER = ("filing_date", "patent_type", "wipo_kind", "title", "abstract")
 RELATIONSHIP_ORDER = ("patent_id", "inventor_id", "company_id")
 
 
 @dataclass(frozen=True)
-class Star:
+class RawTables:
+    """Raw tables. Any object with these attributes will do.
+
+    Without a location table, countries come from the entities alone. Without
+    dedicated pair tables, pairs come from the entity tables.
+    """
+
+    raw_patent: DataFrame
+    raw_inventor: DataFrame
+    raw_assignee: DataFrame
+    raw_location: DataFrame | None = None
+    raw_patent_inventor: DataFrame | None = None
+    raw_patent_assignee: DataFrame | None = None
+
+
+class Star(ABC):
     """Tables the reports run on.
 
     The two pair tables hold distinct pairs of loaded patents. All counts are
@@ -44,78 +60,133 @@ class Star:
     companies: DataFrame
     patent_inventor: DataFrame
     patent_company: DataFrame
-    resolved: bool = False
+    resolved: bool
 
+    @abstractmethod
     def relationships(self) -> DataFrame:
         """Inventor by company of every patent, orphaned ids null."""
-        pi, pc = self.patent_inventor, self.patent_company
-        if not self.resolved:
-            pi = null_out_orphans(pi, "inventor_id", self.inventors)
-            pc = null_out_orphans(pc, "company_id", self.companies)
-        return pair_per_patent(pi, pc)
+
+
+class RawStar(Star):
+    """The star as lazy plans over raw tables; nothing is written, and only what is read is planned."""
+
+    resolved = False
+
+    def __init__(self, raw: RawTables, names: Mapping[str, str] = COUNTRY_NAMES, rows: int | None = None):
+        self._raw, self._names, self._rows = raw, names, rows
+
+    @cached_property
+    def locations(self) -> DataFrame | None:
+        location = self._raw.raw_location
+        return None if location is None else clean_locations(location, self._names)
+
+    @cached_property
+    def cleaned_patents(self) -> DataFrame:
+        return clean_patents(self._raw.raw_patent, self._rows)
+
+    @cached_property
+    def patents(self) -> DataFrame:
+        return load_patents(self.cleaned_patents)
+
+    @cached_property
+    def inventors(self) -> DataFrame:
+        return clean_inventors(self._raw.raw_inventor, self.locations, self._names)
+
+    @cached_property
+    def companies(self) -> DataFrame:
+        return clean_companies(self._raw.raw_assignee, self.locations, self._names)
+
+    def inventor_pairs(self, patents: DataFrame) -> DataFrame:
+        dedicated = self._raw.raw_patent_inventor
+        return clean_patent_inventor(self._raw.raw_inventor if dedicated is None else dedicated, patents)
+
+    def company_pairs(self, patents: DataFrame) -> DataFrame:
+        dedicated = self._raw.raw_patent_assignee
+        return clean_patent_company(self._raw.raw_assignee if dedicated is None else dedicated, patents)
+
+    @cached_property
+    def patent_inventor(self) -> DataFrame:
+        return self.inventor_pairs(self.patents)
+
+    @cached_property
+    def patent_company(self) -> DataFrame:
+        return self.company_pairs(self.patents)
+
+    def relationships(self) -> DataFrame:
+        return load_relationships(
+            self.patent_inventor, self.patent_company, self.inventors, self.companies, with_id=False
+        )
+
+
+class StoredStar(Star):
+    """The star written by ``build_star``."""
+
+    resolved = True
+
+    def __init__(self, spark: SparkSession, root: str):
+        self._spark, self._root = spark, root
+
+    def _table(self, name: str, schema: StructType) -> DataFrame:
+        return self._spark.read.schema(schema).parquet(f"{self._root}/{name}").select(*schema.names)
+
+    @cached_property
+    def patents(self) -> DataFrame:
+        return self._table("patents", schemas.PATENTS)
+
+    @cached_property
+    def inventors(self) -> DataFrame:
+        return self._table("inventors", schemas.INVENTORS)
+
+    @cached_property
+    def companies(self) -> DataFrame:
+        return self._table("companies", schemas.COMPANIES)
+
+    @cached_property
+    def patent_inventor(self) -> DataFrame:
+        return self._table("patent_inventor", schemas.PATENT_INVENTOR)
+
+    @cached_property
+    def patent_company(self) -> DataFrame:
+        return self._table("patent_company", schemas.PATENT_COMPANY)
+
+    @cached_property
+    def numbered_relationships(self) -> DataFrame:
+        return self._table("relationships", schemas.RELATIONSHIPS)
+
+    def relationships(self) -> DataFrame:
+        return self.numbered_relationships.drop("id")
 
 
 def load_patents(patents: DataFrame) -> DataFrame:
     """Titled patents, one row per id."""
-    titled = patents.where(F.col("title").isNotNull())
-    ordered = titled.select("patent_id", *_PATENT_ORDER)
-    return keep_first(ordered, "patent_id", _PATENT_ORDER).select(*schemas.PATENTS.names)
+    titled = patents.where(F.col("title").isNotNull()).drop("year")
+    first = keep_first(titled, "patent_id", _PATENT_ORDER, by_column=True)
+    return first.withColumn("year", F.year("filing_date")).select(*schemas.PATENTS.names)
 
 
 def load_relationships(
     patent_inventor: DataFrame,
     patent_company: DataFrame,
-    patents: DataFrame,
     inventors: DataFrame,
     companies: DataFrame,
+    patents: DataFrame | None = None,
     with_id: bool = True,
 ) -> DataFrame:
     """The relationships table with its foreign keys repaired.
 
     Keys are repaired in the pairs, before a patent's inventors are multiplied
-    by its companies; the rows are the same as when repaired after.
+    by its companies; the rows are the same as when repaired after. ``patents``
+    is needed where the pairs may hold patents that were not loaded.
     """
-    pi = null_out_orphans(keep_valid_patents(patent_inventor, patents), "inventor_id", inventors)
-    pc = null_out_orphans(keep_valid_patents(patent_company, patents), "company_id", companies)
+    if patents is not None:
+        patent_inventor = keep_valid_patents(patent_inventor, patents)
+        patent_company = keep_valid_patents(patent_company, patents)
+    pi = null_out_orphans(patent_inventor, "inventor_id", inventors)
+    pc = null_out_orphans(patent_company, "company_id", companies)
     pairs = pair_per_patent(pi, pc)
     return surrogate_id(pairs, *RELATIONSHIP_ORDER) if with_id else pairs
 
 
-def star_of(
-    raw_patent: DataFrame,
-    raw_inventor: DataFrame,
-    raw_assignee: DataFrame,
-    raw_location: DataFrame | None,
-    *,
-    patent_inventor: DataFrame | None = None,
-    patent_assignee: DataFrame | None = None,
-    names: Mapping[str, str] = COUNTRY_NAMES,
-    rows: int | None = None,
-) -> Star:
-    """The star as one lazy plan over raw tables; nothing is written."""
-    patents = load_patents(clean_patents(raw_patent, rows))
-    locations = None if raw_location is None else clean_locations(raw_location, names)
-    return Star(
-        patents=patents,
-        inventors=clean_inventors(raw_inventor, locations, names),
-        companies=clean_companies(raw_assignee, locations, names),
-        patent_inventor=clean_patent_inventor(raw_inventor if patent_inventor is None else patent_inventor, patents),
-        patent_company=clean_patent_company(raw_assignee if patent_assignee is None else patent_assignee, patents),
-    )
-
-
-_ID = StructType([StructField("patent_id", StringType())])
-
-
-def _table(spark: SparkSession, root: str, name: str, schema) -> DataFrame:
-    return spark.read.schema(schema).parquet(f"{root}/{name}").select(*schema.names)
-
-
-def _store(df: DataFrame, path: str, schema) -> DataFrame:
-    align_to_schema(df, schema).write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
-
-
 def _unique_patents(cleaned: DataFrame, root: str) -> DataFrame:
     """``load_patents`` for a load step: only patents whose id repeats are shuffled with their text.
 
@@ -123,26 +194,27 @@ def _unique_patents(cleaned: DataFrame, root: str) -> DataFrame:
     and decides by it whether the other patents need a shuffle at all.
     """
     titled = cleaned.where(F.col("title").isNotNull())
-    repeated = _store(check_unique_key(titled, "patent_id").select("patent_id"), f"{root}/repeated_ids", _ID)
+    path = f"{root}/repeated_ids"
+    check_unique_key(titled, "patent_id").select("patent_id").write.mode("overwrite").parquet(path)
+    repeated = cleaned.sparkSession.read.parquet(path)
     if repeated.isEmpty():
         return titled
     once = titled.join(repeated, "patent_id", "left_anti")
     return once.unionByName(load_patents(titled.join(repeated, "patent_id", "left_semi")))
 
 
+def _store(df: DataFrame, root: str, name: str, schema: StructType) -> None:
+    align_to_schema(df, schema).write.mode("overwrite").parquet(f"{root}/{name}")
+
+
 def build_star(
-    raw_patent: DataFrame,
-    raw_inventor: DataFrame,
-    raw_assignee: DataFrame,
-    raw_location: DataFrame | None,
+    spark: SparkSession,
+    raw: RawTables,
     root: str,
-    *,
-    patent_inventor: DataFrame | None = None,
-    patent_assignee: DataFrame | None = None,
     names: Mapping[str, str] = COUNTRY_NAMES,
     rows: int | None = None,
     relationships: bool = True,
-) -> Star:
+) -> StoredStar:
     """Write every table of the star once, in dependency order, and return the star that reads them.
 
     Each step reads the tables written before it, so nothing is computed twice
@@ -150,38 +222,16 @@ def build_star(
     rebalance hint spreads a year that holds a large part of the rows over
     several files.
     """
-    spark = raw_patent.sparkSession
-    locations = None if raw_location is None else clean_locations(raw_location, names)
-    unique = align_to_schema(_unique_patents(clean_patents(raw_patent, rows), root), schemas.PATENTS)
-    unique.hint("rebalance", "year").write.mode("overwrite").partitionBy("year").parquet(f"{root}/patents")
-    patents = _table(spark, root, "patents", schemas.PATENTS)
-    inventors = _store(clean_inventors(raw_inventor, locations, names), f"{root}/inventors", schemas.INVENTORS)
-    companies = _store(clean_companies(raw_assignee, locations, names), f"{root}/companies", schemas.COMPANIES)
-    pi = clean_patent_inventor(raw_inventor if patent_inventor is None else patent_inventor, patents)
-    pc = clean_patent_company(raw_assignee if patent_assignee is None else patent_assignee, patents)
-    pi = null_out_orphans(pi, "inventor_id", inventors)
-    pc = null_out_orphans(pc, "company_id", companies)
-    star = Star(
-        patents=patents,
-        inventors=inventors,
-        companies=companies,
-        patent_inventor=_store(pi, f"{root}/patent_inventor", schemas.PATENT_INVENTOR),
-        patent_company=_store(pc, f"{root}/patent_company", schemas.PATENT_COMPANY),
-        resolved=True,
-    )
+    source, star = RawStar(raw, names, rows), StoredStar(spark, root)
+    patents = align_to_schema(_unique_patents(source.cleaned_patents, root), schemas.PATENTS)
+    patents.hint("rebalance", "year").write.mode("overwrite").partitionBy("year").parquet(f"{root}/patents")
+    _store(source.inventors, root, "inventors", schemas.INVENTORS)
+    _store(source.companies, root, "companies", schemas.COMPANIES)
+    pi = null_out_orphans(source.inventor_pairs(star.patents), "inventor_id", star.inventors)
+    pc = null_out_orphans(source.company_pairs(star.patents), "company_id", star.companies)
+    _store(pi, root, "patent_inventor", schemas.PATENT_INVENTOR)
+    _store(pc, root, "patent_company", schemas.PATENT_COMPANY)
     if relationships:
-        numbered = surrogate_id(star.relationships(), *RELATIONSHIP_ORDER)
-        _store(numbered, f"{root}/relationships", schemas.RELATIONSHIPS)
+        pairs = pair_per_patent(star.patent_inventor, star.patent_company)
+        _store(surrogate_id(pairs, *RELATIONSHIP_ORDER), root, "relationships", schemas.RELATIONSHIPS)
     return star
-
-
-def read_star(spark: SparkSession, root: str) -> Star:
-    """The star written by ``build_star``."""
-    return Star(
-        patents=_table(spark, root, "patents", schemas.PATENTS),
-        inventors=_table(spark, root, "inventors", schemas.INVENTORS),
-        companies=_table(spark, root, "companies", schemas.COMPANIES),
-        patent_inventor=_table(spark, root, "patent_inventor", schemas.PATENT_INVENTOR),
-        patent_company=_table(spark, root, "patent_company", schemas.PATENT_COMPANY),
-        resolved=True,
-    )
