@@ -17,9 +17,9 @@ from collections.abc import Callable
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from checks.fixtures import Fixtures  # noqa: E402
-from grantmill.plans import datasets, reports  # noqa: E402
+from grantmill.plans import clean, datasets, reports  # noqa: E402
 from grantmill.plans.star import StoredStar, build_star  # noqa: E402
-from grantmill.session import local_session  # noqa: E402
+from grantmill.session import local_session, materialize  # noqa: E402
 
 
 def _drain(df) -> None:
@@ -38,7 +38,11 @@ def main() -> None:
         "clean_patents": lambda: _drain(raw.clean_patents),
         "clean_inventors": lambda: _drain(raw.star.inventors),
         "clean_companies": lambda: _drain(raw.star.companies),
-        "clean_relationships": lambda: _drain(raw.clean_relationships),
+        "clean_relationships": lambda: _drain(
+            clean.clean_relationships(
+                materialize(raw.clean_patent_inventor, "pi"), materialize(raw.clean_patent_company, "pc")
+            )
+        ),
         "build_star": lambda: build_star(spark, raw, f"{root}/star"),
         "q1_top_inventors": lambda: reports.top_inventors(star).collect(),
         "q2_top_companies": lambda: reports.top_companies(star).collect(),

@@ -30,10 +30,9 @@ def strip(c: Column) -> Column:
     Trimming by a set of characters is slow and only done for texts with more
     than plain spaces around them.
     """
-    plain = F.trim(c)
-    others = [ch for ch in WHITESPACE if ch != " "]
-    rest = F.substring(plain, 1, 1).isin(*others) | F.substring(plain, -1, 1).isin(*others)
-    return F.when(rest, F.btrim(c, F.lit(WHITESPACE))).otherwise(plain)
+    plain, all_kinds = F.trim(c), F.lit(WHITESPACE)
+    rest = F.contains(all_kinds, F.substring(plain, 1, 1)) | F.contains(all_kinds, F.substring(plain, -1, 1))
+    return F.when(rest, F.btrim(c, all_kinds)).otherwise(plain)
 
 
 def strip_or_empty(c: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grantmill.operators.joins import keep_valid_patents, null_out_orphans
-from grantmill.session import ensure_checkpoint_dir
+from grantmill.session import materialize
 
 
 def check_unique_key(df: DataFrame, key: str) -> DataFrame:
@@ -48,15 +48,16 @@ def repair_foreign_keys(
 def surrogate_id(df: DataFrame, *order: str | Column, name: str = "id") -> DataFrame:
     """Number all rows 1..n without a gap, in the given order if there is one.
 
-    Rows are numbered inside their range partition and each partition adds the
-    row count of those before it. The first step is checkpointed, because a
-    partition computed again may hold other rows. What is broadcast and summed
-    in one task is one row per partition.
+    Rows are numbered inside their partition and each partition adds the row
+    count of those before it. The numbers are written before they are used,
+    because a partition computed again may hold other rows. The input of a sort
+    is written too: the sort samples it first and would compute it twice. What
+    is broadcast, and summed in one task, is one row per partition.
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
-    placed = placed.withColumn("_place", F.monotonically_increasing_id()).checkpoint(eager=True)
+    placed = df
+    if order:
+        placed = materialize(df, "unordered").repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = materialize(placed.withColumn("_place", F.monotonically_increasing_id()), "placed")
     placed = placed.withColumns(
         {
             # The id packs the partition number above 33 bits of row number.

@@ -25,6 +25,7 @@ from grantmill.plans.clean import (
     clean_patent_inventor,
     clean_patents,
 )
+from grantmill.session import run_together
 
 _PATENT_ORDER = ("filing_date", "patent_type", "wipo_kind", "title", "abstract")
 RELATIONSHIP_ORDER = ("patent_id", "inventor_id", "company_id")
@@ -223,14 +224,26 @@ def build_star(
     several files.
     """
     source, star = RawStar(raw, names, rows), StoredStar(spark, root)
-    patents = align_to_schema(_unique_patents(source.cleaned_patents, root), schemas.PATENTS)
-    patents.hint("rebalance", "year").write.mode("overwrite").partitionBy("year").parquet(f"{root}/patents")
-    _store(source.inventors, root, "inventors", schemas.INVENTORS)
-    _store(source.companies, root, "companies", schemas.COMPANIES)
-    pi = null_out_orphans(source.inventor_pairs(star.patents), "inventor_id", star.inventors)
-    pc = null_out_orphans(source.company_pairs(star.patents), "company_id", star.companies)
-    _store(pi, root, "patent_inventor", schemas.PATENT_INVENTOR)
-    _store(pc, root, "patent_company", schemas.PATENT_COMPANY)
+
+    def write_patents() -> None:
+        patents = align_to_schema(_unique_patents(source.cleaned_patents, root), schemas.PATENTS)
+        patents.hint("rebalance", "year").write.mode("overwrite").partitionBy("year").parquet(f"{root}/patents")
+
+    def write_inventor_pairs() -> None:
+        pairs = null_out_orphans(source.inventor_pairs(star.patents), "inventor_id", star.inventors)
+        _store(pairs, root, "patent_inventor", schemas.PATENT_INVENTOR)
+
+    def write_company_pairs() -> None:
+        pairs = null_out_orphans(source.company_pairs(star.patents), "company_id", star.companies)
+        _store(pairs, root, "patent_company", schemas.PATENT_COMPANY)
+
+    run_together(
+        spark,
+        write_patents,
+        lambda: _store(source.inventors, root, "inventors", schemas.INVENTORS),
+        lambda: _store(source.companies, root, "companies", schemas.COMPANIES),
+    )
+    run_together(spark, write_inventor_pairs, write_company_pairs)
     if relationships:
         pairs = pair_per_patent(star.patent_inventor, star.patent_company)
         _store(surrogate_id(pairs, *RELATIONSHIP_ORDER), root, "relationships", schemas.RELATIONSHIPS)

@@ -5,8 +5,11 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import SparkSession
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, SparkSession
 
 # A join whose output partitioning is used again downstream is left unsplit by
 # default. Splitting a hot key is worth the extra exchange.
@@ -56,7 +59,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/grantmill-{uuid.uuid4().hex}/{name}"
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Leave a configured checkpoint folder alone, set one where there is none."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or _private_folder())
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it back.
+
+    This cuts the lineage, survives lost executors, and tells Spark the size.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def run_together(spark: SparkSession, *jobs: Callable[[], object]) -> None:
+    """Run independent actions at the same time; the first error is raised."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        for done in [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]:
+            done.result()
