@@ -85,7 +85,7 @@ def _(fx: Fixtures):
        FROM relationships r JOIN inventors i USING (inventor_id)""",
 )
 def _(fx: Fixtures):
-    return fx.star.relationships().join(fx.star.inventors, "inventor_id")
+    return fx.star.relationships().join(joins.fresh_key(fx.star.inventors, "inventor_id"), "inventor_id")
 
 
 @check(
@@ -94,7 +94,7 @@ def _(fx: Fixtures):
        FROM relationships r JOIN companies c USING (company_id)""",
 )
 def _(fx: Fixtures):
-    return fx.star.relationships().join(fx.star.companies, "company_id")
+    return fx.star.relationships().join(joins.fresh_key(fx.star.companies, "company_id"), "company_id")
 
 
 @check(
@@ -106,7 +106,8 @@ def _(fx: Fixtures):
 def _(fx: Fixtures):
     dated = fx.star.patents.select("patent_id", "year")
     named = fx.star.companies.select("company_id", F.col("name").alias("company"))
-    return dated.join(fx.star.relationships(), "patent_id").join(named, "company_id")
+    dated, named = joins.fresh_key(dated, "patent_id"), joins.fresh_key(named, "company_id")
+    return fx.star.relationships().join(dated, "patent_id").join(named, "company_id")
 
 
 @check(

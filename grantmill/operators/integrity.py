@@ -41,8 +41,8 @@ def repair_foreign_keys(
 ) -> DataFrame:
     """Keep relationships of loaded patents and set orphaned inventor and company ids to null."""
     kept = keep_valid_patents(relationships, patents)
-    kept = null_out_orphans(kept, "inventor_id", inventors)
-    return null_out_orphans(kept, "company_id", companies).select(*relationships.columns)
+    kept = null_out_orphans(kept, "inventor_id", inventors.select("inventor_id").distinct())
+    return null_out_orphans(kept, "company_id", companies.select("company_id").distinct())
 
 
 def surrogate_id(df: DataFrame, *order: str | Column, name: str = "id") -> DataFrame:

@@ -60,4 +60,5 @@ def rows(df) -> list[tuple]:
 def executed_plan(df) -> str:
     """The final physical plan, after the query ran."""
     df.collect()
-    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    plan = df._jdf.queryExecution().executedPlan()
+    return (plan.executedPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan).toString()
