@@ -11,7 +11,7 @@ from checks.registry import check
 from grantmill import schemas
 from grantmill.functions import country as countries
 from grantmill.functions import text
-from grantmill.operators import columns, counting
+from grantmill.operators import columns, counting, joins
 from grantmill.plans import clean, datasets, reports
 
 # Projections
@@ -247,7 +247,7 @@ def _(fx: Fixtures):
         FROM raw_inventor LEFT JOIN raw_location USING (location_id)""",
 )
 def _(fx: Fixtures):
-    located = fx.raw_inventor.join(fx.raw_location, "location_id", "left")
+    located = joins.lookup_left(fx.raw_inventor, fx.raw_location, "location_id", spread_by="inventor_id")
     return located.select(
         "inventor_id", "patent_id", countries.normalize_country(F.col("disambig_country")).alias("country")
     )

@@ -44,7 +44,7 @@ def _(fx: Fixtures):
 )
 def _(fx: Fixtures):
     names = fx.spark.createDataFrame(list(COUNTRY_NAMES.items()), "code string, name string")
-    located = fx.raw_inventor.join(fx.raw_location, "location_id", "left")
+    located = joins.lookup_left(fx.raw_inventor, fx.raw_location, "location_id", spread_by="inventor_id")
     return country_lookup(located, "disambig_country", names).select("patent_id", "inventor_id", "country")
 
 
@@ -99,9 +99,8 @@ def _(fx: Fixtures):
 
 @check(
     "patents_rel_companies",
-    """SELECT p.patent_id, p.year, r.inventor_id, c.company_id, c.name AS company
-       FROM patents p JOIN relationships r ON p.patent_id = r.patent_id
-       JOIN companies c ON r.company_id = c.company_id""",
+    """SELECT patent_id, year, inventor_id, company_id, company_name AS company
+       FROM detail JOIN patents USING (patent_id) WHERE company_id IS NOT NULL""",
 )
 def _(fx: Fixtures):
     dated = fx.star.patents.select("patent_id", "year")
@@ -112,11 +111,8 @@ def _(fx: Fixtures):
 
 @check(
     "patents_full_detail",
-    """SELECT p.patent_id, p.title, p.year, i.name AS inventor_name, i.country AS inventor_country,
-              c.name AS company_name
-       FROM patents p LEFT JOIN relationships r ON p.patent_id = r.patent_id
-       LEFT JOIN inventors i ON r.inventor_id = i.inventor_id
-       LEFT JOIN companies c ON r.company_id = c.company_id""",
+    """SELECT patent_id, title, year, inventor_name, inventor_country, company_name
+       FROM patents LEFT JOIN detail USING (patent_id)""",
 )
 def _(fx: Fixtures):
     return reports.patents_full_detail(fx.star)
@@ -176,10 +172,7 @@ def _(fx: Fixtures):
     return reports.country_counts(fx.star, ())
 
 
-_YEAR_COMPANY = """SELECT p.year, c.name AS company, count(DISTINCT r.patent_id) AS patent_count
-       FROM patents p JOIN relationships r ON p.patent_id = r.patent_id
-       JOIN companies c ON r.company_id = c.company_id
-       WHERE p.year BETWEEN 2015 AND 2024 GROUP BY p.year, c.name"""
+_YEAR_COMPANY = "SELECT * FROM company_years"
 
 
 @check("distinct_patents_by_year_company_name", _YEAR_COMPANY)
@@ -398,15 +391,16 @@ def _query(fx: Fixtures, text: str, args=None):
 )
 def _(fx: Fixtures):
     text = """
-        WITH counts AS (
-            SELECT p.year, c.name AS company, count(DISTINCT p.patent_id) AS patent_count
-            FROM {patents} p JOIN {patent_company} r ON p.patent_id = r.patent_id
-                 JOIN {companies} c ON r.company_id = c.company_id
-            WHERE p.year BETWEEN :first AND :last AND c.name IS NOT NULL
-            GROUP BY p.year, c.name),
-        ranked AS (
-            SELECT *, rank() OVER (PARTITION BY year ORDER BY patent_count DESC) AS yearly_rank FROM counts)
-        SELECT year, company, patent_count, yearly_rank FROM ranked WHERE yearly_rank <= :k"""
+        WITH named AS (
+            SELECT patent_id, name AS company FROM {patent_company} JOIN {companies} USING (company_id)),
+        counted AS (
+            SELECT year, company, count(DISTINCT patent_id) AS patent_count
+            FROM named JOIN {patents} USING (patent_id)
+            WHERE year BETWEEN :first AND :last
+            GROUP BY ALL),
+        placed AS (
+            SELECT counted.*, rank() OVER (PARTITION BY year ORDER BY patent_count DESC) AS yearly_rank FROM counted)
+        SELECT * FROM placed WHERE yearly_rank <= :k"""
     return _query(fx, text, {"first": 2015, "last": 2024, "k": 5})
 
 
@@ -417,9 +411,9 @@ def _(fx: Fixtures):
 def _(fx: Fixtures):
     text = """
         SELECT patent_count, count(*) AS inventors
-        FROM (SELECT r.inventor_id, count(DISTINCT r.patent_id) AS patent_count
-              FROM {patent_inventor} r JOIN {inventors} i ON r.inventor_id = i.inventor_id
-              GROUP BY r.inventor_id) per_inventor
+        FROM (SELECT inventor_id, count(DISTINCT patent_id) AS patent_count
+              FROM {patent_inventor} JOIN {inventors} USING (inventor_id)
+              GROUP BY inventor_id) per_inventor
         GROUP BY patent_count"""
     return _query(fx, text)
 
@@ -431,11 +425,11 @@ def _(fx: Fixtures):
 )
 def _(fx: Fixtures):
     text = """
-        SELECT i.country,
-               round(try_divide(count(DISTINCT r.patent_id) * 100.0D, (SELECT count(*) FROM {patents})), 2) AS pct_share
-        FROM {patent_inventor} r JOIN {inventors} i ON r.inventor_id = i.inventor_id
-        WHERE i.country NOT IN (:unknown, '')
-        GROUP BY i.country"""
+        SELECT country,
+               round(try_divide(count(DISTINCT patent_id) * 100.0D, (SELECT count(*) FROM {patents})), 2) AS pct_share
+        FROM {patent_inventor} JOIN {inventors} USING (inventor_id)
+        WHERE country NOT IN (:unknown, '')
+        GROUP BY country"""
     return _query(fx, text, {"unknown": UNKNOWN})
 
 
@@ -444,8 +438,7 @@ def _(fx: Fixtures):
     text = """
         WITH counts AS (
             SELECT inventor_id, count(DISTINCT patent_id) AS patent_count FROM {patent_inventor} GROUP BY inventor_id)
-        SELECT i.name AS inventor, i.country, counts.patent_count
-        FROM counts JOIN {inventors} i ON counts.inventor_id = i.inventor_id"""
+        SELECT name AS inventor, country, patent_count FROM counts JOIN {inventors} USING (inventor_id)"""
     return _query(fx, text)
 
 
@@ -456,10 +449,10 @@ def _(fx: Fixtures):
 )
 def _(fx: Fixtures):
     text = """
-        SELECT i.country, count(DISTINCT r.patent_id) AS patent_count
-        FROM {patent_inventor} r JOIN {inventors} i ON r.inventor_id = i.inventor_id
-        WHERE i.country NOT IN ('Unknown', '', 'XX')
-        GROUP BY i.country ORDER BY patent_count DESC, i.country LIMIT 20"""
+        SELECT country, count(DISTINCT patent_id) AS patent_count
+        FROM {patent_inventor} JOIN {inventors} USING (inventor_id)
+        WHERE country NOT IN ('Unknown', '', 'XX')
+        GROUP BY country ORDER BY patent_count DESC, country LIMIT 20"""
     return _query(fx, text)
 
 
@@ -478,9 +471,9 @@ def _(fx: Fixtures):
 )
 def _(fx: Fixtures):
     text = """
-        SELECT r.company_id, count(DISTINCT r.patent_id) AS patent_count
-        FROM {patent_company} r JOIN {companies} c ON r.company_id = c.company_id
-        GROUP BY r.company_id ORDER BY patent_count DESC, r.company_id LIMIT :n"""
+        SELECT company_id, count(DISTINCT patent_id) AS patent_count
+        FROM {patent_company} JOIN {companies} USING (company_id)
+        GROUP BY company_id ORDER BY patent_count DESC, company_id LIMIT :n"""
     return _query(fx, text, {"n": ranking.checked_size(15, datasets.LEAST_ROWS, datasets.MOST_ROWS)})
 
 

@@ -80,15 +80,24 @@ relationships AS (
   LEFT JOIN inventors i ON r.inventor_id = i.inventor_id
   LEFT JOIN companies c ON r.company_id = c.company_id
   WHERE r.patent_id IN (SELECT patent_id FROM patents)),
+detail AS (
+  SELECT *
+  FROM relationships
+  LEFT JOIN (SELECT inventor_id, name AS inventor_name, country AS inventor_country FROM inventors) USING (inventor_id)
+  LEFT JOIN (SELECT company_id, name AS company_name, country AS company_country FROM companies) USING (company_id)),
 inventor_counts AS (
-  SELECT i.inventor_id, i.name, i.country, count(DISTINCT r.patent_id) AS patent_count
-  FROM relationships r JOIN inventors i ON r.inventor_id = i.inventor_id GROUP BY ALL),
+  SELECT inventor_id, inventor_name AS name, inventor_country AS country, count(DISTINCT patent_id) AS patent_count
+  FROM detail WHERE inventor_id IS NOT NULL GROUP BY ALL),
 company_counts AS (
-  SELECT c.company_id, c.name, c.country, count(DISTINCT r.patent_id) AS patent_count
-  FROM relationships r JOIN companies c ON r.company_id = c.company_id GROUP BY ALL),
+  SELECT company_id, company_name AS name, company_country AS country, count(DISTINCT patent_id) AS patent_count
+  FROM detail WHERE company_id IS NOT NULL GROUP BY ALL),
 country_counts AS (
-  SELECT i.country, count(DISTINCT r.patent_id) AS patent_count
-  FROM relationships r JOIN inventors i ON r.inventor_id = i.inventor_id GROUP BY i.country),
+  SELECT inventor_country AS country, count(DISTINCT patent_id) AS patent_count
+  FROM detail WHERE inventor_country IS NOT NULL GROUP BY ALL),
+company_years AS (
+  SELECT year, company_name AS company, count(DISTINCT patent_id) AS patent_count
+  FROM detail JOIN patents USING (patent_id)
+  WHERE company_name IS NOT NULL AND year BETWEEN 2015 AND 2024 GROUP BY ALL),
 yearly AS (SELECT year, count(*) AS patent_count FROM patents WHERE year IS NOT NULL GROUP BY year)
 """
 

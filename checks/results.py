@@ -97,13 +97,9 @@ def _(fx: Fixtures):
 
 @check(
     "q5_patent_detail",
-    """SELECT p.patent_id, p.title, p.year, i.name AS inventor_name, i.country AS inventor_country,
-              c.name AS company_name
-       FROM patents p LEFT JOIN relationships r ON p.patent_id = r.patent_id
-       LEFT JOIN inventors i ON r.inventor_id = i.inventor_id
-       LEFT JOIN companies c ON r.company_id = c.company_id
-       WHERE p.year >= 2000
-       ORDER BY p.patent_id, r.inventor_id NULLS FIRST, r.company_id NULLS FIRST LIMIT 500""",
+    """SELECT patent_id, title, year, inventor_name, inventor_country, company_name
+       FROM patents LEFT JOIN detail USING (patent_id) WHERE year >= 2000
+       ORDER BY patent_id, inventor_id NULLS FIRST, company_id NULLS FIRST LIMIT 500""",
 )
 def _(fx: Fixtures):
     return reports.patent_detail(fx.star)
@@ -111,13 +107,9 @@ def _(fx: Fixtures):
 
 @check(
     "q6_top_companies_per_year",
-    """SELECT year, CAST(yearly_rank AS INTEGER) AS yearly_rank, company, patent_count FROM (
-         SELECT *, rank() OVER (PARTITION BY year ORDER BY patent_count DESC) AS yearly_rank FROM (
-           SELECT p.year, c.name AS company, count(DISTINCT r.patent_id) AS patent_count
-           FROM patents p JOIN relationships r ON p.patent_id = r.patent_id
-           JOIN companies c ON r.company_id = c.company_id
-           WHERE p.year BETWEEN 2015 AND 2024 AND c.name IS NOT NULL GROUP BY p.year, c.name))
-       WHERE yearly_rank <= 5 ORDER BY year DESC, yearly_rank, company""",
+    """SELECT year, CAST(rank() OVER (PARTITION BY year ORDER BY patent_count DESC) AS INTEGER) AS yearly_rank,
+              company, patent_count
+       FROM company_years QUALIFY yearly_rank <= 5 ORDER BY year DESC, yearly_rank, company""",
 )
 def _(fx: Fixtures):
     return reports.top_companies_per_year(fx.star)

@@ -74,7 +74,11 @@ def pair_per_patent(inventors: DataFrame, companies: DataFrame) -> DataFrame:
     )
 
 
-def with_patent(pairs: DataFrame, patents: DataFrame) -> DataFrame:
-    """Left join of patents to pairs of loaded patents, written so that a patent with many pairs can be split."""
+def with_patent(pairs: DataFrame, patents: DataFrame, paired: DataFrame | None = None) -> DataFrame:
+    """Left join of patents to pairs of loaded patents, written so that a patent with many pairs can be split.
+
+    ``paired`` names the patents that have pairs, where that is cheaper to read than the pairs.
+    """
     with_pairs = fresh_key(pairs, "patent_id").join(fresh_key(patents, "patent_id"), "patent_id")
-    return with_pairs.unionByName(_without(fresh_key(patents, "patent_id"), pairs), allowMissingColumns=True)
+    alone = _without(fresh_key(patents, "patent_id"), pairs if paired is None else paired)
+    return with_pairs.unionByName(alone, allowMissingColumns=True)

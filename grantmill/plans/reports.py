@@ -142,7 +142,8 @@ def patents_full_detail(star: Star) -> DataFrame:
     named_inventors = lookup_left(star.patent_inventor, inventors, "inventor_id", spread_by="patent_id")
     named_companies = lookup_left(star.patent_company, companies, "company_id", spread_by="patent_id")
     pairs = pair_per_patent(named_inventors, named_companies)
-    return with_patent(pairs, star.patents.select("patent_id", "title", "year")).select(
+    paired = star.patent_inventor.select("patent_id").union(star.patent_company.select("patent_id"))
+    return with_patent(pairs, star.patents.select("patent_id", "title", "year"), paired).select(
         "patent_id", "title", "year", "inventor_name", "inventor_country", "company_name"
     )
 
