@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from grantmill.functions.text import blank_to_null, tokens_to_null
 from grantmill.operators.columns import missing_columns
+from grantmill.operators.integrity import surrogate_id
 
 log = logging.getLogger(__name__)
 
@@ -134,8 +135,17 @@ def source_status(spark: SparkSession, paths: Mapping[str, str], want: Mapping[s
 
 
 def sample_rows(df: DataFrame, rows: int | None = SAMPLE_ROWS, order: str = "patent_id") -> DataFrame:
-    """The first rows by key; ``None`` keeps all."""
-    return df if rows is None else df.orderBy(order).limit(rows)
+    """The first rows by key, rows without a key left out; ``None`` keeps all.
+
+    A sort with so large a limit would send that many rows of every task to one
+    task. So the key at the limit is found first, from the numbered key column,
+    and only rows up to it are sorted.
+    """
+    if rows is None:
+        return df
+    keyed = df.where(F.col(order).isNotNull())
+    last = surrogate_id(keyed.select(order), order).where(F.col("id") == rows).select(order).scalar()
+    return keyed.where(last.isNull() | (F.col(order) <= last)).orderBy(order).limit(rows)
 
 
 def read_clean(spark: SparkSession, path: str) -> DataFrame | None:

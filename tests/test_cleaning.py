@@ -44,6 +44,14 @@ def test_patent_cap_is_by_id(spark):
     assert [r.patent_id for r in clean.clean_patents(raw, 3).orderBy("patent_id").collect()] == ["0", "1", "2"]
 
 
+def test_sample_of_a_table_with_repeated_keys(spark):
+    df = spark.range(0, 900, 1, 5).select((F.col("id") % 300).cast("string").alias("k"), "id")
+    ordered = sorted(str(i % 300) for i in range(900))
+    for n in (1, 2, 100, 899, 900, 5000):
+        assert sorted(r.k for r in readers.sample_rows(df, n, "k").collect()) == ordered[:n]
+    assert readers.sample_rows(df, None, "k").count() == 900
+
+
 def test_loaded_patents_keep_the_first_row_of_an_id(spark):
     cleaned = table(
         spark,
