@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grantmill.llm import bpe
+from grantmill.llm import bpe, simhash
 from grantmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,3 +47,10 @@ def token_counts(spark: SparkSession, sf_dir: str, limit: int = 2048) -> DataFra
     vocab = bpe.load(spark, public_tokenizers.path(WORD_VOCABULARY))
     counted = bpe.count_tokens(table(spark, sf_dir, "documents"), vocab)
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
+
+
+@query("op9_simhash_near_duplicates")
+def simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document and the smallest document it is linked to."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
