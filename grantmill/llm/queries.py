@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grantmill.llm import bpe, simhash
+from grantmill.llm import bpe, packing, simhash
 from grantmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,3 +54,16 @@ def simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint of every document and the smallest document it is linked to."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def packed_pieces(docs: DataFrame) -> DataFrame:
+    """Every document's pieces of at most 4096 tokens and their places in sequences."""
+    vocab = bpe.load(docs.sparkSession, public_tokenizers.path(WORD_VOCABULARY))
+    pieces = packing.cut(docs, vocab, limit=4096, end_id=1)
+    digested = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.pack(digested, limit=4096)
+
+
+@query("op5_best_fit_packing")
+def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_pieces(table(spark, sf_dir, "documents"))
