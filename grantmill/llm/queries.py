@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grantmill.llm import bpe, packing, simhash
+from grantmill.llm import bpe, packing, simhash, toxicity
 from grantmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,3 +67,20 @@ def packed_pieces(docs: DataFrame) -> DataFrame:
 @query("op5_best_fit_packing")
 def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_pieces(table(spark, sf_dir, "documents"))
+
+
+def _remainder(column: str = "doc_id") -> Column:
+    return F.crc32(F.col(column).cast("string").cast("binary")) % 4
+
+
+@query("op10_toxicity")
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; a quarter of the labels is never learned from."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), learn=_remainder() != 2)
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        F.coalesce(_remainder() == 2, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
