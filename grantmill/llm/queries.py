@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grantmill.llm import bpe, packing, simhash, toxicity
+from grantmill.llm import bpe, packing, quality, simhash, toxicity
 from grantmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,3 +84,10 @@ def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         (F.col("score") >= 0.3).cast("int").alias("predicted"),
     )
+
+
+@query("op6_quality_classifier")
+def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by the scorer that the documents' own weak labels train."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs)).withColumn("kept", F.col("score") >= 0.5)
