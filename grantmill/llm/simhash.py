@@ -186,3 +186,15 @@ def near_duplicates(
     roots = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(roots, "root").select("fp", "component_id")
     return own.join(named, "fp").select(id_col, "fp", "component_id")
+
+
+def keep_one(df: DataFrame, shingle: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, of the smallest id of each group of near-duplicates.
+
+    Rows with the same id are one document: one of them stays if any of them is its
+    group's smallest. Rows without an id can't be told apart and all stay.
+    """
+    found = near_duplicates(df.where(F.col(id_col).isNotNull()), shingle, radius, id_col, text_col)
+    stays = found.groupBy(id_col).agg(F.bool_or(F.col(id_col) == F.col("component_id")).alias("stays")).where("stays")
+    kept = df.join(stays.select(id_col), id_col, "left_semi").dropDuplicates([id_col])
+    return kept.unionByName(df.where(F.col(id_col).isNull()))
