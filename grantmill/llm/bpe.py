@@ -30,12 +30,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from grantmill.llm.common import chunks, remember, ship, texts
+from grantmill.llm.common import Remembered, chunks, ship, texts
 
 NONE = np.iinfo(np.int64).max
-# Words of more symbols use the tree of one word at a time.
-TABLE_SYMBOLS = 65
-REMEMBERED = 300_000
+NO_ID = 0xFFFF
+LOW = (1 << 32) - 1
+# Words that need wider trees use the tree of one word at a time.
+TABLE_WIDTH = 64
+# Blocks and words remembered, twice: those seen lately and those before them.
+REMEMBERED = 120_000
 # Latin letters, their marks and general punctuation: here Python's tables and the
 # library's agree. Other scripts go through the library's own normaliser and splitter.
 OTHER_SCRIPT = re.compile("[^\u0000-ͯ -⁯€]")
@@ -71,7 +74,7 @@ class WordVocabulary:
         if model["type"] != "BPE" or pattern != "|".join([*CONTRACTIONS, r"[\p{L}]+", r"[\p{N}]", r"[^\s\p{L}\p{N}]+"]):
             raise ValueError("not a vocabulary of words with end marks")
         ids = model["vocab"]
-        if max(ids.values()) >= 1 << 16:
+        if max(ids.values()) >= NO_ID:
             raise ValueError("pairs are kept as two 16-bit ids")
         self.special = {t["content"]: t["id"] for t in content["added_tokens"]}
         self.tokens = [""] * (1 + max([*ids.values(), *self.special.values()]))
@@ -83,7 +86,7 @@ class WordVocabulary:
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         keys = np.array([ids[a] << 16 | ids[b] for a, b in pairs], np.int64)
         order = np.argsort(keys, kind="stable")
-        self.keys, self.ranks = keys[order], order
+        self.keys, self.ranks = keys[order].astype(np.uint32), order
         self.merged = np.array([ids[a + b] for a, b in pairs], np.int64)
         self.rank_of = dict(zip(keys.tolist(), range(len(keys)), strict=True))
         letters, numbers = _class("L"), _class("N")
@@ -92,10 +95,10 @@ class WordVocabulary:
         )
         self.marks = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or "(?!)")
         self.bytes_of = {s: b for b, s in enumerate(symbols)}
-        self.ids_of_word: dict[str, bytes] = {}
-        self.ids_of_block: dict[str, bytes] = {}
-        self.size_of_word: dict[str, int] = {}
-        self.size_of_block: dict[str, int] = {}
+        self.ids_of_word: Remembered[bytes] = Remembered(REMEMBERED)
+        self.ids_of_block: Remembered[bytes] = Remembered(REMEMBERED)
+        self.size_of_word: Remembered[int] = Remembered(2 * REMEMBERED)
+        self.size_of_block: Remembered[int] = Remembered(2 * REMEMBERED)
 
     @functools.cached_property
     def library(self):
@@ -132,16 +135,25 @@ class WordVocabulary:
     def words(self, block: str) -> list[str]:
         """The words to merge in a block that is not a special string."""
         if block.isascii():
-            return [block.lower()] if block.isalpha() else self.split.findall(block.lower())
-        normal = unicodedata.normalize("NFC", block).lower()
-        if not OTHER_SCRIPT.search(normal):
-            return self.split.findall(normal)
+            normal = block.lower()
+        else:
+            normal = unicodedata.normalize("NFC", block).lower()
+            if OTHER_SCRIPT.search(normal):
+                return self._words_by_library(block)
+        # Most blocks are a word, or a word and one more character.
+        if normal.isalpha():
+            return [normal]
+        if normal[-1] in ".,|!" and normal[:-1].isalpha():
+            return [normal[:-1], normal[-1]]
+        return self.split.findall(normal)
+
+    def _words_by_library(self, block: str) -> list[str]:
         normal = self.library.normalizer.normalize_str(block)
-        back = self.bytes_of
-        return [bytes(map(back.__getitem__, piece)).decode() for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
+        pieces = self.library.pre_tokenizer.pre_tokenize_str(normal)
+        return [bytes(map(self.bytes_of.__getitem__, piece)).decode() for piece, _ in pieces]
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        wanted = left << 16 | right
+        wanted = (left << 16 | right).astype(np.uint32)
         at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
         return np.where(self.keys[at] == wanted, self.ranks[at], NONE)
 
@@ -218,11 +230,11 @@ def merge_by_trees(vocab: WordVocabulary, words: list[str]) -> list[bytes]:
     coded = [w.encode() for w in words]
     sizes = np.fromiter(map(len, coded), np.int64, len(coded))
     out: list[bytes] = [b""] * len(words)
-    # With n symbols there are n - 1 pairs; trees of the same width share a table.
-    widths = np.maximum(1, 1 << np.ceil(np.log2(np.maximum(sizes - 1, 1))).astype(np.int64))
+    # A place before and one after the symbols; trees of the same width share a table.
+    widths = 1 << np.ceil(np.log2(sizes + 2)).astype(np.int64)
     for width in np.unique(widths).tolist():
         rows = np.flatnonzero(widths == width)
-        if width >= TABLE_SYMBOLS:
+        if width > TABLE_WIDTH:
             for row in rows.tolist():
                 out[row] = np.array(merge_by_tree(vocab, words[row]), "<u4").tobytes()
             continue
@@ -241,82 +253,80 @@ def merge_by_trees(vocab: WordVocabulary, words: list[str]) -> list[bytes]:
 def _merge_table(
     vocab: WordVocabulary, coded: list[bytes], sizes: np.ndarray, width: int
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Symbol ids of words (rows) after all merges, and which of them are left."""
-    n, columns = len(coded), width + 1
-    every = np.arange(n)
-    inside = np.arange(columns) < sizes[:, None]
-    raw = np.zeros((n, columns), np.uint8)
+    """Symbol ids of words (rows) after all merges, and which of them are left.
+
+    Symbols stand at places 1 to n of a row, with an id that pairs with nothing before
+    and after them. All arrays are flat; row r begins at r * width, its tree at 2 * r * width.
+    """
+    n = len(coded)
+    inside = (np.arange(width) >= 1) & (np.arange(width) <= sizes[:, None])
+    raw = np.zeros((n, width), np.uint8)
     raw[inside] = np.frombuffer(b"".join(coded), np.uint8)
-    ids = np.where(inside, vocab.inner[raw], -1)
-    ids[every, sizes - 1] = vocab.last[raw[every, sizes - 1]]
-    following = np.broadcast_to(np.arange(1, columns + 1), (n, columns)).copy()
-    before = np.broadcast_to(np.arange(-1, columns - 1), (n, columns)).copy()
+    ids = np.where(inside, vocab.inner[raw], NO_ID)
+    every = np.arange(n)
+    ids[every, sizes] = vocab.last[raw[every, sizes]]
     shift = width.bit_length()
     place = np.arange(width)
-
-    def keyed(rank: np.ndarray, at: np.ndarray) -> np.ndarray:
-        return np.where(rank == NONE, NONE, np.where(rank == NONE, 0, rank) << shift | at)
-
     tree = np.full((n, 2 * width), NONE)
-    has_pair = inside[:, 1:]
-    ranks = np.full((n, width), NONE)
-    ranks[has_pair] = vocab.pair_ranks(ids[:, :-1][has_pair], ids[:, 1:][has_pair])
-    tree[:, width:] = keyed(ranks, place)
+    # The last place of a row holds no symbol, so the pair across its edge is none.
+    ranks = vocab.pair_ranks(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(n, width - 1)
+    tree[:, width:-1] = np.where(ranks == NONE, NONE, (ranks & LOW) << shift | place[:-1])
     for i in range(width - 1, 0, -1):
-        tree[:, i] = np.minimum(tree[:, 2 * i], tree[:, 2 * i + 1])
-
-    live = inside.copy()
-    rows = every[tree[:, 1] != NONE]
-    while len(rows):
-        root = tree[rows, 1]
+        np.minimum(tree[:, 2 * i], tree[:, 2 * i + 1], out=tree[:, i])
+    ids, tree, live = ids.ravel(), tree.ravel(), inside.ravel()
+    following = np.tile(place + 1, n)
+    before = np.tile(place - 1, n)
+    top = 2 * width * every
+    top = top[tree[top + 1] != NONE]
+    levels = range(width.bit_length() - 1)
+    while len(top):
+        base = top >> 1
+        root = tree[top + 1]
         left, rank = root & ((1 << shift) - 1), root >> shift
-        gone = following[rows, left]
-        after = following[rows, gone]
-        ids[rows, left] = vocab.merged[rank]
-        live[rows, gone] = False
-        following[rows, left] = after
-        more = after < sizes[rows]
-        before[rows[more], after[more]] = left[more]
-        prior = before[rows, left]
-        first = prior >= 0
-        # Three leaves change: the pair of the symbol that went, the pair of the new one, the pair before it.
-        new = np.full(len(rows), NONE)
-        new[more] = vocab.pair_ranks(ids[rows[more], left[more]], ids[rows[more], after[more]])
-        old = vocab.pair_ranks(ids[rows[first], prior[first]], ids[rows[first], left[first]])
-        held = gone < width
-        r = np.concatenate([rows[held], rows, rows[first]])
-        leaf = np.concatenate([gone[held], left, prior[first]])
-        tree[r, width + leaf] = np.concatenate(
-            [np.full(int(held.sum()), NONE), keyed(new, left), keyed(old, prior[first])]
+        at = base + left
+        gone = following[at]
+        after = following[base + gone]
+        prior = before[at]
+        ids[at] = new = vocab.merged[rank]
+        live[base + gone] = False
+        following[at] = after
+        before[base + after] = left
+        # Three leaves change: the pair of the symbol that went, of the new one, and the one before it.
+        k = len(top)
+        changed = vocab.pair_ranks(
+            np.concatenate([new, ids[base + prior]]), np.concatenate([ids[base + after], new])
         )
-        node = (width + leaf) >> 1
-        while width > 1 and node[0] > 0:
-            tree[r, node] = np.minimum(tree[r, 2 * node], tree[r, 2 * node + 1])
+        where = np.concatenate([left, prior])
+        changed = np.where(changed == NONE, NONE, (changed & LOW) << shift | where)
+        node = np.concatenate([where, gone]) + width
+        tops = np.concatenate([top, top, top])
+        tree[tops[2 * k :] + node[2 * k :]] = NONE
+        tree[tops[: 2 * k] + node[: 2 * k]] = changed
+        for _ in levels:
             node >>= 1
-        if width == 1:
-            tree[r, 1] = NONE
-        rows = rows[tree[rows, 1] != NONE]
-    return ids, live
+            child = tops + 2 * node
+            tree[tops + node] = np.minimum(tree[child], tree[child + 1])
+        top = top[tree[top + 1] != NONE]
+    return ids.reshape(n, width), live.reshape(n, width)
 
 
 def encode_texts(vocab: WordVocabulary, given: list[str]) -> list[bytes]:
     """Ids of each text, as little-endian 32-bit numbers."""
-    known, of_word = vocab.ids_of_block, vocab.ids_of_word
-    remember(known, REMEMBERED)
-    remember(of_word, REMEMBERED)
-    if not known:
-        known.update({mark: np.array([i], "<u4").tobytes() for mark, i in vocab.special.items()})
+    known, of_word = vocab.ids_of_block.turn(), vocab.ids_of_word.turn()
+    known.update((mark, np.array([i], "<u4").tobytes()) for mark, i in vocab.special.items())
     split = [vocab.blocks(t) for t in given]
     found = [list(map(known.get, blocks)) for blocks in split]
-    new = {b for blocks, ids in zip(split, found, strict=True) if None in ids for b, i in zip(blocks, ids, strict=True) if i is None}
-    words = {b: vocab.words(b) for b in new}
-    unseen = list(set(chain.from_iterable(words.values())).difference(of_word))
+    open_at = [[n for n, i in enumerate(ids) if i is None] if None in ids else [] for ids in found]
+    new = {blocks[n] for blocks, gaps in zip(split, open_at, strict=True) for n in gaps}
+    words = {b: vocab.words(b) for b in vocab.ids_of_block.recall(new)}
+    unseen = list(vocab.ids_of_word.recall({w for parts in words.values() for w in parts if w not in of_word}))
     of_word.update(zip(unseen, merge_by_trees(vocab, unseen), strict=True))
     for block, parts in words.items():
-        known[block] = b"".join(map(of_word.__getitem__, parts))
-    return [
-        b"".join(map(known.__getitem__, blocks) if None in ids else ids) for blocks, ids in zip(split, found, strict=True)
-    ]
+        known[block] = of_word[parts[0]] if len(parts) == 1 else b"".join([of_word[w] for w in parts])
+    for blocks, ids, gaps in zip(split, found, open_at, strict=True):
+        for n in gaps:
+            ids[n] = known[blocks[n]]
+    return list(map(b"".join, found))
 
 
 # --- counting: a heap of pairs over a linked list of symbols -------------------------------
@@ -360,24 +370,20 @@ def count_by_heap(vocab: WordVocabulary, word: str) -> int:
 
 
 def count_texts(vocab: WordVocabulary, given: list[str]) -> list[int]:
-    known, of_word = vocab.size_of_block, vocab.size_of_word
-    remember(known, 2 * REMEMBERED)
-    remember(of_word, 2 * REMEMBERED)
-    if not known:
-        known.update(dict.fromkeys(vocab.special, 1))
+    known, of_word = vocab.size_of_block.turn(), vocab.size_of_word.turn()
+    known.update(dict.fromkeys(vocab.special, 1))
     sizes = []
     for text in given:
         blocks = vocab.blocks(text)
         found = list(map(known.get, blocks))
         if None in found:
-            for at, block in enumerate(blocks):
-                if found[at] is None:
-                    size = 0
-                    for word in vocab.words(block):
-                        if word not in of_word:
-                            of_word[word] = count_by_heap(vocab, word)
-                        size += of_word[word]
-                    found[at] = known[block] = size
+            new = {b for b, size in zip(blocks, found, strict=True) if size is None}
+            for block in vocab.size_of_block.recall(new):
+                parts = vocab.words(block)
+                for word in vocab.size_of_word.recall({w for w in parts if w not in of_word}):
+                    of_word[word] = count_by_heap(vocab, word)
+                known[block] = sum(map(of_word.__getitem__, parts))
+            found = map(known.__getitem__, blocks)
         sizes.append(sum(found))
     return sizes
 

@@ -83,6 +83,27 @@ def texts(batch: pa.RecordBatch, column: int) -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
+class Remembered[V]:
+    """A bounded memory of two generations: what was used since the last turn, and before it."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.now: dict[str, V] = {}
+        self.before: dict[str, V] = {}
+
+    def turn(self) -> dict[str, V]:
+        """The current generation, a new one if it is full."""
+        if len(self.now) > self.limit:
+            self.now, self.before = {}, self.now
+        return self.now
+
+    def recall(self, keys: set[str]) -> set[str]:
+        """Take what the older generation knows into the current one; the keys neither knows."""
+        old = keys & self.before.keys()
+        self.now.update((k, self.before[k]) for k in old)
+        return keys - old
+
+
 def remember(cache: dict, limit: int) -> None:
     """Forget everything once a cache is full; only speed depends on it."""
     if len(cache) > limit:
