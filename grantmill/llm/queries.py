@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grantmill.llm import bpe, packing, quality, simhash, toxicity
+from grantmill.llm import bpe, licenses, packing, quality, simhash, toxicity
 from grantmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,3 +91,25 @@ def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document by the scorer that the documents' own weak labels train."""
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs)).withColumn("kept", F.col("score") >= 0.5)
+
+
+@query("op3_license_scan")
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and lines of every document."""
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    places = F.flatten(F.transform("hits", lambda h: h["places"]))
+    based = F.filter("hits", lambda h: F.size(h["places"]) > 0)
+
+    def joined(hits: Column) -> Column:
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(hits, lambda h: h["label"]))), ",")
+
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(places).cast("long").alias("n_base"),
+        F.array_min(places).alias("first_word"),
+        F.array_max(places).alias("last_word"),
+        joined(based).alias("base_labels"),
+        joined(F.col("hits")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("hits", lambda h: h["containment"])), F.lit(0.0)).alias("score"),
+    )
