@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grantmill.llm import bpe, licenses, packing, quality, simhash, toxicity, vectors
+from grantmill.llm import bpe, licenses, lm, packing, quality, simhash, toxicity, vectors
 from grantmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -143,3 +143,11 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
 def exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten highest inner products of every hundredth vector with all others."""
     return vectors.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
+
+
+@query("op1_lm_cross_entropy")
+def lm_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's losses under a model of the documents labelled good and one of all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+    return lm.score(docs, lm.fit(docs.join(good, "doc_id", "left_semi"), docs))
