@@ -90,7 +90,7 @@ def _(fx: Fixtures):
 @check(
     "drop_any_null",
     """SELECT patent_id, assignee_id, disambig_assignee_organization FROM raw_assignee
-       WHERE disambig_assignee_organization IS NOT NULL""",
+       WHERE disambig_assignee_organization IS NOT NULL AND assignee_id IS NOT NULL""",
 )
 def _(fx: Fixtures):
     return fx.raw_assignee.select("patent_id", "assignee_id", "disambig_assignee_organization").na.drop("any")
@@ -110,7 +110,8 @@ def _(fx: Fixtures):
 @check("filter_name_length", "SELECT DISTINCT inventor_id, name FROM named_inventors WHERE length(name) > 1")
 def _(fx: Fixtures):
     name = text.full_name(F.col("disambig_inventor_name_first"), F.col("disambig_inventor_name_last"))
-    return fx.raw_inventor.select("inventor_id", name.alias("name")).where(F.length("name") > 1).distinct()
+    named = fx.raw_inventor.select("inventor_id", name.alias("name")).na.drop(subset=["inventor_id"])
+    return named.where(F.length("name") > 1).distinct()
 
 
 @check("year_between", "SELECT patent_id, year FROM clean_patents WHERE year BETWEEN 1980 AND 2018")
@@ -256,7 +257,7 @@ def _(fx: Fixtures):
 @check("full_name", "SELECT DISTINCT inventor_id, name FROM named_inventors")
 def _(fx: Fixtures):
     name = text.full_name(F.col("disambig_inventor_name_first"), F.col("disambig_inventor_name_last"))
-    return fx.raw_inventor.select("inventor_id", name.alias("name")).distinct()
+    return fx.raw_inventor.select("inventor_id", name.alias("name")).na.drop(subset=["inventor_id"]).distinct()
 
 
 @check("string_length", "SELECT doc_id, CAST(length(text) AS INTEGER) AS n FROM documents")

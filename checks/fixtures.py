@@ -25,39 +25,38 @@ FROM {nation}
 """
 
 RAW_PATENT = """
-SELECT CAST(o_orderkey AS STRING) AS patent_id,
-       coalesce(substr(d.text, 1, 80), o_orderpriority) AS patent_title,
+SELECT CAST(coalesce(o_orderkey, doc_id) AS STRING) AS patent_id,
+       coalesce(split_part(d.text, chr(10), 1), o_orderpriority) AS patent_title,
        d.text AS patent_abstract,
-       CASE WHEN o_orderkey % 97 = 0 THEN 'not-a-date'
+       CASE WHEN o_orderkey IS NULL THEN CAST(DATE '2001-01-01' + CAST(doc_id % 7000 AS INTEGER) AS STRING)
+            WHEN o_orderkey % 97 = 0 THEN 'not-a-date'
             WHEN o_orderkey % 101 = 0 THEN NULL
             WHEN o_orderkey % 10 = 0 THEN CAST(CAST(o_orderdate AS DATE) AS STRING)
             ELSE CAST(CAST(o_orderdate + INTERVAL '20' YEAR AS DATE) AS STRING) END AS patent_date,
        CASE WHEN o_orderstatus = 'P' THEN 'design' WHEN o_orderstatus = 'F' THEN 'utility'
             WHEN o_orderkey % 2 = 0 THEN ' Reissue ' ELSE NULL END AS patent_type,
        substr(o_orderpriority, 1, 1) AS wipo_kind
-FROM {orders} LEFT JOIN {documents} d ON d.doc_id = o_orderkey
+FROM {orders} FULL JOIN {documents} d ON d.doc_id = o_orderkey
 """
 
 RAW_INVENTOR = """
 SELECT CAST(l_orderkey AS STRING) AS patent_id,
-       concat('inv-', CAST(l_partkey AS STRING)) AS inventor_id,
+       CASE WHEN l_orderkey % 23 <> 0 THEN concat('inv-', CAST(l_partkey AS STRING)) END AS inventor_id,
        CASE WHEN l_partkey % 50 = 0 THEN 'X' ELSE concat(' ', p_name) END AS disambig_inventor_name_first,
        CASE WHEN l_partkey % 50 = 0 THEN NULL ELSE p_type END AS disambig_inventor_name_last,
        CASE WHEN l_partkey % 11 = 0 THEN 'se' WHEN l_partkey % 13 = 0 THEN '  ' ELSE NULL END AS inventor_country,
        CASE WHEN l_partkey % 29 = 0 THEN NULL
             ELSE concat('loc-', CAST(l_partkey % 27 AS STRING)) END AS location_id
 FROM {lineitem} JOIN {part} ON p_partkey = l_partkey
-WHERE l_orderkey % 23 <> 0
 """
 
 RAW_ASSIGNEE = """
 SELECT CAST(l_orderkey AS STRING) AS patent_id,
-       concat('org-', CAST(l_suppkey AS STRING)) AS assignee_id,
+       CASE WHEN l_linenumber <= 2 THEN concat('org-', CAST(l_suppkey AS STRING)) END AS assignee_id,
        CASE WHEN l_suppkey % 33 = 0 THEN NULL
             ELSE concat(' Group ', CAST(l_suppkey % 40 AS STRING)) END AS disambig_assignee_organization,
        concat('loc-', CAST(s_nationkey AS STRING)) AS location_id
 FROM {lineitem} JOIN {supplier} ON s_suppkey = l_suppkey
-WHERE l_linenumber <= 2
 """
 
 RAW_TABLES = {

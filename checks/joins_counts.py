@@ -195,7 +195,7 @@ def _(fx: Fixtures):
     return dedupe.distinct_pairs(fx.raw_assignee, "patent_id", "assignee_id")
 
 
-@check("partial_then_final_distinct", "SELECT DISTINCT patent_id, inventor_id FROM raw_inventor")
+@check("partial_then_final_distinct", "SELECT DISTINCT patent_id, inventor_id FROM raw_inventor WHERE inventor_id IS NOT NULL")
 def _(fx: Fixtures):
     return dedupe.distinct_pairs(fx.raw_inventor, "patent_id", "inventor_id")
 
@@ -528,7 +528,8 @@ def _(fx: Fixtures):
     "surrogate_id",
     """SELECT row_number() OVER (ORDER BY patent_id, inventor_id, company_id) AS id, patent_id, inventor_id, company_id
        FROM (SELECT DISTINCT r.patent_id, r.inventor_id, a.assignee_id AS company_id
-             FROM raw_inventor r JOIN raw_assignee a ON r.patent_id = a.patent_id)""",
+             FROM raw_inventor r JOIN raw_assignee a ON r.patent_id = a.patent_id
+             WHERE r.inventor_id IS NOT NULL AND a.assignee_id IS NOT NULL)""",
 )
 def _(fx: Fixtures):
     inventors = fx.raw_inventor.select("patent_id", "inventor_id")

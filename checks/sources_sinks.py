@@ -82,7 +82,7 @@ def _(fx: Fixtures):
 )
 def _(fx: Fixtures):
     patent = F.col("patent_id").cast("bigint")
-    two = [F.col("patent_id"), F.col("inventor_id")]
+    two = [F.col("patent_id"), F.coalesce("inventor_id", F.lit(""))]
     three = [*two, F.coalesce("location_id", F.lit(""))]
     line = (
         F.when(patent % 7 == 0, F.concat_ws("\t", *two))
@@ -108,9 +108,9 @@ def _(fx: Fixtures):
     return readers.scan_raw_table(fx.spark, path, schemas.INVENTOR_COLUMNS, null_tokens=tokens)
 
 
-@check("sample_rows", "SELECT patent_id, patent_date FROM raw_patent ORDER BY patent_id LIMIT 200000")
+@check("sample_rows", "SELECT patent_id, patent_date FROM raw_patent ORDER BY patent_id LIMIT 1000")
 def _(fx: Fixtures):
-    return readers.sample_rows(fx.raw_patent.select("patent_id", "patent_date"))
+    return readers.sample_rows(fx.raw_patent.select("patent_id", "patent_date"), 1000)
 
 
 @check("read_clean", "SELECT company_id, name, country FROM companies")
@@ -161,6 +161,19 @@ def _(fx: Fixtures):
     return writers.recreate_tables(fx.spark, fx.scratch("tables"), fx.target_tables)["patents"]
 
 
+@check(
+    "recreate_relationships",
+    """SELECT patent_id, inventor_id, company_id, count(*) OVER () AS ids, CAST(1 AS BIGINT) AS first_id,
+              count(*) OVER () AS last_id FROM relationships""",
+)
+def _(fx: Fixtures):
+    loaded = writers.recreate_tables(fx.spark, fx.scratch("tables"), fx.target_tables)["relationships"]
+    # The ids are dense and unique; which row has which is not fixed.
+    ids = loaded.agg(F.count_distinct("id").alias("ids"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+    row = ids.first()
+    return loaded.select("patent_id", "inventor_id", "company_id", *[F.lit(row[c]).cast("bigint").alias(c) for c in ids.columns])
+
+
 @check(
     "export_reports_csv",
     """SELECT * FROM (SELECT 'top_inventors' AS report, name AS label, patent_count FROM inventor_counts

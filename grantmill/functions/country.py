@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grantmill.functions.text import strip, title_case
+from grantmill.operators.joins import lookup_left
 
 UNKNOWN = "Unknown"
 
@@ -53,16 +54,10 @@ def normalize_country(c: Column, names: Mapping[str, str] = COUNTRY_NAMES) -> Co
 def country_lookup(df: DataFrame, column: str, dimension: DataFrame, out: str = "country") -> DataFrame:
     """The same rule with the names taken from a ``(code, name)`` table.
 
-    Only codes of two letters A to Z are kept, so at most 26 * 26 rows are broadcast.
+    Its codes are trimmed and upper-cased like the values, and all of them are kept;
+    Spark decides by its size whether the table is broadcast.
     """
-    names = (
-        dimension.where(F.col("code").rlike("^[A-Z]{2}$"))
-        .groupBy(F.col("code").alias("_code"))
-        .agg(F.min("name").alias("_name"))
-    )
-    return (
-        df.withColumn("_code", _code(F.col(column)))
-        .join(F.broadcast(names), "_code", "left")
-        .withColumn(out, _spell(F.col("_code"), F.col("_name")))
-        .drop("_code", "_name")
-    )
+    names = dimension.groupBy(_code(F.col("code")).alias("_code")).agg(F.min("name").alias("_name"))
+    coded = df.withColumn("_code", _code(F.col(column)))
+    found = lookup_left(coded, names.where(F.col("_code").isNotNull()), "_code", spread_by=df.columns[0])
+    return found.withColumn(out, _spell(F.col("_code"), F.col("_name"))).drop("_code", "_name")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -50,12 +51,12 @@ def pick_column(df: DataFrame, candidates: Sequence[str]) -> str:
 def drop_artifact_columns(df: DataFrame, names: Sequence[str] = ()) -> DataFrame:
     """Drop the copies a reader made of repeated header names.
 
-    ``x.1`` goes where ``x`` exists. Spark itself reads a repeated ``x`` as ``x``
+    ``x.1`` goes where ``x`` exists; other names with a dot are names of their own. Spark itself reads a repeated ``x`` as ``x``
     plus the column position, which could also be a real name, so that form is
     only undone for the given ``names``: the first copy becomes ``x``.
     """
     present = set(df.columns)
-    dropped = {c for c in df.columns if "." in c and c.split(".", 1)[0] in present}
+    dropped = {c for c in df.columns if (copy := re.fullmatch(r"(.+)\.\d+", c)) and copy[1] in present}
     renamed = {}
     for name in names:
         copies = [c for i, c in enumerate(df.columns) if c == f"{name}{i}"]

@@ -8,10 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _ranks(columns: Sequence[str]) -> Column:
+    """A struct that orders by the columns, each with nulls last."""
+    flagged = [[F.col(c).isNull().alias(f"_null_{i}"), F.col(c)] for i, c in enumerate(columns)]
+    return F.struct(*[x for pair in flagged for x in pair])
+
+
 def keep_first(
     df: DataFrame, key: str, order: Sequence[str] = (), where: Column | None = None, by_column: bool = False
 ) -> DataFrame:
-    """The first row of every key, by ``order`` and then by the other columns as listed; nulls come first.
+    """The first row of every key, by ``order`` and then by the other columns as listed; nulls come last.
 
     A minimum is combined before the shuffle, so a key that holds a third of
     all rows still sends one row per task. ``where`` limits the rows that may be
@@ -23,15 +29,15 @@ def keep_first(
     """
     ranked = [*order, *[c for c in df.columns if c != key and c not in order]]
     if not by_column:
-        row = F.struct(*ranked)
+        row = _ranks(ranked)
         first = df.groupBy(key).agg(F.min(row if where is None else F.when(where, row)).alias("_first"))
-        return first.where(F.col("_first").isNotNull()).select(key, "_first.*").select(*df.columns)
+        return first.where(F.col("_first").isNotNull()).select(key, *[F.col("_first")[c].alias(c) for c in ranked]).select(*df.columns)
     if where is not None:
         df = df.where(where)
     head = ranked[0]
-    # The same order of nulls as in a struct, but a number or date is aggregated by hash.
-    firsts = [F.when(F.count(head) == F.count(F.lit(1)), F.min(head)).alias(head)]
-    firsts += [F.min(F.struct(*ranked[: i + 1]))[c].alias(c) for i, c in enumerate(ranked) if i > 0]
+    # A plain minimum passes over nulls as well, and a number or date is aggregated by hash.
+    firsts = [F.min(head).alias(head)]
+    firsts += [F.min(_ranks(ranked[: i + 1]))[c].alias(c) for i, c in enumerate(ranked) if i > 0]
     return df.groupBy(key).agg(*firsts).select(*df.columns)
 
 

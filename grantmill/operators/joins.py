@@ -53,10 +53,17 @@ def null_out_orphans(df: DataFrame, key: str, dimension: DataFrame, spread_by: s
     return lookup_left(df, known, key, spread_by).withColumn(key, kept).select(*df.columns)
 
 
+def _with_id(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("patent_id").isNotNull())
+
+
 def _without(rows: DataFrame, others: DataFrame) -> DataFrame:
-    """Rows of the patents that the other table does not have."""
-    known = fresh_key(others.select("patent_id").distinct(), "patent_id")
-    return rows.join(known, "patent_id", "left_anti")
+    """Rows of the patents that the other table does not have.
+
+    Both sides are filtered as the inner join filters them, so that Spark sees the same
+    exchange and makes it once.
+    """
+    return rows.join(others.select("patent_id"), "patent_id", "left_anti")
 
 
 def pair_per_patent(inventors: DataFrame, companies: DataFrame) -> DataFrame:
@@ -64,9 +71,10 @@ def pair_per_patent(inventors: DataFrame, companies: DataFrame) -> DataFrame:
 
     The full outer join is put together from an inner join and the two
     unmatched parts, each of which can be split at a hot patent. Columns beside
-    the ids are carried along.
+    the ids are carried along. Rows without a patent go.
     """
-    inventors, companies = fresh_key(inventors, "patent_id"), fresh_key(companies, "patent_id")
+    inventors = _with_id(fresh_key(_with_id(inventors), "patent_id"))
+    companies = _with_id(fresh_key(_with_id(companies), "patent_id"))
     return (
         inventors.join(companies, "patent_id")
         .unionByName(_without(inventors, companies), allowMissingColumns=True)
@@ -80,5 +88,6 @@ def with_patent(pairs: DataFrame, patents: DataFrame, paired: DataFrame | None =
     ``paired`` names the patents that have pairs, where that is cheaper to read than the pairs.
     """
     with_pairs = fresh_key(pairs, "patent_id").join(fresh_key(patents, "patent_id"), "patent_id")
-    alone = _without(fresh_key(patents, "patent_id"), pairs if paired is None else paired)
+    others = pairs if paired is None else paired
+    alone = _without(fresh_key(patents, "patent_id"), fresh_key(others.select("patent_id").distinct(), "patent_id"))
     return with_pairs.unionByName(alone, allowMissingColumns=True)

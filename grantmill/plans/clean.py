@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grantmill.functions.country import COUNTRY_NAMES, UNKNOWN, normalize_country
+from grantmill.functions.country import COUNTRY_NAMES, UNKNOWN, country_lookup, normalize_country
 from grantmill.functions.text import blank_to_null, full_name, parse_date, strip, strip_or_empty
 from grantmill.operators.columns import add_missing_default, add_missing_null, pick_column, rename_columns
 from grantmill.operators.dedupe import distinct_pairs, keep_first
@@ -20,6 +20,9 @@ KEPT_TYPES = ("utility", "reissue", "")
 INVENTOR_ID = ("disambig_inventor_id", "inventor_id")
 COMPANY_ID = ("disambig_assignee_id", "assignee_id")
 
+# Country names by code: a mapping, or a table (code, name) of any size.
+Names = Mapping[str, str] | DataFrame
+
 
 def clean_patents(raw: DataFrame, rows: int | None = None) -> DataFrame:
     """Patents with an id, a valid date and a kept type; ``rows`` caps the input by patent id."""
@@ -43,23 +46,30 @@ def clean_patents(raw: DataFrame, rows: int | None = None) -> DataFrame:
     )
 
 
-def clean_locations(raw: DataFrame, names: Mapping[str, str] = COUNTRY_NAMES) -> DataFrame:
+def _with_spelling(df: DataFrame, column: str, names: Names, out: str) -> DataFrame:
+    if isinstance(names, DataFrame):
+        return country_lookup(df, column, names, out)
+    return df.withColumn(out, normalize_country(F.col(column), names))
+
+
+def clean_locations(raw: DataFrame, names: Names = COUNTRY_NAMES) -> DataFrame:
     """One country per location."""
-    located = raw.select(
-        "location_id", normalize_country(F.col("disambig_country"), names).alias("country_from_location")
-    )
+    located = _with_spelling(
+        raw.select("location_id", "disambig_country"), "disambig_country", names, "country_from_location"
+    ).select("location_id", "country_from_location")
     return keep_first(located.na.drop(subset=["location_id"]), "location_id")
 
 
 def _with_country(
-    entities: DataFrame, locations: DataFrame | None, names: Mapping[str, str], key: str
+    entities: DataFrame, locations: DataFrame | None, names: Names, key: str
 ) -> DataFrame:
     """Country from the entity itself where it has one, else from its location."""
     if locations is None:
         found = add_missing_null(entities, ["country_from_location"])
     else:
         found = lookup_left(entities, locations, "location_id", spread_by=key)
-    direct = F.when(F.col("direct_country").isNotNull(), normalize_country(F.col("direct_country"), names))
+    found = _with_spelling(found, "direct_country", names, "_direct")
+    direct = F.when(F.col("direct_country").isNotNull(), F.col("_direct"))
     country = F.coalesce(direct, F.col("country_from_location"), F.lit(UNKNOWN))
     return found.select(key, "name", country.alias("country"))
 
@@ -80,7 +90,7 @@ def _distinct_entities(
 def clean_inventors(
     raw: DataFrame,
     locations: DataFrame | None,
-    names: Mapping[str, str] = COUNTRY_NAMES,
+    names: Names = COUNTRY_NAMES,
     order: Sequence[str] = (),
 ) -> DataFrame:
     """One named row per inventor: short names go first, then the first row of each id stays.
@@ -104,7 +114,7 @@ def clean_inventors(
 def clean_companies(
     raw: DataFrame,
     locations: DataFrame | None,
-    names: Mapping[str, str] = COUNTRY_NAMES,
+    names: Names = COUNTRY_NAMES,
     order: Sequence[str] = (),
 ) -> DataFrame:
     """One named row per company: the first row of each id stays, then short names go."""

@@ -85,13 +85,27 @@ def dash_countries(star: Star, k: int = 20) -> DataFrame:
     return top_countries(star, k, NOT_A_COUNTRY, "pct")
 
 
+MOST_BROADCAST_HITS = 10_000
+
+
 def search_patents(
     star: Star, keyword: str, first: int = 2010, last: int = 2024, limit: int = SEARCH_ROWS
 ) -> DataFrame:
-    """D7: the newest patents whose title contains the keyword; an empty keyword finds none."""
+    """D7: the newest patents whose title contains the keyword; an empty keyword finds none.
+
+    On the stored star the hits are found without abstracts, which are then read for the
+    years of the hits alone. A long list of hits is joined without a hint.
+    """
     wanted = star.patents.where(year_between(first, last))
     found = wanted.where(matches_keyword(F.col("title"), keyword)) if keyword else wanted.where(F.lit(False))
-    return head_n(found.select("patent_id", "title", "year", "abstract"), limit, F.desc("year"), "patent_id")
+    order = (F.desc("year"), "patent_id")
+    if not star.resolved:
+        return head_n(found.select("patent_id", "title", "year", "abstract"), limit, *order)
+    hits = head_n(found.select("patent_id", "title", "year"), limit, *order)
+    if limit <= MOST_BROADCAST_HITS:
+        hits = F.broadcast(hits)
+    texts = star.patents.select("patent_id", "year", "abstract").join(hits, ["year", "patent_id"])
+    return texts.select("patent_id", "title", "year", "abstract").orderBy(*order)
 
 
 def search_hit_count(hits: DataFrame) -> DataFrame:

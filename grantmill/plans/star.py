@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from abc import ABC, abstractmethod
-from collections.abc import Mapping
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -16,8 +15,9 @@ from grantmill.functions.country import COUNTRY_NAMES
 from grantmill.operators.columns import align_to_schema
 from grantmill.operators.dedupe import keep_first
 from grantmill.operators.integrity import check_unique_key, surrogate_id
-from grantmill.operators.joins import keep_valid_patents, null_out_orphans, pair_per_patent
+from grantmill.operators.joins import fresh_key, keep_valid_patents, null_out_orphans, pair_per_patent
 from grantmill.plans.clean import (
+    Names,
     clean_companies,
     clean_inventors,
     clean_locations,
@@ -25,7 +25,7 @@ from grantmill.plans.clean import (
     clean_patent_inventor,
     clean_patents,
 )
-from grantmill.session import run_together
+from grantmill.session import materialize, run_together
 
 _PATENT_ORDER = ("filing_date", "patent_type", "wipo_kind", "title", "abstract")
 RELATIONSHIP_ORDER = ("patent_id", "inventor_id", "company_id")
@@ -73,7 +73,7 @@ class RawStar(Star):
 
     resolved = False
 
-    def __init__(self, raw: RawTables, names: Mapping[str, str] = COUNTRY_NAMES, rows: int | None = None):
+    def __init__(self, raw: RawTables, names: Names = COUNTRY_NAMES, rows: int | None = None):
         self._raw, self._names, self._rows = raw, names, rows
 
     @cached_property
@@ -180,24 +180,23 @@ def load_relationships(
     is needed where the pairs may hold patents that were not loaded.
     """
     if patents is not None:
-        patent_inventor = keep_valid_patents(patent_inventor, patents)
-        patent_company = keep_valid_patents(patent_company, patents)
+        # The pairs may stand grouped by patent; only a fresh exchange can be split at a hot one.
+        patent_inventor = keep_valid_patents(fresh_key(patent_inventor, "patent_id"), patents)
+        patent_company = keep_valid_patents(fresh_key(patent_company, "patent_id"), patents)
     pi = null_out_orphans(patent_inventor, "inventor_id", inventors)
     pc = null_out_orphans(patent_company, "company_id", companies)
     pairs = pair_per_patent(pi, pc)
     return surrogate_id(pairs, *RELATIONSHIP_ORDER) if with_id else pairs
 
 
-def _unique_patents(cleaned: DataFrame, root: str) -> DataFrame:
+def _unique_patents(cleaned: DataFrame) -> DataFrame:
     """``load_patents`` for a load step: only patents whose id repeats are shuffled with their text.
 
     The repeated ids are written first. Spark then knows the size of that table
     and decides by it whether the other patents need a shuffle at all.
     """
     titled = cleaned.where(F.col("title").isNotNull())
-    path = f"{root}/repeated_ids"
-    check_unique_key(titled, "patent_id").select("patent_id").write.mode("overwrite").parquet(path)
-    repeated = cleaned.sparkSession.read.parquet(path)
+    repeated = materialize(check_unique_key(titled, "patent_id").select("patent_id"), "repeated_ids")
     if repeated.isEmpty():
         return titled
     once = titled.join(repeated, "patent_id", "left_anti")
@@ -212,7 +211,7 @@ def build_star(
     spark: SparkSession,
     raw: RawTables,
     root: str,
-    names: Mapping[str, str] = COUNTRY_NAMES,
+    names: Names = COUNTRY_NAMES,
     rows: int | None = None,
     relationships: bool = True,
 ) -> StoredStar:
@@ -226,7 +225,7 @@ def build_star(
     source, star = RawStar(raw, names, rows), StoredStar(spark, root)
 
     def write_patents() -> None:
-        patents = align_to_schema(_unique_patents(source.cleaned_patents, root), schemas.PATENTS)
+        patents = align_to_schema(_unique_patents(source.cleaned_patents), schemas.PATENTS)
         patents.hint("rebalance", "year").write.mode("overwrite").partitionBy("year").parquet(f"{root}/patents")
 
     def write_inventor_pairs() -> None:
@@ -246,5 +245,6 @@ def build_star(
     run_together(spark, write_inventor_pairs, write_company_pairs)
     if relationships:
         pairs = pair_per_patent(star.patent_inventor, star.patent_company)
-        _store(surrogate_id(pairs, *RELATIONSHIP_ORDER), root, "relationships", schemas.RELATIONSHIPS)
+        # The ids need to be dense and unique only: numbered as they come, the product is written twice and not sorted.
+        _store(surrogate_id(pairs), root, "relationships", schemas.RELATIONSHIPS)
     return star

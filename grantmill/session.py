@@ -52,10 +52,17 @@ def _private_folder() -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder all executors share.
 
-    The cluster names that folder in spark.checkpoint.dir. Only a session
-    without the setting, as in local tests, gets a private one.
+    The cluster names that folder in spark.checkpoint.dir, or the session sets it with
+    setCheckpointDir. Only a local session without either gets a private one: elsewhere
+    each executor would write to its own disk.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or _private_folder()
+    context = spark.sparkContext
+    chosen = context._jsc.sc().getCheckpointDir()
+    base = chosen.get() if chosen.isDefined() else spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = _private_folder()
     return f"{base.rstrip('/')}/grantmill-{uuid.uuid4().hex}/{name}"
 
 

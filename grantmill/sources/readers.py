@@ -17,7 +17,6 @@ from grantmill.operators.integrity import surrogate_id
 log = logging.getLogger(__name__)
 
 CORRUPT = "_corrupt_record"
-SAMPLE_ROWS = 200_000
 
 
 def _csv_reader(spark: SparkSession, sep: str, multi_line: bool):
@@ -134,7 +133,7 @@ def source_status(spark: SparkSession, paths: Mapping[str, str], want: Mapping[s
     return status
 
 
-def sample_rows(df: DataFrame, rows: int | None = SAMPLE_ROWS, order: str = "patent_id") -> DataFrame:
+def sample_rows(df: DataFrame, rows: int | None = None, order: str = "patent_id") -> DataFrame:
     """The first rows by key, rows without a key left out; ``None`` keeps all.
 
     A sort with so large a limit would send that many rows of every task to one

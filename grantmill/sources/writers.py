@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from grantmill.operators.columns import align_to_schema
+from grantmill.operators.integrity import surrogate_id
 from grantmill.schemas import TARGETS
 
+# Names of the report files.
 REPORT_FILES = ("top_inventors", "top_companies", "country_trends", "yearly_trends")
 
 
@@ -45,11 +47,17 @@ def write_table(df: DataFrame, path: str) -> None:
 
 
 def recreate_tables(spark: SparkSession, root: str, tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
-    """Replace the four target tables, typed, in dependency order, and read them back."""
+    """Replace the four target tables, typed, in dependency order, and read them back.
+
+    Relationships without an id are numbered 1..n.
+    """
     loaded = {}
     for name, schema in TARGETS.items():
         path = f"{root}/{name}"
-        align_to_schema(tables[name], schema).write.mode("overwrite").parquet(path)
+        df = tables[name]
+        if name == "relationships" and "id" not in df.columns:
+            df = surrogate_id(df)
+        align_to_schema(df, schema).write.mode("overwrite").parquet(path)
         loaded[name] = spark.read.schema(schema).parquet(path)
     return loaded
 

@@ -62,8 +62,9 @@ def test_loaded_patents_keep_the_first_row_of_an_id(spark):
         ("1", "0", "0", datetime.date(2002, 1, 1), 2002, "reissue", "A"),
     )
     assert rows(integrity.check_unique_key(cleaned, "patent_id")) == [("1", 4)]
+    # A missing kind comes after a given one.
     assert rows(load_patents(cleaned)) == [
-        ("1", "b", "z", datetime.date(2001, 1, 1), 2001, "utility", None),
+        ("1", "a", "y", datetime.date(2001, 1, 1), 2001, "utility", "B"),
     ]
 
 
@@ -168,12 +169,12 @@ def test_surrogate_ids_are_dense_and_ordered(spark):
     assert sorted(r.id for r in integrity.surrogate_id(df).collect()) == list(range(1, 5001))
 
 
-def test_keep_first_orders_nulls_first_in_both_forms(spark):
+def test_keep_first_orders_nulls_last_in_both_forms(spark):
     df = table(spark, "k string, a int, b string", ("x", 1, None), ("x", 1, "a"), ("x", 2, ""), ("y", None, "b"), ("y", 0, "a"))
-    expected = [("x", 1, None), ("y", None, "b")]
+    expected = [("x", 1, "a"), ("y", 0, "a")]
     assert rows(dedupe.keep_first(df, "k")) == expected
     assert rows(dedupe.keep_first(df, "k", by_column=True)) == expected
-    assert rows(dedupe.keep_first(df, "k", ["b"], where=F.col("a") > 0)) == [("x", 1, None)]
+    assert rows(dedupe.keep_first(df, "k", ["b"], where=F.col("a") > 0)) == [("x", 2, "")]
 
 
 def test_ranks(spark):
@@ -202,6 +203,11 @@ def test_recent_years_keeps_eleven(spark):
     assert [r.year for r in datasets.recent_years(trend).orderBy("year").collect()] == list(range(2011, 2022))
 
 
+def test_names_with_a_dot_are_kept(spark):
+    df = table(spark, "`address` string, `address.city` string, `address.1` string, `a.b` int, `a.b.2` int", ("x", "y", "z", 1, 2))
+    assert columns.drop_artifact_columns(df).columns == ["address", "address.city", "a.b"]
+
+
 def test_artifact_columns_are_dropped(spark):
     df = table(spark, "`a` int, `a.1` int, `b.1` int, c3 int, c4 int", (1, 2, 3, 4, 5))
     assert columns.drop_artifact_columns(df).columns == ["a", "b.1", "c3", "c4"]

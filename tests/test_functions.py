@@ -51,6 +51,13 @@ def test_country_lookup_uses_a_table_of_names(spark):
     assert found == {**COUNTRIES, "nz": "New Zealand"}
 
 
+def test_country_lookup_keeps_every_code(spark):
+    names = spark.createDataFrame([(" us", "United States"), ("1A", "Special"), (None, "no")], "code string, name string")
+    df = spark.createDataFrame([("US",), ("1a ",), (None,)], "v string")
+    found = {r.v: r.country for r in country.country_lookup(df, "v", names).collect()}
+    assert found == {"US": "United States", "1a ": "Special", None: "Unknown"}
+
+
 @pytest.mark.parametrize("value", ["2020-01-05", "2020-1-5", " 2020-01-05\t"])
 def test_parse_date(spark, value):
     assert apply(spark, [value], text.parse_date) == [datetime.date(2020, 1, 5)]
