@@ -41,9 +41,9 @@ TABLE_WIDTH = 64
 REMEMBERED = 120_000
 # Latin letters, their marks and general punctuation: here Python's tables and the
 # library's agree. Other scripts go through the library's own normaliser and splitter.
-OTHER_SCRIPT = re.compile("[^\u0000-ͯ -⁯€]")
+OTHER_SCRIPT = re.compile("[^\u0000-\u036f\u2000-\u206f\u20ac]")
 # The Unicode white space characters (fixed values).
-BLANK = "\\x09-\\x0d\\x20\\x85\\xa0  -     　"
+BLANK = "\\x09-\\x0d\\x20\\x85\\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 BLANKS = re.compile(f"[{BLANK}]+")
 # What str.split takes for white space beyond these.
 NOT_BLANK = "\x1c\x1d\x1e\x1f"

@@ -56,7 +56,7 @@ def words(text: str) -> Column:
     The Kelvin sign is the one other character whose lower case is an ASCII letter; any
     letter beyond ASCII may stand for it, as words with one equal no template word.
     """
-    lowered = F.lower(F.replace(F.coalesce(F.col(text), F.lit("")), F.lit("K"), F.lit("к")))
+    lowered = F.lower(F.replace(F.coalesce(F.col(text), F.lit("")), F.lit("\u212a"), F.lit("\u043a")))
     return F.filter(F.split(lowered, SEPARATORS), lambda w: w != "")
 
 

@@ -166,7 +166,7 @@ def expectation_maximisation(codes: np.ndarray, counts: np.ndarray, rounds: int
 
 # --- the hashed linear scorer ---------------------------------------------------------------
 
-_KINDS = [(re.compile("[A-ZÀ-Þ]+"), "A"), (re.compile("[a-zß-ɏ]+"), "a"), (re.compile("[0-9]+"), "0"), (re.compile(r"([^Aa0])\1+"), r"\1")]
+_KINDS = [(re.compile("[A-Z\u00c0-\u00de]+"), "A"), (re.compile("[a-z\u00df-\u024f]+"), "a"), (re.compile("[0-9]+"), "0"), (re.compile(r"([^Aa0])\1+"), r"\1")]
 _slots: dict[str, tuple[int, int]] = {}
 _SAME = zlib.crc32(b"same as the token before") % SLOTS
 

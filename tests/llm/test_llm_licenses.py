@@ -15,7 +15,7 @@ EXTRA = [
     (22, "license mit the under released, in another order"),
     (23, "under the mit licenseé under the mit licens under thé mit license"),
     (24, "cc by nc " * 70),
-    (25, "Apache License Version 2" + "K k"),
+    (25, "Apache License Version 2 K\u212ak \u212a under the MIT License\u212a under the mit license \u0130\u0049"),
 ]
 
 
