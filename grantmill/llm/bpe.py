@@ -47,6 +47,7 @@ BLANK = "\\x09-\\x0d\\x20\\x85\\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u
 BLANKS = re.compile(f"[{BLANK}]+")
 # What str.split takes for white space beyond these.
 NOT_BLANK = "\x1c\x1d\x1e\x1f"
+ROWS_AT_ONCE = 256
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 
 
@@ -426,14 +427,18 @@ def decode(vocab: Broadcast) -> Callable[[Column | str], Column]:
     """A column function from ids to text: the tokens' strings with blanks between, as the
     library joins them for a file without a decoder. Null ids give null, no ids an empty text."""
 
-    @F.arrow_udf(T.StringType())
-    def decoded(ids: pa.Array) -> pa.Array:
-        known = vocabulary(vocab.value)
-        values = known.strings.take(ids.flatten())
+    def joined(strings: pa.Array, ids: pa.Array) -> pa.Array:
         lengths = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
         offsets = pa.array(np.concatenate([[0], lengths.cumsum()]).astype(np.int32))
-        joined = pc.binary_join(pa.ListArray.from_arrays(offsets, values), " ")
-        return pc.if_else(ids.is_null(), None, joined)
+        lines = pc.binary_join(pa.ListArray.from_arrays(offsets, strings.take(ids.flatten())), " ")
+        return pc.if_else(ids.is_null(), None, lines)
+
+    @F.arrow_udf(T.StringType())
+    def decoded(ids: pa.Array) -> pa.Array:
+        strings = vocabulary(vocab.value).strings
+        # A batch may hold millions of ids; their strings are made for a few rows at a time.
+        parts = [joined(strings, ids.slice(at, ROWS_AT_ONCE)) for at in range(0, len(ids), ROWS_AT_ONCE)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
     return decoded
 
