@@ -38,7 +38,7 @@ LOW = (1 << 32) - 1
 # Words that need wider trees use the tree of one word at a time.
 TABLE_WIDTH = 64
 # Blocks and words remembered, twice: those seen lately and those before them.
-REMEMBERED = 120_000
+REMEMBERED = 150_000
 # Latin letters, their marks and general punctuation: here Python's tables and the
 # library's agree. Other scripts go through the library's own normaliser and splitter.
 OTHER_SCRIPT = re.compile("[^\u0000-\u036f\u2000-\u206f\u20ac]")

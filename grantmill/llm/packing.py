@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.broadcast import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -243,22 +243,19 @@ def assign(pieces: DataFrame, limit: int = 4096, sweep_rows: int = SWEEP_ROWS) -
     return result
 
 
-def _bounds(lone: DataFrame, places: dict[int, int], name: str) -> DataFrame:
-    """The lone pieces with a number per range, of which there are as many as ranges."""
-    rows = lone.sparkSession.createDataFrame([*places.items()], f"part int, {name} long")
-    return lone.join(F.broadcast(rows), "part")
+def _bound(places: dict[int, int]) -> Column:
+    """The number given for a row's range; there are as few numbers as ranges."""
+    return F.array(*[F.lit(places.get(part, 0)).cast("long") for part in range(max(places) + 1)])[F.col("part")]
 
 
 def _after(lone: DataFrame, places: dict[int, int]) -> DataFrame:
-    if not any(places.values()):
-        return lone
-    return _bounds(lone, places, "bound").where(F.col("place") >= F.col("bound")).drop("bound")
+    return lone.where(F.col("place") >= _bound(places)) if any(places.values()) else lone
 
 
 def _between(lone: DataFrame, places: dict[int, int], through: dict[int, int]) -> DataFrame:
     if not any(through.values()):
         return lone.limit(0)
-    return _bounds(_after(lone, places), through, "bound").where(F.col("place") < F.col("bound")).drop("bound")
+    return _after(lone, places).where(F.col("place") < _bound(through))
 
 
 def _take_across(swept: DataFrame, lone: DataFrame, runs: list[tuple[int, int, int, int, int]]) -> DataFrame:
