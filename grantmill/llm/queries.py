@@ -148,7 +148,5 @@ def exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_lm_cross_entropy")
 def lm_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's losses under a model of the documents labelled good and one of all documents."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    # Labels grow with the documents: always a merge join, also where they happen to be small.
-    good = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id").hint("merge")
-    return lm.score(docs, lm.fit(docs.join(good, "doc_id", "left_semi"), docs))
+    good = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0")
+    return lm.score_background(table(spark, sf_dir, "documents"), good)

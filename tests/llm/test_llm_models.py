@@ -181,3 +181,71 @@ def test_no_texts_for_the_models(spark):
     assert lm.score(empty, models).collect() == []
     rows = {r.doc_id: r.difference for r in lm.score(documents(spark), models).collect()}
     assert rows[1] == 0 and rows[2] is None
+
+
+def exact_losses(target, background, texts, vocabulary):
+    """The estimates from plain dictionaries of the words themselves."""
+
+    def counts(given):
+        words, firsts, pairs = Counter(), Counter(), Counter()
+        for found in given:
+            words.update(found)
+            firsts.update([None, *found[:-1]] if found else [])
+            pairs.update(zip([None, *found], found, strict=False))
+        return words, firsts, pairs, sum(words.values())
+
+    target, background, texts = ([lm.TOKEN.findall(t.lower()) for t in given] for given in (target, background, texts))
+    both = counts(target), counts(background)
+    for found in texts:
+        yield [
+            -sum(
+                math.log(
+                    lm.BIGRAM_SHARE * pairs[before, word] / max(firsts[before], 1)
+                    + (1 - lm.BIGRAM_SHARE) * (words[word] + lm.PRIOR) / (total + lm.PRIOR * vocabulary)
+                )
+                for before, word in zip([None, *found], found, strict=False)
+            )
+            / len(found)
+            for words, firsts, pairs, total in both
+        ]
+
+
+def test_more_words_and_pairs_than_a_fixed_table(spark):
+    rng = np.random.default_rng(3)
+    # 300,000 different words and about 2.4 million different pairs, as a table of 2**21 has no room for.
+    rows = [(i, " ".join(f"w{n}" for n in rng.integers(300_000, size=24_000))) for i in range(100)]
+    texts = [t for _, t in rows]
+    df = documents(spark, rows)
+    target = df.where("doc_id < 50")
+    pairs = {p for t in texts for p in zip(t.split(), t.split()[1:], strict=False)}
+    words = len({w for t in texts for w in t.split()})
+    assert len(pairs) > 1 << 21 and words > 1 << lm.WORD_BITS
+    seen = "w1 w2 " + texts[60][:2000]
+    asked = documents(spark, [(1, seen), (2, "w5 unheard w7")])
+    got = {r.doc_id: (r.target_loss, r.background_loss) for r in lm.score(asked, lm.fit(target, df)).collect()}
+    want = exact_losses(texts[:50], texts, [seen, "w5 unheard w7"], words + 1)
+    assert got == {i: pytest.approx(tuple(w), rel=1e-9) for i, w in enumerate(want, 1)}
+
+
+def test_rows_that_are_the_background_too(spark, monkeypatch):
+    rows = [*ODD, *((20 + i, t) for i, t in enumerate(prose(30)))]
+    df = documents(spark, rows)
+    ids = spark.createDataFrame([(i,) for i in [5, 5, 8, None, 999, *range(30, 40)]], "doc_id long")
+    once = lm.score_background(df, ids)
+    apart = lm.score(df, lm.fit(df.join(ids, "doc_id", "left_semi"), df))
+    columns = once.columns
+
+    def rounded(found):
+        return sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in found.collect()), key=repr)
+
+    assert columns == ["doc_id", "n_tokens", "target_loss", "background_loss", "difference"]
+    assert rounded(once) == rounded(apart) and once.count() == len(rows)
+    monkeypatch.setattr(lm, "CHUNK_TOKENS", 100)
+    assert rounded(lm.score_background(df, ids)) == rounded(apart)
+
+
+def test_entries_of_one_hash_stay_apart(monkeypatch):
+    monkeypatch.setattr(lm, "_mixed", lambda first, second: np.zeros_like(first))
+    first, second = np.array([7, 3, 7, 3, 7], np.uint64), np.array([1, 1, 2, 1, 1], np.uint64)
+    number = lm.same_entries(first, second)
+    assert number[0] == number[4] and number[1] == number[3] and len(set(number.tolist())) == 3
