@@ -8,8 +8,9 @@ holds the ordinary one's content and the codes that toxic rows have and ordinary
 lack, so ordinary windows compress alike. A calibrated threshold turns a text's savings
 into a probability.
 
-Learning takes a bounded sample of the labelled rows (`Limits`); scoring takes every
-window of every text. Null and empty texts have no savings and the score of a text
+Learning takes a bounded sample of the labelled rows (`Limits`); the rows that calibrate
+weigh as many as their label has among all labelled rows, so a score does not depend on
+how many rows of a label were taken. Scoring takes every window of every text. Null and empty texts have no savings and the score of a text
 without evidence. Without labels of both kinds the score is the share of toxic labels
 (0 without any). Labels with a null id or a null mark are not used; of several labels of
 one id the largest counts. Repeated rows are scored alike.
@@ -108,14 +109,15 @@ def features(total: int, best: int, n: int) -> np.ndarray:
     return np.array([1.0, np.log1p(total), np.log1p(best), total / max(n, 1) / CODE_BYTES])
 
 
+def known_labels(labels: DataFrame, learn: Column, id_col: str = "doc_id", label_col: str = "toxic") -> DataFrame:
+    """The label (0 or 1) of each id that may be learned from."""
+    usable = labels.where(learn & F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1))
+    return usable.groupBy(id_col).agg(F.max(label_col).cast("int").alias("label"))
+
+
 def learned_rows(labels: DataFrame, learn: Column, limit: int, id_col: str = "doc_id", label_col: str = "toxic") -> DataFrame:
     """At most `limit` ids of each label (0 and 1), by the order of a hash."""
-    known = (
-        labels.where(learn & F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1))
-        .groupBy(id_col)
-        .agg(F.max(label_col).cast("int").alias("label"))
-        .withColumn("order", F.xxhash64(id_col))
-    )
+    known = known_labels(labels, learn, id_col, label_col).withColumn("order", F.xxhash64(id_col))
     some = [known.where(F.col("label") == k).orderBy("order", id_col).limit(limit) for k in (0, 1)]
     return some[0].unionByName(some[1]).select(id_col, "label", (F.pmod("order", F.lit(4)) == 3).alias("calibrates"))
 
@@ -135,7 +137,11 @@ def fit(
     three numbers for a quarter of these rows.
     """
     spark = ship(docs.sparkSession)
-    sample = learned_rows(labels, F.lit(True) if learn is None else learn, limits.rows_of_a_label, id_col).cache()
+    usable = F.lit(True) if learn is None else learn
+    number = {r["label"]: r["count"] for r in known_labels(labels, usable, id_col).groupBy("label").count().collect()}
+    # How many labelled rows one of the sample stands for.
+    stands_for = np.array([max(number.get(k, 0) / limits.rows_of_a_label, 1.0) for k in (0, 1)])
+    sample = learned_rows(labels, usable, limits.rows_of_a_label, id_col).cache()
     most = limits.windows_of_a_row
     try:
         rows = docs.select(id_col, text_col).join(F.broadcast(sample), id_col)
@@ -177,8 +183,9 @@ def fit(
         sample.unpersist()
     x = np.array([features(*row) for row in zip(*(measured[c] for c in ("total", "best", "n")), strict=True)]).reshape(-1, 4)
     y = np.array(measured["label"], float)
-    everyone = np.concatenate([y, np.array(learned["label"], float)])
-    return Model(ordinary, toxic, _calibrated(x, y, float(everyone.mean()) if len(everyone) else 0.0))
+    everyone = np.array([*measured["label"], *learned["label"]], int)
+    share = float(np.average(everyone, weights=stands_for[everyone])) if len(everyone) else 0.0
+    return Model(ordinary, toxic, _calibrated(x, y, share, stands_for[y.astype(int)]))
 
 
 def _dictionaries(rows: list[list[str]], labels: list[int], limits: Limits) -> tuple[bytes, bytes]:
@@ -208,16 +215,19 @@ def _dictionaries(rows: list[list[str]], labels: list[int], limits: Limits) -> t
     return ordinary, ordinary + b"".join(sorted(kept, key=lambda c: (counts[1][c], c)))
 
 
-def _calibrated(x: np.ndarray, y: np.ndarray, share: float, penalty: float = 0.05) -> tuple[float, float, float, float]:
-    """Logistic weights by Newton steps; without both labels only the share is known."""
+def _calibrated(
+    x: np.ndarray, y: np.ndarray, share: float, stands_for: np.ndarray, penalty: float = 0.05
+) -> tuple[float, float, float, float]:
+    """Logistic weights by Newton steps, of weighted rows; without both labels only the share is known."""
     if not len(y) or y.min() == y.max():
         return (float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))), 0.0, 0.0, 0.0)
+    weight = stands_for / stands_for.mean()
     w = np.zeros(x.shape[1])
     ridge = penalty * np.diag([0.0] + [1.0] * (x.shape[1] - 1))
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (p - y) + ridge @ w
-        curve = (x * (p * (1 - p))[:, None]).T @ x + ridge + 1e-9 * np.eye(len(w))
+        slope = x.T @ (weight * (p - y)) + ridge @ w
+        curve = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge + 1e-9 * np.eye(len(w))
         step = np.linalg.solve(curve, slope)
         w -= step
         if np.abs(step).max() < 1e-8:

@@ -117,6 +117,19 @@ def test_toxicity_of_odd_rows(spark, marks):
     assert toxicity.keep_clean(df, model, 1.1).count() == len(ODD)
 
 
+def test_scores_do_not_depend_on_the_cap(spark):
+    # Labels that texts say nothing about: a score is the share of toxic ones, a tenth.
+    df = documents(spark, list(enumerate(prose(1200, seed=5))))
+    labels = spark.createDataFrame([(i, 1, int(i % 10 == 0)) for i in range(1200)], "doc_id long, quality int, toxic int")
+
+    def mean(limit):
+        model = toxicity.fit(df, labels, limits=toxicity.Limits(rows_of_a_label=limit, least_rows=10**6))
+        scores = [r.score for r in toxicity.score(df, model).collect()]
+        return sum(scores) / len(scores)
+
+    assert abs(mean(4000) - 0.1) < 0.05 and abs(mean(120) - 0.1) < 0.05
+
+
 # --- language models ---
 
 
