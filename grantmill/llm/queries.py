@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grantmill.llm import bpe, licenses, lm, packing, quality, simhash, toxicity, vectors
+from grantmill.llm import bpe, copies, licenses, lm, packing, quality, simhash, toxicity, vectors
 from grantmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -150,3 +150,20 @@ def lm_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's losses under a model of the documents labelled good and one of all documents."""
     good = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0")
     return lm.score_background(table(spark, sf_dir, "documents"), good)
+
+
+COPIES_SQL = r"""
+WITH normal AS (
+  SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
+  FROM documents
+)
+SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id NULLS LAST) = 1 AS kept, text_sha256
+FROM normal WINDOW same AS (PARTITION BY text_sha256)
+"""
+
+
+@query("op12_exact_dedup", COPIES_SQL)
+def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the one that stays of its exact copies."""
+    return copies.group_copies(table(spark, sf_dir, "documents"))
