@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grantmill.llm import bpe, copies, licenses, lm, packing, quality, simhash, toxicity, vectors
+from grantmill.llm import bpe, copies, licenses, lm, packing, quality, simhash, spelling, toxicity, vectors
 from grantmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -167,3 +167,10 @@ FROM normal WINDOW same AS (PARTITION BY text_sha256)
 def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the one that stays of its exact copies."""
     return copies.group_copies(table(spark, sf_dir, "documents"))
+
+
+@query("op11_spelling_variants")
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all documents, each with its near words' number, its form and its root."""
+    counted = spelling.count_words(table(spark, sf_dir, "documents"), letters="A-Za-z\u00C0-\u00FF", least=7)
+    return spelling.variants(counted, least=7, ratio=10)
