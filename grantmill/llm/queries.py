@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grantmill.llm import bpe, copies, licenses, lm, packing, quality, simhash, spelling, toxicity, vectors
+from grantmill.llm import bpe, copies, licenses, lm, packing, phrases, quality, simhash, spelling, toxicity, vectors
 from grantmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -174,3 +174,49 @@ def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words of all documents, each with its near words' number, its form and its root."""
     counted = spelling.count_words(table(spark, sf_dir, "documents"), letters="A-Za-z\u00C0-\u00FF", least=7)
     return spelling.variants(counted, least=7, ratio=10)
+
+
+PHRASES_SQL = r"""
+WITH pieces AS (
+  SELECT lang, piece, unnest(list_filter(string_split_regex(part, '[\x20\x09]+'), lambda w: w <> '')) AS word,
+         generate_subscripts(list_filter(string_split_regex(part, '[\x20\x09]+'), lambda w: w <> ''), 1) AS place
+  FROM (SELECT lang, part, row_number() OVER () AS piece FROM (
+    SELECT coalesce(lang, 'und') AS lang,
+           unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                               'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS part
+    FROM documents))
+), totals AS (SELECT lang, count(*) AS n FROM pieces GROUP BY lang),
+windows AS (
+  SELECT lang, array_agg(word) OVER (PARTITION BY piece ORDER BY place
+                                     ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS words
+  FROM pieces
+), f AS (
+  SELECT lang, words, count(*) AS f FROM (
+    SELECT lang, words[1:k] AS words FROM windows, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE len(words) >= k)
+  GROUP BY lang, words HAVING count(*) >= 100
+), cuts AS (
+  SELECT c.lang, c.words, c.f AS a, k, l.f AS l, r.f AS r, n,
+         (1000 * CAST(c.f AS HUGEINT) * n) // (CAST(l.f AS HUGEINT) * r.f) AS score
+  FROM f c JOIN totals t ON t.lang = c.lang, (SELECT unnest([1, 2, 3, 4]) AS k)
+  JOIN f l ON l.lang = c.lang AND l.words = c.words[1:k]
+  JOIN f r ON r.lang = c.lang AND r.words = c.words[k + 1:]
+  WHERE len(c.words) > k
+), best AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, k) = 1
+), kept AS (
+  SELECT * FROM best b WHERE NOT EXISTS (
+    SELECT 1 FROM f w, (SELECT unnest([1, 2, 3, 4]) AS s)
+    WHERE w.lang = b.lang AND len(w.words) > len(b.words) AND s + len(b.words) - 1 <= len(w.words)
+      AND w.words[s:s + len(b.words) - 1] = b.words AND 100 * w.f >= 100 * b.a)
+)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score
+  FROM (SELECT *, array_to_string(words, ' ') AS phrase FROM kept)
+) WHERE rank <= 2000
+"""
+
+
+@query("op13_phrase_collocations", PHRASES_SQL)
+def phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best phrases of two to five words of every language."""
+    return phrases.collocations(table(spark, sf_dir, "documents"), least=100, longest=5, top=2000, covered=100)
