@@ -59,11 +59,31 @@ SELECT CAST(l_orderkey AS STRING) AS patent_id,
 FROM {lineitem} JOIN {supplier} ON s_suppkey = l_suppkey
 """
 
+# Entities with another name, country and place in every row; the files hold the rows in the order of the places.
+RAW_SPELLING = """
+SELECT l_orderkey AS place_1, l_linenumber AS place_2, l_partkey AS place_3, l_suppkey AS place_4, CAST(l_orderkey AS STRING) AS patent_id,
+       concat('inv-', CAST(l_partkey AS STRING)) AS inventor_id,
+       CASE WHEN (l_orderkey + l_linenumber) % 3 = 0 THEN 'Q' ELSE concat('First', chr(10), CAST(l_orderkey AS STRING)) END
+         AS disambig_inventor_name_first,
+       CASE WHEN (l_orderkey + l_linenumber) % 3 = 0 THEN NULL ELSE concat('"Last" ', CAST(l_linenumber AS STRING)) END
+         AS disambig_inventor_name_last,
+       CASE l_orderkey % 4 WHEN 0 THEN 'SE' WHEN 1 THEN 'kr' ELSE NULL END AS inventor_country,
+       concat('org-', CAST(l_suppkey AS STRING)) AS assignee_id,
+       CASE WHEN l_orderkey % 5 = 0 THEN 'Z' WHEN l_orderkey % 7 = 0 THEN NULL ELSE concat('Group ', CAST(l_orderkey AS STRING)) END
+         AS disambig_assignee_organization,
+       CASE l_linenumber % 3 WHEN 0 THEN 'FR' WHEN 1 THEN 'Brazil' ELSE NULL END AS assignee_country,
+       concat('loc-', CAST(l_suppkey % 97 AS STRING)) AS location_id,
+       CASE l_orderkey % 6 WHEN 0 THEN 'US' WHEN 1 THEN NULL WHEN 2 THEN 'jp' ELSE concat('Land ', CAST(l_orderkey AS STRING)) END
+         AS disambig_country
+FROM {lineitem}
+"""
+
 RAW_TABLES = {
     "raw_location": (RAW_LOCATION, ("nation",)),
     "raw_patent": (RAW_PATENT, ("orders", "documents")),
     "raw_inventor": (RAW_INVENTOR, ("lineitem", "part")),
     "raw_assignee": (RAW_ASSIGNEE, ("lineitem", "supplier")),
+    "raw_spelling": (RAW_SPELLING, ("lineitem",)),
 }
 
 
@@ -91,6 +111,12 @@ class Fixtures:
         """The raw table as tab-separated files."""
         return write_raw(self.raw(name), self.scratch(f"{name}.tsv"))
 
+    def spelling_file(self, *columns: str) -> str:
+        """Columns of the table of spellings as files that hold its rows in order."""
+        place = [f"place_{i}" for i in (1, 2, 3, 4)]
+        placed = self.raw("raw_spelling").repartitionByRange(4, *place).sortWithinPartitions(*place)
+        return write_raw(placed.select(*columns), self.scratch("spellings.tsv"))
+
     @cached_property
     def raw_location(self) -> DataFrame:
         return self.raw("raw_location")

@@ -183,7 +183,7 @@ def _(fx: Fixtures):
 @check(
     "dedupe_by_key",
     """SELECT inventor_id, patent_id, location_id FROM (
-         SELECT *, row_number() OVER (PARTITION BY inventor_id ORDER BY patent_id) AS n
+         SELECT *, row_number() OVER (PARTITION BY inventor_id ORDER BY patent_id NULLS LAST, location_id NULLS LAST) AS n
          FROM (SELECT DISTINCT inventor_id, patent_id, location_id FROM raw_inventor)) WHERE n = 1""",
 )
 def _(fx: Fixtures):

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.fixtures import Fixtures
-from checks.oracle import ascii_like
+from checks.oracle import ascii_like, country, strip
 from checks.registry import check
-from grantmill.plans import clean, datasets, reports, star
+from grantmill.plans import clean, datasets, raw, reports, star
+from grantmill.sources.readers import scan_raw_table
+from grantmill.sources.writers import write_raw
 
 _TOP_INVENTORS = "SELECT * FROM inventor_counts ORDER BY patent_count DESC, inventor_id LIMIT {}"
 _TOP_COMPANIES = "SELECT * FROM company_counts ORDER BY patent_count DESC, company_id LIMIT {}"
@@ -39,6 +41,71 @@ def _(fx: Fixtures):
     return clean.clean_companies(fx.raw_assignee, fx.clean_locations)
 
 
+# First rows in file order, for ids with many spellings
+
+_PLACE = "place_1, place_2, place_3, place_4"
+_FIRST_LOCATION = f"""SELECT location_id, country_from_location FROM (
+    SELECT location_id, {country("disambig_country")} AS country_from_location,
+           row_number() OVER (PARTITION BY location_id ORDER BY {_PLACE}) AS n FROM raw_spelling) WHERE n = 1"""
+_SPELLED_NAME = (
+    strip(f"coalesce({strip('disambig_inventor_name_first')}, '') || ' ' || coalesce({strip('disambig_inventor_name_last')}, '')")
+)
+
+
+def _spellings(fx: Fixtures, *columns: str):
+    return scan_raw_table(fx.spark, fx.spelling_file(*columns), columns, ordinal="place")
+
+
+@check("first_row_of_locations", _FIRST_LOCATION)
+def _(fx: Fixtures):
+    return clean.clean_locations(_spellings(fx, "location_id", "disambig_country"), order=["place"])
+
+
+@check(
+    "first_row_of_inventors",
+    f"""SELECT inventor_id, name, CASE WHEN inventor_country IS NOT NULL THEN {country("inventor_country")}
+                                  ELSE coalesce(country_from_location, 'Unknown') END AS country
+        FROM (SELECT *, row_number() OVER (PARTITION BY inventor_id ORDER BY {_PLACE}) AS n
+              FROM (SELECT *, {_SPELLED_NAME} AS name FROM raw_spelling) WHERE length(name) > 1)
+        LEFT JOIN ({_FIRST_LOCATION}) USING (location_id) WHERE n = 1""",
+)
+def _(fx: Fixtures):
+    locations = clean.clean_locations(_spellings(fx, "location_id", "disambig_country"), order=["place"])
+    rows = _spellings(fx, "patent_id", "inventor_id", "disambig_inventor_name_first", "disambig_inventor_name_last",
+                      "inventor_country", "location_id")
+    return clean.clean_inventors(rows, locations, order=["place"])
+
+
+@check(
+    "first_row_of_companies",
+    f"""SELECT assignee_id AS company_id, {strip("disambig_assignee_organization")} AS name,
+               CASE WHEN assignee_country IS NOT NULL THEN {country("assignee_country")} ELSE 'Unknown' END AS country
+        FROM (SELECT *, row_number() OVER (PARTITION BY assignee_id ORDER BY {_PLACE}) AS n
+              FROM raw_spelling WHERE disambig_assignee_organization IS NOT NULL)
+        WHERE n = 1 AND length({strip("disambig_assignee_organization")}) > 1""",
+)
+def _(fx: Fixtures):
+    rows = _spellings(fx, "patent_id", "assignee_id", "disambig_assignee_organization", "assignee_country")
+    return clean.clean_companies(rows, None, order=["place"])
+
+
+@check(
+    "open_raw_folder",
+    """SELECT name AS inventor, country, patent_count FROM inventor_counts
+       ORDER BY patent_count DESC, inventor_id LIMIT 20""",
+)
+def _(fx: Fixtures):
+    folder = fx.scratch("raw")
+    for name, rows in {
+        raw.PATENT_FILE: fx.raw_patent,
+        raw.INVENTOR_FILE: fx.raw_inventor,
+        raw.ASSIGNEE_FILE: fx.raw_assignee,
+        raw.LOCATION_FILE: fx.raw_location,
+    }.items():
+        write_raw(rows, f"{folder}/{name}")
+    return reports.top_inventors(star.RawStar(raw.open_raw(fx.spark, folder, landed=fx.scratch("landed"))))
+
+
 @check("clean_patent_inventor", "SELECT * FROM clean_patent_inventor")
 def _(fx: Fixtures):
     return clean.clean_patent_inventor(fx.raw_inventor, fx.clean_patents)

@@ -52,12 +52,13 @@ def _with_spelling(df: DataFrame, column: str, names: Names, out: str) -> DataFr
     return df.withColumn(out, normalize_country(F.col(column), names))
 
 
-def clean_locations(raw: DataFrame, names: Names = COUNTRY_NAMES) -> DataFrame:
-    """One country per location."""
+def clean_locations(raw: DataFrame, names: Names = COUNTRY_NAMES, order: Sequence[str] = ()) -> DataFrame:
+    """One country per location: of the first row by ``order``, else of the least country."""
     located = _with_spelling(
-        raw.select("location_id", "disambig_country"), "disambig_country", names, "country_from_location"
-    ).select("location_id", "country_from_location")
-    return keep_first(located.na.drop(subset=["location_id"]), "location_id")
+        raw.select("location_id", *order, "disambig_country"), "disambig_country", names, "country_from_location"
+    ).select("location_id", *order, "country_from_location")
+    first = keep_first(located.na.drop(subset=["location_id"]), "location_id", order)
+    return first.select("location_id", "country_from_location")
 
 
 def _with_country(
@@ -79,12 +80,16 @@ def _distinct_entities(
 ) -> DataFrame:
     """Id and attributes of each entity, once per spelling rather than once per patent.
 
-    Repeats go before the shuffle and before any text is cleaned. An ordinal
-    column makes every row its own, so then all rows stay.
+    Repeats go before the shuffle and before any text is cleaned. With an order, each
+    spelling keeps its least place.
     """
     rows = raw.select(F.col(pick_column(raw, candidates)).alias("_id"), *order, *columns)
     rows = rows.na.drop(subset=["_id"])
-    return rows if order else rows.distinct()
+    if not order:
+        return rows.distinct()
+    place = F.struct(*[F.struct(F.col(c).isNull(), F.col(c).alias(c)).alias(c) for c in order])
+    least = rows.groupBy("_id", *columns).agg(F.min(place).alias("_place"))
+    return least.select("_id", *[F.col("_place")[c][c].alias(c) for c in order], *columns)
 
 
 def clean_inventors(

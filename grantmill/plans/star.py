@@ -36,7 +36,9 @@ class RawTables:
     """Raw tables. Any object with these attributes will do.
 
     Without a location table, countries come from the entities alone. Without
-    dedicated pair tables, pairs come from the entity tables.
+    dedicated pair tables, pairs come from the entity tables. ``ordinal`` names a column of
+    the entity and location tables that orders their rows as they stood in their files; the
+    first row of an id is then the first of the file.
     """
 
     raw_patent: DataFrame
@@ -45,6 +47,7 @@ class RawTables:
     raw_location: DataFrame | None = None
     raw_patent_inventor: DataFrame | None = None
     raw_patent_assignee: DataFrame | None = None
+    ordinal: str | None = None
 
 
 class Star(ABC):
@@ -75,11 +78,13 @@ class RawStar(Star):
 
     def __init__(self, raw: RawTables, names: Names = COUNTRY_NAMES, rows: int | None = None):
         self._raw, self._names, self._rows = raw, names, rows
+        ordinal = getattr(raw, "ordinal", None)
+        self._order = (ordinal,) if ordinal else ()
 
     @cached_property
     def locations(self) -> DataFrame | None:
         location = self._raw.raw_location
-        return None if location is None else clean_locations(location, self._names)
+        return None if location is None else clean_locations(location, self._names, self._order)
 
     @cached_property
     def cleaned_patents(self) -> DataFrame:
@@ -91,11 +96,11 @@ class RawStar(Star):
 
     @cached_property
     def inventors(self) -> DataFrame:
-        return clean_inventors(self._raw.raw_inventor, self.locations, self._names)
+        return clean_inventors(self._raw.raw_inventor, self.locations, self._names, self._order)
 
     @cached_property
     def companies(self) -> DataFrame:
-        return clean_companies(self._raw.raw_assignee, self.locations, self._names)
+        return clean_companies(self._raw.raw_assignee, self.locations, self._names, self._order)
 
     def inventor_pairs(self, patents: DataFrame) -> DataFrame:
         dedicated = self._raw.raw_patent_inventor

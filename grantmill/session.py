@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import functools
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
@@ -76,6 +78,27 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@functools.cache
+def _code_archive() -> str:
+    package = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="grantmill-"), "grantmill_core.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    out.write(full, os.path.relpath(full, os.path.dirname(package)))
+    return path
+
+
+def ship_code(spark: SparkSession) -> SparkSession:
+    """Give the executors this package, once per application, as --py-files would."""
+    context = spark.sparkContext
+    if not any("grantmill_core.zip" in str(f) for f in context._python_includes):
+        context.addPyFile(_code_archive())
+    return spark
+
+
 def run_together(spark: SparkSession, *jobs: Callable[[], object]) -> None:
     """Run independent actions at the same time; the first error is raised."""
     with ThreadPoolExecutor(len(jobs)) as pool:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from grantmill.functions.text import blank_to_null, tokens_to_null
 from grantmill.operators.columns import missing_columns
 from grantmill.operators.integrity import surrogate_id
+from grantmill.sources.splits import split_records
 
 log = logging.getLogger(__name__)
 
@@ -42,15 +43,34 @@ def select_available(df: DataFrame, want: Sequence[str], source: str = "table")
     return df.select(*[f"`{c}`" for c in want if c not in missing])
 
 
-def nullify_tokens(df: DataFrame, tokens: Iterable[str] = ()) -> DataFrame:
-    """Turn blank text, and any given token, into null in every column."""
+def nullify_tokens(df: DataFrame, tokens: Iterable[str] = (), keep: Sequence[str] = ()) -> DataFrame:
+    """Turn blank text, and any given token, into null in every column but those to keep."""
     tokens = tuple(tokens)
 
     def clean(name: str):
         c = blank_to_null(F.col(f"`{name}`")) if not tokens else tokens_to_null(F.col(f"`{name}`"), tokens)
         return c.alias(name)
 
-    return df.select(*[clean(name) for name in df.columns])
+    return df.select(*[F.col(f"`{name}`") if name in keep else clean(name) for name in df.columns])
+
+
+def _records(spark: SparkSession, path: str | list[str], schema: T.StructType, sep: str, ordinal: str | None, read) -> DataFrame:
+    """All records with the given columns, and their place in the files as a struct column if one is asked for."""
+    header = [name for name in schema.names if name != CORRUPT]
+    found = split_records(spark, path, header, sep)
+    if found is None:
+        log.info("%s has very long records; each file is read by one task", path)
+        rows = read.option("multiLine", True).schema(schema).csv(path)
+        if ordinal is None:
+            return rows
+        place = [F.col("_metadata.file_path").alias("file"), F.lit(0).cast("long").alias("block"), F.monotonically_increasing_id().alias("row")]
+        return rows.select("*", F.struct(*place).alias(ordinal))
+    options = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "maxCharsPerColumn": "-1"}
+    ddl = ", ".join(f"`{name.replace('`', '``')}` string" for name in schema.names)
+    parsed = found.where(F.length("record") > 0).select(F.from_csv("record", ddl, options).alias("_row"), F.struct("file", "block", "row").alias("_place"))
+    # Fields by position: names may hold any character.
+    columns = [F.col("_row").getField(name).alias(name) for name in schema.names]
+    return parsed.select(*columns, *([F.col("_place").alias(ordinal)] if ordinal else []))
 
 
 def scan_raw_table(
@@ -61,28 +81,35 @@ def scan_raw_table(
     sep: str = "\t",
     multi_line: bool = True,
     null_tokens: Iterable[str] = (),
+    ordinal: str | None = None,
 ) -> DataFrame:
     """A delimited table with a header row, all text, narrowed to the wanted columns.
 
-    Quoted line breaks need ``multi_line``, which reads each file in one task:
-    give large tables as many files, or land them once with ``land_raw_table``.
+    With ``multi_line``, fields may hold quoted line breaks; files are still read by many
+    tasks each. ``ordinal`` names a column to add that orders the rows as they stand in the
+    files: file, range of the file, and record of the range.
     """
-    df = select_available(_csv_reader(spark, sep, multi_line).csv(path), want, str(path))
+    header = _csv_reader(spark, sep, multi_line).csv(path)
+    wanted = select_available(header, want, str(path)).columns
+    if multi_line or ordinal:
+        rows = _records(spark, path, header.schema, sep, ordinal, _csv_reader(spark, sep, True))
+    else:
+        rows = header
+    df = rows.select(*[f"`{c}`" for c in wanted], *([ordinal] if ordinal else []))
     tokens = tuple(null_tokens)
-    return nullify_tokens(df, tokens) if tokens else df
+    if not tokens:
+        return df
+    return nullify_tokens(df, tokens, keep=(ordinal,) if ordinal else ())
 
 
 def tolerant_parse(spark: SparkSession, path: str | list[str], *, sep: str = "\t", multi_line: bool = True) -> DataFrame:
     """Every line kept: short ones padded, long ones cut, both with their text in ``_corrupt_record``."""
     header = _csv_reader(spark, sep, multi_line).csv(path).columns
     schema = T.StructType([T.StructField(name, T.StringType()) for name in [*header, CORRUPT]])
-    return (
-        _csv_reader(spark, sep, multi_line)
-        .option("enforceSchema", True)
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .schema(schema)
-        .csv(path)
-    )
+    reader = _csv_reader(spark, sep, multi_line).option("enforceSchema", True).option("columnNameOfCorruptRecord", CORRUPT)
+    if multi_line:
+        return _records(spark, path, schema, sep, None, reader)
+    return reader.schema(schema).csv(path)
 
 
 def land_raw_table(spark: SparkSession, path: str | list[str], want: Sequence[str], out: str, **options) -> DataFrame:
@@ -95,25 +122,29 @@ def _is_missing(error: AnalysisException) -> bool:
     return error.getCondition() == "PATH_NOT_FOUND"
 
 
-def resolve_source(spark: SparkSession, preferred: str, fallback: str, want: Sequence[str], **options) -> DataFrame:
-    """The dedicated table where it exists, else the one that holds the same columns."""
+def if_present(read: Callable[[], DataFrame]) -> DataFrame | None:
+    """The table, or ``None`` where its file is missing."""
     try:
-        return scan_raw_table(spark, preferred, want, **options)
+        return read()
     except AnalysisException as error:
         if not _is_missing(error):
             raise
-        return scan_raw_table(spark, fallback, want, **options)
+        return None
+
+
+def resolve_source(spark: SparkSession, preferred: str, fallback: str, want: Sequence[str], **options) -> DataFrame:
+    """The dedicated table where it exists, else the one that holds the same columns."""
+    found = if_present(lambda: scan_raw_table(spark, preferred, want, **options))
+    return scan_raw_table(spark, fallback, want, **options) if found is None else found
 
 
 def optional_source(spark: SparkSession, path: str, schema: T.StructType, **options) -> DataFrame:
     """The table, or an empty one of the same columns where the file is missing."""
-    try:
-        return scan_raw_table(spark, path, schema.names, **options)
-    except AnalysisException as error:
-        if not _is_missing(error):
-            raise
-        log.info("%s not found", path)
-        return spark.createDataFrame([], schema)
+    found = if_present(lambda: scan_raw_table(spark, path, schema.names, **options))
+    if found is not None:
+        return found
+    log.info("%s not found", path)
+    return spark.createDataFrame([], schema)
 
 
 def source_status(spark: SparkSession, paths: Mapping[str, str], want: Mapping[str, Sequence[str]]) -> DataFrame:
