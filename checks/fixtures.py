@@ -78,12 +78,24 @@ SELECT l_orderkey AS place_1, l_linenumber AS place_2, l_partkey AS place_3, l_s
 FROM {lineitem}
 """
 
+# Patents without ids or titles, and with ids that repeat.
+RAW_MESSY = """
+SELECT CASE WHEN o_orderkey % 37 = 0 THEN NULL ELSE CAST(o_orderkey AS STRING) END AS patent_id,
+       CASE WHEN o_orderkey % 41 = 0 THEN NULL ELSE concat(copy, ' ', o_orderpriority) END AS patent_title,
+       CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE o_orderpriority END AS patent_abstract,
+       CASE WHEN o_orderkey % 29 = 0 THEN 'soon' ELSE CAST(CAST(o_orderdate AS DATE) AS STRING) END AS patent_date,
+       CASE WHEN o_orderstatus = 'P' THEN 'design' ELSE 'Utility' END AS patent_type, substr(o_orderpriority, 1, 1) AS wipo_kind
+FROM (SELECT *, 'b' AS copy FROM {orders} UNION ALL SELECT *, 'a' FROM {orders} WHERE o_orderkey % 3 = 0
+      UNION ALL SELECT *, 'c' FROM {orders} WHERE o_orderkey % 9 = 0)
+"""
+
 RAW_TABLES = {
     "raw_location": (RAW_LOCATION, ("nation",)),
     "raw_patent": (RAW_PATENT, ("orders", "documents")),
     "raw_inventor": (RAW_INVENTOR, ("lineitem", "part")),
     "raw_assignee": (RAW_ASSIGNEE, ("lineitem", "supplier")),
     "raw_spelling": (RAW_SPELLING, ("lineitem",)),
+    "raw_messy": (RAW_MESSY, ("orders",)),
 }
 
 
@@ -153,6 +165,12 @@ class Fixtures:
     def clean_relationships(self) -> DataFrame:
         return pair_per_patent(self.clean_patent_inventor, self.clean_patent_company)
 
+    def batch(self, which: str) -> star.RawTables:
+        """The raw tables of the patents for which the condition holds."""
+        patent = f"CAST(patent_id AS BIGINT) {which}"
+        tables = (self.raw_patent, self.raw_inventor, self.raw_assignee)
+        return star.RawTables(*[t.where(patent) for t in tables], self.raw_location)
+
     raw_patent_inventor = None
     raw_patent_assignee = None
 

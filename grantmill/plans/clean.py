@@ -24,8 +24,8 @@ COMPANY_ID = ("disambig_assignee_id", "assignee_id")
 Names = Mapping[str, str] | DataFrame
 
 
-def clean_patents(raw: DataFrame, rows: int | None = None) -> DataFrame:
-    """Patents with an id, a valid date and a kept type; ``rows`` caps the input by patent id."""
+def typed_patents(raw: DataFrame, rows: int | None = None) -> DataFrame:
+    """All patents with typed, trimmed columns; ``rows`` caps the input by patent id."""
     df = add_missing_default(sample_rows(raw, rows), ["patent_abstract", "patent_type", "wipo_kind"])
     df = rename_columns(df, {"patent_title": "title", "patent_abstract": "abstract", "patent_date": "filing_date"})
     df = df.withColumns(
@@ -36,14 +36,15 @@ def clean_patents(raw: DataFrame, rows: int | None = None) -> DataFrame:
             "abstract": strip_or_empty(F.col("abstract")),
         }
     )
-    return (
-        df.na.drop(subset=["patent_id", "filing_date"])
-        .where(F.col("patent_type").isin(*KEPT_TYPES))
-        .select(
-            "patent_id", "title", "abstract", "filing_date", F.year("filing_date").alias("year"),
-            "patent_type", "wipo_kind",
-        )
-    )
+    return df.select(
+        "patent_id", "title", "abstract", "filing_date", F.year("filing_date").alias("year"), "patent_type", "wipo_kind"
+    )
+
+
+def clean_patents(raw: DataFrame, rows: int | None = None) -> DataFrame:
+    """Patents with an id, a valid date and a kept type; ``rows`` caps the input by patent id."""
+    typed = typed_patents(raw, rows)
+    return typed.na.drop(subset=["patent_id", "filing_date"]).where(F.col("patent_type").isin(*KEPT_TYPES))
 
 
 def _with_spelling(df: DataFrame, column: str, names: Names, out: str) -> DataFrame:

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from grantmill.functions.country import UNKNOWN
 from grantmill.functions.text import label, matches_keyword, share
-from grantmill.operators.counting import count_rows, patents_per_year, year_between, year_min_max
+from grantmill.operators.counting import count_rows, year_between, year_min_max
 from grantmill.operators.ranking import checked_size, head_n, top_k
-from grantmill.plans.reports import country_counts, top_companies, top_countries, top_entities, top_inventors
+from grantmill.plans.reports import country_counts, top_companies, top_countries, top_entities, top_inventors, year_counts
 from grantmill.plans.star import Star
 
 NOT_A_COUNTRY = (UNKNOWN, "", "XX")
@@ -19,7 +19,7 @@ SEARCH_ROWS = 100
 
 def chart_yearly_trend(star: Star, first: int = 1980, last: int = 2024) -> DataFrame:
     """V1."""
-    return patents_per_year(star.patents, first, last, "cnt").orderBy("year")
+    return year_counts(star, first, last, "cnt").orderBy("year")
 
 
 def chart_top_companies(star: Star, k: int = 15) -> DataFrame:
@@ -57,7 +57,7 @@ def dash_kpis(star: Star) -> DataFrame:
 
 def dash_trend(star: Star, first: int = 1976, last: int = 2024) -> DataFrame:
     """D2."""
-    return patents_per_year(star.patents, first, last).orderBy("year")
+    return year_counts(star, first, last).orderBy("year")
 
 
 def recent_years(trend: DataFrame, back: int = 10) -> DataFrame:

@@ -25,7 +25,7 @@ from grantmill.plans.clean import (
     clean_patent_inventor,
     clean_patents,
 )
-from grantmill.session import materialize, run_together
+from grantmill.session import materialize, run_together, scratch_area
 
 _PATENT_ORDER = ("filing_date", "patent_type", "wipo_kind", "title", "abstract")
 RELATIONSHIP_ORDER = ("patent_id", "inventor_id", "company_id")
@@ -70,6 +70,10 @@ class Star(ABC):
     def relationships(self) -> DataFrame:
         """Inventor by company of every patent, orphaned ids null."""
 
+    def kept_counts(self, name: str) -> DataFrame | None:
+        """Counts that were kept at load time, in parts that add up; ``None`` where none are."""
+        return None
+
 
 class RawStar(Star):
     """The star as lazy plans over raw tables; nothing is written, and only what is read is planned."""
@@ -241,15 +245,16 @@ def build_star(
         pairs = null_out_orphans(source.company_pairs(star.patents), "company_id", star.companies)
         _store(pairs, root, "patent_company", schemas.PATENT_COMPANY)
 
-    run_together(
-        spark,
-        write_patents,
-        lambda: _store(source.inventors, root, "inventors", schemas.INVENTORS),
-        lambda: _store(source.companies, root, "companies", schemas.COMPANIES),
-    )
-    run_together(spark, write_inventor_pairs, write_company_pairs)
-    if relationships:
-        pairs = pair_per_patent(star.patent_inventor, star.patent_company)
-        # The ids need to be dense and unique only: numbered as they come, the product is written twice and not sorted.
-        _store(surrogate_id(pairs), root, "relationships", schemas.RELATIONSHIPS)
+    with scratch_area(spark):
+        run_together(
+            spark,
+            write_patents,
+            lambda: _store(source.inventors, root, "inventors", schemas.INVENTORS),
+            lambda: _store(source.companies, root, "companies", schemas.COMPANIES),
+        )
+        run_together(spark, write_inventor_pairs, write_company_pairs)
+        if relationships:
+            pairs = pair_per_patent(star.patent_inventor, star.patent_company)
+            # The ids need to be dense and unique only: numbered as they come, the product is written twice and not sorted.
+            _store(surrogate_id(pairs), root, "relationships", schemas.RELATIONSHIPS)
     return star

@@ -1,4 +1,4 @@
-"""Session settings and the shared scratch folder."""
+"""Session settings, the shared scratch folder, and this package's code for executors."""
 
 from __future__ import annotations
 
@@ -7,8 +7,9 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
@@ -68,12 +69,53 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/grantmill-{uuid.uuid4().hex}/{name}"
 
 
+def _file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of any file system Spark reads, if it is there."""
+    system, target = _file_system(spark, path)
+    system.delete(target, True)
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    system, target = _file_system(spark, path)
+    system.mkdirs(target)
+
+
+def list_folder(spark: SparkSession, path: str) -> list[str]:
+    """The paths in a folder; none if it is not there."""
+    system, target = _file_system(spark, path)
+    return [status.getPath().toString() for status in system.listStatus(target)] if system.exists(target) else []
+
+
+_open_areas: list[list[str]] = []
+
+
+@contextmanager
+def scratch_area(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what is materialized inside, for steps that end with a write of their own."""
+    written: list[str] = []
+    _open_areas.append(written)
+    try:
+        yield
+    finally:
+        _open_areas.remove(written)
+        for path in written:
+            delete_path(spark, path)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
-    This cuts the lineage, survives lost executors, and tells Spark the size.
+    This cuts the lineage, survives lost executors, and tells Spark the size. The table
+    goes with the innermost ``scratch_area``; without one it stays as long as the folder.
     """
     path = scratch_path(df.sparkSession, name)
+    if _open_areas:
+        _open_areas[-1].append(path.rpartition("/")[0])
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
