@@ -15,6 +15,7 @@ one row comes out for each row that goes in. Other columns are not read.
 from __future__ import annotations
 
 import functools
+import hashlib
 import heapq
 import json
 import re
@@ -38,7 +39,7 @@ LOW = (1 << 32) - 1
 # Words that need wider trees use the tree of one word at a time.
 TABLE_WIDTH = 64
 # Blocks and words remembered, twice: those seen lately and those before them.
-REMEMBERED = 150_000
+REMEMBERED = 300_000
 # Latin letters, their marks and general punctuation: here Python's tables and the
 # library's agree. Other scripts go through the library's own normaliser and splitter.
 OTHER_SCRIPT = re.compile("[^\u0000-\u036f\u2000-\u206f\u20ac]")
@@ -316,18 +317,13 @@ def encode_texts(vocab: WordVocabulary, given: list[str]) -> list[bytes]:
     known, of_word = vocab.ids_of_block.turn(), vocab.ids_of_word.turn()
     known.update((mark, np.array([i], "<u4").tobytes()) for mark, i in vocab.special.items())
     split = [vocab.blocks(t) for t in given]
-    found = [list(map(known.get, blocks)) for blocks in split]
-    open_at = [[n for n, i in enumerate(ids) if i is None] if None in ids else [] for ids in found]
-    new = {blocks[n] for blocks, gaps in zip(split, open_at, strict=True) for n in gaps}
+    new = set().union(*split) - known.keys()
     words = {b: vocab.words(b) for b in vocab.ids_of_block.recall(new)}
     unseen = list(vocab.ids_of_word.recall({w for parts in words.values() for w in parts if w not in of_word}))
     of_word.update(zip(unseen, merge_by_trees(vocab, unseen), strict=True))
     for block, parts in words.items():
         known[block] = of_word[parts[0]] if len(parts) == 1 else b"".join([of_word[w] for w in parts])
-    for blocks, ids, gaps in zip(split, found, open_at, strict=True):
-        for n in gaps:
-            ids[n] = known[blocks[n]]
-    return list(map(b"".join, found))
+    return [b"".join(map(known.__getitem__, blocks)) for blocks in split]
 
 
 # --- counting: a heap of pairs over a linked list of symbols -------------------------------
@@ -443,6 +439,43 @@ def decode(vocab: Broadcast) -> Callable[[Column | str], Column]:
     return decoded
 
 
+def roundtrip(df: DataFrame, vocab: Broadcast, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (id_col, n_tokens, ids_sha256, decoded_sha256), one for each row.
+
+    Texts are encoded and decoded as by `encode` and `decode`, where they are read: ids and
+    decoded texts, far larger than their digests, never leave the step. Digests are of the
+    decimal ids joined by blanks and of the decoded text in UTF-8, in lower-case hex.
+    """
+    schema = T.StructType(
+        [
+            T.StructField(id_col, df.schema[id_col].dataType),
+            T.StructField("n_tokens", T.LongType(), False),
+            T.StructField("ids_sha256", T.StringType(), False),
+            T.StructField("decoded_sha256", T.StringType(), False),
+        ]
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = vocabulary(vocab.value)
+        decimals, strings = ([str(i).encode() for i in range(len(known.tokens))], [t.encode() for t in known.tokens])
+
+        def digest(of: list[bytes], ids: list[int]) -> str:
+            return hashlib.sha256(b" ".join(map(of.__getitem__, ids))).hexdigest()
+
+        for batch in batches:
+            for part in chunks(batch, 1, 1 << 20):
+                sizes, coded, decoded = [], [], []
+                for ids in encode_texts(known, texts(part, 1)):
+                    numbers = np.frombuffer(ids, "<u4").tolist()
+                    sizes.append(len(numbers))
+                    coded.append(digest(decimals, numbers))
+                    decoded.append(digest(strings, numbers))
+                columns = [part.column(0), pa.array(sizes, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return df.select(id_col, text_col).mapInArrow(run, schema)
+
+
 def count_tokens(df: DataFrame, vocab: Broadcast, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id_col, n_bytes, n_tokens), one for each row."""
     schema = T.StructType(

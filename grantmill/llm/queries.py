@@ -32,13 +32,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 def bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded and decoded, as digests of the ids and of the decoded text."""
     vocab = bpe.load(spark, public_tokenizers.path(WORD_VOCABULARY))
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), vocab)
-    return encoded.select(
-        "doc_id",
-        "n_tokens",
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2(bpe.decode(vocab)("ids"), 256).alias("decoded_sha256"),
-    )
+    return bpe.roundtrip(table(spark, sf_dir, "documents"), vocab)
 
 
 @query("op7_token_counts")
@@ -123,18 +117,18 @@ def embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TOP_K_SQL = """
 WITH valid AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  SELECT vec_id, row_number() OVER () AS place, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+  SELECT q.place AS query_place, q.vec_id AS query_id, c.vec_id AS vec_id, c.place AS place,
          CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM valid q JOIN valid c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+  FROM valid q JOIN valid c ON q.place <> c.place AND len(q.v) = len(c.v)
   WHERE q.vec_id % 100 = 0
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+  SELECT *, row_number() OVER (PARTITION BY query_place ORDER BY score DESC, vec_id, place) AS rank FROM scored
 ) WHERE rank <= 10
 """
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from grantmill.llm.common import checkpoint, chunks, ship, texts
+from grantmill.llm.common import checkpoint, chunks, free_name, ship, texts
 from grantmill.llm.graph import components, forest
 
 BITS = 64
@@ -53,22 +53,27 @@ def fingerprint(text: str, shingle: int = 4, seed: int = 42) -> int:
     return int(np.packbits(majority, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(df: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id_col, fp): the fingerprint as a signed long, one row for each row.
+def fingerprints(
+    df: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None
+) -> DataFrame:
+    """Rows (id_col, fp) and row_col if given: the fingerprint as a signed long, one row for each row.
 
     ASCII letters are lowered and words are what ASCII white space separates. A text of
     fewer words than a shingle has one shingle. Null and empty texts have fingerprint 0.
     """
     ship(df.sparkSession)
+    kept = [id_col, *([row_col] if row_col else [])]
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("fp", T.LongType(), False)])
+    if row_col:
+        schema.add(T.StructField(row_col, df.schema[row_col].dataType))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, 1):
                 made = np.array([fingerprint(t, shingle) for t in texts(part, 1)], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made)], names=[id_col, "fp"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made), *part.columns[2:]], names=schema.names)
 
-    return df.select(id_col, text_col).mapInArrow(run, schema)
+    return df.select(id_col, text_col, *kept[1:]).mapInArrow(run, schema)
 
 
 @lru_cache(maxsize=16)
@@ -169,32 +174,46 @@ def link_fingerprints(prints: DataFrame, radius: int = 4) -> DataFrame:
 
 
 def near_duplicates(
-    df: DataFrame, shingle: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text"
+    df: DataFrame,
+    shingle: int = 4,
+    radius: int = 4,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    row_col: str | None = None,
 ) -> DataFrame:
-    """Rows (id_col, fp, component_id), one for each row.
+    """Rows (id_col, fp, component_id) and row_col if given, one for each row.
 
     component_id is the smallest id among the documents that steps of at most `radius`
     differing bits lead to, itself included; null if all their ids are null. Repeated
-    rows and texts without words (fingerprint 0) link like any others.
+    rows and texts without words (fingerprint 0) link like any others. With row_col, a
+    column of different longs, there is also `first`: the row of the component with the
+    smallest id, nulls last, then the smallest number.
     """
-    own = checkpoint(fingerprints(df, shingle, id_col, text_col))
-    classes = own.groupBy("fp").agg(F.min(id_col).alias("least"))
+    own = checkpoint(fingerprints(df, shingle, id_col, text_col, row_col))
+    first = F.struct(F.col(id_col).isNull().alias("missing"), F.col(id_col).alias("id"), *([F.col(row_col).alias("row")] if row_col else []))
+    classes = own.groupBy("fp").agg(F.min(first).alias("least"))
     rooted = classes.join(link_fingerprints(own, radius), "fp", "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
     rooted = checkpoint(rooted)
-    roots = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(roots, "root").select("fp", "component_id")
-    return own.join(named, "fp").select(id_col, "fp", "component_id")
+    # The least of each root is joined back by an exchange of its own, which can be split
+    # at a root with very many fingerprints.
+    roots = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("root").bitwiseXOR(F.lit(0)).alias("root"), "least")
+    named = rooted.select("fp", "root").join(roots, "root").select("fp", F.col("least.id").alias("component_id"), "least")
+    found = own.join(named, "fp")
+    if row_col is None:
+        return found.select(id_col, "fp", "component_id")
+    return found.select(id_col, "fp", "component_id", row_col, F.col("least.row").alias("first"))
 
 
 def keep_one(df: DataFrame, shingle: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, of the smallest id of each group of near-duplicates.
+    """One row, with all its columns, of each group of near-duplicates: that of the smallest id, nulls last.
 
-    Rows with the same id are one document: one of them stays if any of them is its
-    group's smallest. Rows without an id can't be told apart and all stay.
+    Rows are told apart by their place, so repeated and null ids neither keep nor lose
+    another text; of equal ids in a group the first row stays.
     """
-    found = near_duplicates(df.where(F.col(id_col).isNotNull()), shingle, radius, id_col, text_col)
-    stays = found.groupBy(id_col).agg(F.bool_or(F.col(id_col) == F.col("component_id")).alias("stays")).where("stays")
-    kept = df.join(stays.select(id_col), id_col, "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(df.where(F.col(id_col).isNull()))
+    row = free_name("row_number", df)
+    numbered = checkpoint(df.withColumn(row, F.monotonically_increasing_id()))
+    found = near_duplicates(numbered, shingle, radius, id_col, text_col, row)
+    kept = found.where(F.col(row) == F.col("first")).select(row)
+    return numbered.join(kept, row, "left_semi").select(*df.columns)

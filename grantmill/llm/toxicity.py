@@ -2,15 +2,17 @@
 
 A text is cut into windows of words. Every word stands as fixed-width codes, hashes of
 the word and of its first letters, so that a code either is in a dictionary or is not
-and chance matches of a few letters say nothing. A window is compressed with both
-dictionaries; the bytes that the toxic one saves are its distance. The toxic dictionary
-holds the ordinary one's content and the codes that toxic rows have and ordinary rows
-lack, so ordinary windows compress alike. A calibrated threshold turns a text's savings
-into a probability.
-
-Learning takes a bounded sample of the labelled rows (`Limits`); the rows that calibrate
-weigh as many as their label has among all labelled rows, so a score does not depend on
-how many rows of a label were taken. Scoring takes every window of every text. Null and empty texts have no savings and the score of a text
+and chance matches of a few letters say nothing. zstandard's trainer makes a dictionary
+of the rows marked toxic and one of the ordinary rows. Each row gives the codes that set
+its label apart: those in clearly more of its label's rows than of the other's, as what
+both have alike would fill the dictionaries without telling them apart. A window is
+compressed with both dictionaries; the bytes that the toxic one saves are its distance,
+and a calibrated threshold turns a text's savings into a probability.
+
+Learning takes a bounded sample of the labelled rows (`Limits`) and all windows of them;
+the rows that calibrate weigh as many as their label has among all labelled rows, so a
+score does not depend on how many rows of a label were taken. Scoring takes every window
+of every text. Null and empty texts have no savings and the score of a text
 without evidence. Without labels of both kinds the score is the share of toxic labels
 (0 without any). Labels with a null id or a null mark are not used; of several labels of
 one id the largest counts. Repeated rows are scored alike.
@@ -32,29 +34,31 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from grantmill.llm.common import chunks, remember, ship, texts
+from grantmill.session import materialize, scratch_area
 
 WORD = re.compile(r"[^\W_]+")
 WINDOW_WORDS = 64
 PREFIXES = (4, 5, 6)
 CODE_BYTES = 8
 LEVEL = 3
-ORDINARY_BYTES = 8192
+DICTIONARY_BYTES = 1 << 14
+# The trainer picks segments of two codes.
+SEGMENT = 2 * CODE_BYTES
 REMEMBERED = 200_000
 
 
 @dataclass(frozen=True)
 class Limits:
-    """What learning takes at most, and what it asks of a toxic code."""
+    """The rows that learning takes at most, and what it asks of a code that tells the labels apart."""
 
     rows_of_a_label: int = 4000
-    windows_of_a_row: int = 8
     least_rows: int = 3
-    least_ratio: float = 20.0
+    least_ratio: float = 5.0
 
 
 @dataclass(frozen=True)
 class Model:
-    """Contents of the two dictionaries and weights of (1, log savings, log best window, share)."""
+    """The two dictionaries and weights of (1, log savings, log best window, share)."""
 
     ordinary: bytes
     toxic: bytes
@@ -88,7 +92,7 @@ class Scorer:
 
     @staticmethod
     def _compressor(content: bytes) -> zstandard.ZstdCompressor:
-        # At least eight bytes are a dictionary.
+        # Taken as text to refer to: codes are hashes, and their letters' frequencies say nothing.
         filled = zstandard.ZstdCompressionDict(content.ljust(CODE_BYTES, b"\0"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         filled.precompute_compress(level=LEVEL)
         return zstandard.ZstdCompressor(
@@ -132,36 +136,21 @@ def fit(
 ) -> Model:
     """Learn from the labelled rows for which `learn` (over the label table) holds.
 
-    Three quarters of the sample make the dictionaries, one quarter the threshold. Only
-    bounded things reach the driver: windows of at most 2 * rows_of_a_label rows, and
-    three numbers for a quarter of these rows.
+    Three quarters of the sample make the dictionaries, one quarter the threshold. Codes are
+    counted by the executors; what reaches the driver is bounded by the sample: the codes
+    that tell the labels apart, which of them each row has, and three numbers for a
+    quarter of the rows.
     """
     spark = ship(docs.sparkSession)
     usable = F.lit(True) if learn is None else learn
     number = {r["label"]: r["count"] for r in known_labels(labels, usable, id_col).groupBy("label").count().collect()}
     # How many labelled rows one of the sample stands for.
     stands_for = np.array([max(number.get(k, 0) / limits.rows_of_a_label, 1.0) for k in (0, 1)])
-    sample = learned_rows(labels, usable, limits.rows_of_a_label, id_col).cache()
-    most = limits.windows_of_a_row
-    try:
+    with scratch_area(spark):
+        sample = materialize(learned_rows(labels, usable, limits.rows_of_a_label, id_col), "sample")
         rows = docs.select(id_col, text_col).join(F.broadcast(sample), id_col)
-
-        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in chunks(batch, 0):
-                    spread = []
-                    for text in texts(part, 0):
-                        words = WORD.findall(text.lower())
-                        starts = range(0, max(len(words), 1), WINDOW_WORDS)
-                        picked = sorted({starts[i * len(starts) // most] for i in range(most)})
-                        spread.append([" ".join(words[i : i + WINDOW_WORDS]) for i in picked])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(spread, pa.list_(pa.string())), part.column(1)], names=["windows", "label"]
-                    )
-
-        read = rows.where("not calibrates").select(text_col, "label").mapInArrow(cut, "windows array<string>, label int")
-        learned = read.toArrow().to_pydict()
-        ordinary, toxic = _dictionaries(learned["windows"], learned["label"], limits)
+        coded = materialize(_coded_rows(rows.where("not calibrates"), text_col), "coded_rows")
+        ordinary, toxic = _dictionaries(coded, limits)
         scorer_model = spark.sparkContext.broadcast(Model(ordinary, toxic, (0.0, 0.0, 0.0, 0.0)))
 
         def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,40 +168,56 @@ def fit(
             .toArrow()
             .to_pydict()
         )
-    finally:
-        sample.unpersist()
+        learned = [r["label"] for r in coded.select("label").collect()]
     x = np.array([features(*row) for row in zip(*(measured[c] for c in ("total", "best", "n")), strict=True)]).reshape(-1, 4)
     y = np.array(measured["label"], float)
-    everyone = np.array([*measured["label"], *learned["label"]], int)
+    everyone = np.array([*measured["label"], *learned], int)
     share = float(np.average(everyone, weights=stands_for[everyone])) if len(everyone) else 0.0
     return Model(ordinary, toxic, _calibrated(x, y, share, stands_for[y.astype(int)]))
 
 
-def _dictionaries(rows: list[list[str]], labels: list[int], limits: Limits) -> tuple[bytes, bytes]:
-    """Contents of the ordinary and the toxic dictionary."""
-    coded = [[b"".join(map(_coded, w.split())) for w in row] for row in rows]
-    counts = (Counter(), Counter())
-    seen: set[tuple[bytes, ...]] = set()
-    number = [0, 0]
-    for row, label in zip(coded, labels, strict=True):
-        if tuple(row) in seen:  # copies of a row say the same thing once
-            continue
-        seen.add(tuple(row))
-        number[label] += 1
-        counts[label].update({w[i : i + CODE_BYTES] for w in row for i in range(0, len(w), CODE_BYTES)})
-    remember(_codes, REMEMBERED)
-    plain = [w for row, label in zip(coded, labels, strict=True) if label == 0 for w in row if w]
+def _coded_rows(rows: DataFrame, text_col: str) -> DataFrame:
+    """Rows (label, digest, codes): the different codes in all windows of a text, as they come."""
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, 0):
+                given = texts(part, 0)
+                found = [list(dict.fromkeys(w[i : i + CODE_BYTES] for w in windows(t) for i in range(0, len(w), CODE_BYTES))) for t in given]
+                columns = [part.column(1), pa.array([xxhash.xxh128_digest(t.encode()) for t in given], pa.binary()), pa.array(found, pa.list_(pa.binary()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["label", "digest", "codes"])
+
+    return rows.select(text_col, "label").mapInArrow(code, "label int, digest binary, codes array<binary>")
+
+
+def _dictionaries(coded: DataFrame, limits: Limits) -> tuple[bytes, bytes]:
+    """Contents of the ordinary and the toxic dictionary, each trained on its own label's rows."""
+    # Copies of a row say the same thing once.
+    once = coded.dropDuplicates(["label", "digest"])
+    number = {r["label"]: r["count"] for r in once.groupBy("label").count().collect()}
+    counts = once.select("label", F.explode("codes").alias("code")).groupBy("code")
+    counts = counts.agg(F.count_if(F.col("label") == 0).alias("n0"), F.count_if(F.col("label") == 1).alias("n1"))
+
+    def tells(own: str, other: str, rows: int, other_rows: int) -> Column:
+        return (F.col(own) >= limits.least_rows) & (F.col(own) * (other_rows + 1) > (F.col(other) + 1) * (limits.least_ratio * rows))
+
+    of = [tells("n0", "n1", number.get(0, 0), number.get(1, 0)), tells("n1", "n0", number.get(1, 0), number.get(0, 0))]
+    kept = counts.where(of[0] | of[1]).select("code", F.when(of[1], 1).otherwise(0).alias("label"))
+    told = once.select("label", "digest", F.posexplode("codes").alias("place", "code")).join(kept, ["label", "code"])
+    listed = told.groupBy("label", "digest").agg(F.array_sort(F.collect_list(F.struct("place", "code"))).alias("codes"))
+    samples: tuple[list[bytes], list[bytes]] = ([], [])
+    for row in listed.select("label", "digest", F.transform("codes", lambda c: c["code"]).alias("codes")).orderBy("label", "digest").collect():
+        samples[row["label"]].append(b"".join(map(bytes, row["codes"])))
+    return _trained(samples[0]), _trained(samples[1])
+
+
+def _trained(samples: list[bytes]) -> bytes:
+    """A dictionary by zstandard's trainer; too little text to train on is the dictionary itself."""
     try:
-        ordinary = zstandard.train_dictionary(ORDINARY_BYTES, plain, k=64, d=8).as_bytes()
-    except zstandard.ZstdError:  # too little text to train on: its most frequent codes
-        ordinary = b"".join(c for c, _ in reversed(counts[0].most_common(ORDINARY_BYTES // CODE_BYTES)))
-    kept = [
-        c
-        for c, n in counts[1].items()
-        if n >= limits.least_rows and n * (number[0] + 1) > limits.least_ratio * (counts[0][c] + 1) * number[1]
-    ]
-    # The most frequent ones stand last, where references to them are shortest.
-    return ordinary, ordinary + b"".join(sorted(kept, key=lambda c: (counts[1][c], c)))
+        return zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=SEGMENT, d=CODE_BYTES, f=20, accel=1, level=LEVEL).as_bytes()
+    except zstandard.ZstdError:
+        counts = Counter(s[i : i + CODE_BYTES] for s in samples for i in range(0, len(s), CODE_BYTES))
+        return b"".join(c for c, _ in reversed(counts.most_common(DICTIONARY_BYTES // CODE_BYTES)))
 
 
 def _calibrated(

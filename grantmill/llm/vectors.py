@@ -226,11 +226,12 @@ def top_k(
     """Rows (query_id, rank, id_col, score): each query's k highest inner products of
     floor(scale * vector), ties to the smaller id, all rows if there are fewer.
 
-    Queries are the rows for which is_query holds; a query isn't compared with rows of its
-    own id, and rows without an id take no part. Vectors that are null or empty or have a
-    null or non-finite component take no part; vectors of different lengths aren't
-    compared. Rows with equal ids and vectors count once. Of rows with equal vectors only
-    the k + 1 smallest ids can be in a result, so only they are sent to queries.
+    Queries are the rows for which is_query holds; a query is compared with every row but
+    itself. Rows without an id take no part, nor do vectors that are null or empty or have a
+    null or non-finite component; vectors of different lengths aren't compared. Repeated
+    rows and ids are rows of their own: each can be a result, and each query row has its
+    own k results. Of rows with equal vectors only the k + 1 smallest ids can be in a
+    result, so only they are sent to queries.
 
     A score s = q.x of a query at most R from pivot p and a row at distance d from pivot o
     lies within p.o +- (R |o| + (|p| + R) d). The k + 1 best lower bounds, known from the
@@ -238,14 +239,16 @@ def top_k(
     whose upper bound is lower aren't sent.
     """
     spark = ship(df.sparkSession)
-    valid = (
-        df.where(usable(vector_col) & F.col(id_col).isNotNull())
-        .select(F.col(id_col).alias("id"), whole_numbers(vector_col, scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-        .groupBy("id", "v")
-        .agg(F.bool_or("asks").alias("asks"))
+    valid = df.where(usable(vector_col) & F.col(id_col).isNotNull()).select(
+        F.col(id_col).alias("id"),
+        F.monotonically_increasing_id().alias("row"),
+        whole_numbers(vector_col, scale).alias("v"),
+        F.coalesce(is_query, F.lit(False)).alias("asks"),
     )
+    # Written, so that a row keeps its number.
     valid = checkpoint(valid)
-    result = f"query_id {df.schema[id_col].dataType.simpleString()}, {id_col} {df.schema[id_col].dataType.simpleString()}, score long"
+    kind = df.schema[id_col].dataType.simpleString()
+    result = f"query_row long, query_id {kind}, row long, {id_col} {kind}, score long"
     best = None
     for dim, total, asking in sorted(tuple(r) for r in valid.groupBy(F.size("v")).agg(F.count("*"), F.count_if("asks")).collect()):
         if asking:
@@ -253,7 +256,7 @@ def top_k(
             best = some if best is None else best.unionByName(some)
     if best is None:
         best = spark.createDataFrame([], result)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), id_col))
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), id_col, "row"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", id_col, "score")
 
 
@@ -261,7 +264,7 @@ def _search(
     spark, valid: DataFrame, dim: int, total: int, asking: int, k: int, pivots: int, group_queries: int, chunk_rows: int, result: str, id_col: str
 ) -> DataFrame:
     """Rows of each chunk's best k for every query."""
-    picked = valid.orderBy(F.xxhash64("id"), "id").limit(pivots).select("v").toArrow().column("v").combine_chunks()
+    picked = valid.orderBy(F.xxhash64("id"), "id", "row").limit(pivots).select("v").toArrow().column("v").combine_chunks()
     centers = _matrix(picked, dim)
     of_queries = max(1, min(len(centers), math.ceil(asking / group_queries)))
     told = spark.sparkContext.broadcast(centers)
@@ -289,10 +292,10 @@ def _search(
 
     located = checkpoint(valid.mapInArrow(locate, schema))
     queries = located.where("asks")
-    same = Window.partitionBy("v").orderBy("id")
+    same = Window.partitionBy("v").orderBy("id", "row")
     data = located.withColumn("copy", F.row_number().over(same)).where(F.col("copy") <= k + 1)
     # Summaries: at most k + 1 distances for each pivot, and two numbers for each group of queries.
-    near = located.withColumn("n", F.row_number().over(Window.partitionBy("cell").orderBy("cell_d", "id"))).where(F.col("n") <= k + 1)
+    near = located.withColumn("n", F.row_number().over(Window.partitionBy("cell").orderBy("cell_d", "id", "row"))).where(F.col("n") <= k + 1)
     nearest = [(r[0], r[1]) for r in near.select("cell", "cell_d").collect()]
     groups = {r[0]: (r[1], r[2]) for r in queries.groupBy("home").agg(F.count("*"), F.max("home_d")).collect()}
     norm = np.linalg.norm(centers, axis=1)
@@ -307,39 +310,50 @@ def _search(
             least = (reached - middle[cell] - radius * norm[cell]) / slope if slope > 0 else -math.inf
             plan.append((cell, home, max(1, math.ceil(n / group_queries)), float(least)))
     needs = F.broadcast(spark.createDataFrame(plan, "cell int, home int, parts int, least double"))
-    chunk_count = max(1, math.ceil(total / chunk_rows))
-    spread = F.pmod(F.xxhash64("id"), F.lit(2**31)).cast("int")
+    spread = F.pmod(F.xxhash64("id", "row"), F.lit(2**31)).cast("int")
+    reached = data.select("id", "row", "v", "cell", "cell_d").join(needs, "cell").where(F.col("cell_d") >= F.col("least"))
+    # Chunks by the rows that a group of queries needs, not by those there are.
+    needed = {r[0]: r[1] for r in reached.groupBy("home").count().collect()}
+    sizes = sorted({(h, n, math.ceil(needed[h] / chunk_rows)) for _, h, n, _ in plan if needed.get(h)})
+    if not sizes:
+        return spark.createDataFrame([], result)
+    parts = F.broadcast(spark.createDataFrame(sizes, "home int, of_parts int, chunks int"))
     sent = (
-        data.select("id", "v", "cell", "cell_d")
-        .join(needs, "cell")
-        .where(F.col("cell_d") >= F.col("least"))
-        .select("home", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), (spread % chunk_count).alias("chunk"), F.col("id").alias("other_id"), F.col("v").alias("other_v"))
-    )
-    parts = F.broadcast(spark.createDataFrame(sorted({(h, p) for _, h, p, _ in plan}), "home int, parts int"))
+        reached.drop("parts")
+        .join(parts, "home")
+        .select("home", F.explode(F.sequence(F.lit(0), F.col("of_parts") - 1)).alias("part"), (spread % F.col("chunks")).alias("chunk"),
+                F.col("id").alias("other_id"), F.col("row").alias("other_row"), F.col("v").alias("other_v"))
+    )
     asked = queries.join(parts, "home").select(
-        "home", (spread % F.col("parts")).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(chunk_count - 1))).alias("chunk"), "id", "v"
+        "home", (spread % F.col("of_parts")).alias("part"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "id", "row", "v"
     )
 
     def solve(a: pa.Table, b: pa.Table) -> pa.Table:
-        ids: list = [[], [], []]
+        out: list = [[], [], [], [], []]
         if a.num_rows and b.num_rows:
             found = (a.column("v"), b.column("other_v"))
             q, x = (np.array(v.combine_chunks().flatten()).reshape(-1, dim) for v in found)
-            b_ids = np.array(b.column("other_id").to_pylist(), object)
-            by_id = np.argsort(b_ids, kind="stable")
-            x, b_ids = x[by_id], b_ids[by_id]
+            b_ids, b_rows = np.array(b.column("other_id").to_pylist(), object), b.column("other_row").to_numpy()
+            by_row = np.argsort(b_rows, kind="stable")
+            by_id = by_row[np.argsort(b_ids[by_row], kind="stable")]
+            x, b_ids, b_rows = x[by_id], b_ids[by_id], b_rows[by_id]
+            askers = zip(a.column("row").to_pylist(), a.column("id").to_pylist(), strict=True)
             for at in range(0, len(q), 128):
                 scores = _products(q[at : at + 128], x)
-                for own, row in zip(a.column("id").slice(at, 128).to_pylist(), scores, strict=True):
+                for row in scores:
+                    own, own_id = next(askers)
                     cut = np.partition(row, -(k + 1))[-(k + 1)] if len(row) > k + 1 else row.min()
-                    some = np.flatnonzero(row >= cut)
-                    some = some[np.argsort(-row[some].astype(np.float64), kind="stable")] if np.abs(row).max() < 1 << 53 else np.array(sorted(some.tolist(), key=lambda i: -int(row[i])))
-                    some = [i for i in some.tolist() if b_ids[i] != own][:k]
-                    ids[0] += [own] * len(some)
-                    ids[1] += b_ids[some].tolist()
-                    ids[2] += row[some].tolist()
+                    some = np.flatnonzero((row >= cut) & (b_rows != own))
+                    some = some[np.argsort(-row[some].astype(np.float64), kind="stable")] if np.abs(row).max() < 1 << 53 else np.array(sorted(some.tolist(), key=lambda i: -int(row[i])), int)
+                    some = some[:k]
+                    out[0] += [own] * len(some)
+                    out[1] += [own_id] * len(some)
+                    out[2] += b_rows[some].tolist()
+                    out[3] += b_ids[some].tolist()
+                    out[4] += row[some].tolist()
         kind = a.schema.field("id").type
-        return pa.table([pa.array(ids[0], kind), pa.array(ids[1], kind), pa.array(ids[2], pa.int64())], names=["query_id", id_col, "score"])
+        kinds = (pa.int64(), kind, pa.int64(), kind, pa.int64())
+        return pa.table([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["query_row", "query_id", "row", id_col, "score"])
 
     keys = ["home", "part", "chunk"]
     return asked.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(solve, result)

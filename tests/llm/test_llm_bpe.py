@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import public_tokenizers
 import pytest
@@ -83,6 +85,19 @@ def test_round_trip_of_a_table(spark, library):
     assert got == sorted(want, key=repr)
 
 
+def test_digests_of_a_table(spark, library):
+    def sha(text):
+        return hashlib.sha256(text.encode()).hexdigest()
+
+    found = bpe.roundtrip(documents(spark), bpe.load(spark, PATH))
+    assert found.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    want = []
+    for i, text in ODD:
+        ids = as_library(library, text or "")
+        want.append((i, len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False))))
+    assert sorted((tuple(r) for r in found.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_counts_of_a_table(spark, library):
     vocab = bpe.load(spark, PATH)
     got = sorted((tuple(r) for r in bpe.count_tokens(documents(spark), vocab).collect()), key=repr)

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 from llm_data import ODD, documents, prose
 from pyspark.sql import functions as F
 
@@ -103,6 +104,29 @@ def test_savings_are_lengths_of_whole_texts():
     assert scorer.savings(clean + "zonkhead")[0] > 0
 
 
+def test_scores_are_lengths_under_two_trained_dictionaries(spark):
+    rows = toxic_corpus()
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, t) for i, _, t in rows], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(df, labels, learn=F.col("doc_id") % 3 != 0)
+    # A trained dictionary begins with the trainer's mark; neither holds the other.
+    assert model.toxic[:4] == model.ordinary[:4] or b"\x37\xa4\x30\xec" in (model.toxic[:4], model.ordinary[:4])
+    assert model.ordinary not in model.toxic and model.toxic not in model.ordinary
+    scores = {r.doc_id: r.score for r in toxicity.score(df, model).collect()}
+
+    def length(window, content):
+        content = zstandard.ZstdCompressionDict(content.ljust(8, b"\0"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        plain = dict(write_content_size=False, write_checksum=False, write_dict_id=False)
+        return len(zstandard.ZstdCompressor(level=toxicity.LEVEL, dict_data=content, **plain).compress(window))
+
+    for i, text, _ in rows[:40]:
+        saved = [length(w, model.ordinary) - length(w, model.toxic) for w in toxicity.windows(text)]
+        total, best = sum(x for x in saved if x > 0), max([0, *saved])
+        x = model.weights[0] + model.weights[1] * math.log1p(total) + model.weights[2] * math.log1p(best)
+        x += model.weights[3] * total / max(len(saved), 1) / toxicity.CODE_BYTES
+        assert scores[i] == pytest.approx(1 / (1 + math.exp(-x)))
+
+
 @pytest.mark.parametrize("marks", [[], [(1, 1, 0)], [(1, 1, 1), (5, 1, 0), (None, 1, 1), (7, 1, None), (999, 0, 1), (1, 1, 0)]])
 def test_toxicity_of_odd_rows(spark, marks):
     df = documents(spark)

@@ -13,7 +13,7 @@ def test_stages_and_registration():
         "quality_classifier", "toxicity", "simhash_near_duplicates", "best_fit_packing",
     ]
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert {*queries.QUERIES, "pipeline"} <= entry.queries().keys()
     assert queries.ORACLES.keys() <= entry.oracle_sql().keys()
 

@@ -2,11 +2,12 @@ from __future__ import annotations
 
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from grantmill.llm import vectors
+from grantmill.llm import queries, vectors
 
 SCHEMA = "vec_id long, embedding array<float>, label int, n_links string, score string, rank int, cell int"
 NAN, INF = float("nan"), float("inf")
@@ -70,16 +71,29 @@ def test_recall_with_the_margin_in_use(spark):
 
 
 def slow_top_k(rows, k, divisor):
+    """Every row against every other, whatever the ids."""
     valid = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows if i is not None and usable(v)]
-    valid = sorted({(i, tuple(v)) for i, v in valid})
     out = []
-    for own, q in valid:
+    for at, (own, q) in enumerate(valid):
         if own % divisor == 0:
-            scored = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), i) for i, v in valid if i != own and len(v) == len(q))
+            scored = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), i) for n, (i, v) in enumerate(valid) if n != at and len(v) == len(q))
             out += [(own, n + 1, i, -s) for n, (s, i) in enumerate(scored[:k])]
     return sorted(out)
 
 
+def test_repeated_rows_and_ids_are_rows_of_their_own(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    rows = [(0, [float(x) for x in rng.normal(size=4)]) for _ in range(13)]
+    rows += [(1, [2.0, 2.0, 2.0, 2.0])] * 3 + [(100, [1.0, 0.0, 0.0, 1.0])] * 2
+    rows += [(i, [float(x) for x in rng.normal(size=4)]) for i in range(2, 17)]
+    found = vectors.top_k(table(spark, rows), F.col("vec_id") % 100 == 0, k=10, chunk_rows=7, group_queries=3, pivots=4)
+    assert sorted(tuple(r) for r in found.collect()) == slow_top_k(rows, 10, 100)
+    table(spark, rows).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert sorted(con.execute(queries.TOP_K_SQL).fetchall()) == slow_top_k(rows, 10, 100)
+
+
 @pytest.mark.parametrize("options", [{}, {"chunk_rows": 50, "group_queries": 4, "pivots": 6}])
 def test_top_k_as_by_comparing_all(spark, options):
     hot = [(2000 + i, [0.5] * 8) for i in range(40)]
