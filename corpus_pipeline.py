@@ -28,7 +28,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose compression distance does not speak for toxic text."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.keep_clean(docs, model, threshold=0.5)
+    return toxicity.keep_clean(docs, model, threshold=0.3)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
