@@ -60,22 +60,26 @@ FROM {lineitem} JOIN {supplier} ON s_suppkey = l_suppkey
 """
 
 # Entities with another name, country and place in every row; the files hold the rows in the order of the places.
-RAW_SPELLING = """
+_CODES = "AT,AU,BE,BR,CA,CH,CN,CZ,DE,DK,ES,FI,FR,GB,HU,IE,IL,IN,IT,JP,KR,LU,MX,MY,NL,NO,NZ,PL,PT,RU,SA,SE,SG,TH,TW,UA,US,VN,ZA,QQ"
+RAW_SPELLING = f"""
 SELECT l_orderkey AS place_1, l_linenumber AS place_2, l_partkey AS place_3, l_suppkey AS place_4, CAST(l_orderkey AS STRING) AS patent_id,
        concat('inv-', CAST(l_partkey AS STRING)) AS inventor_id,
        CASE WHEN (l_orderkey + l_linenumber) % 3 = 0 THEN 'Q' ELSE concat('First', chr(10), CAST(l_orderkey AS STRING)) END
          AS disambig_inventor_name_first,
        CASE WHEN (l_orderkey + l_linenumber) % 3 = 0 THEN NULL ELSE concat('"Last" ', CAST(l_linenumber AS STRING)) END
          AS disambig_inventor_name_last,
-       CASE l_orderkey % 4 WHEN 0 THEN 'SE' WHEN 1 THEN 'kr' ELSE NULL END AS inventor_country,
+       CASE WHEN l_orderkey % 2 = 0 THEN split_part('{_CODES}', ',', CAST(l_linenumber * 7 % 40 AS INTEGER) + 1) WHEN l_orderkey % 3 = 0 THEN 'kr' END
+         AS inventor_country,
        concat('org-', CAST(l_suppkey AS STRING)) AS assignee_id,
        CASE WHEN l_orderkey % 5 = 0 THEN 'Z' WHEN l_orderkey % 7 = 0 THEN NULL ELSE concat('Group ', CAST(l_orderkey AS STRING)) END
          AS disambig_assignee_organization,
-       CASE l_linenumber % 3 WHEN 0 THEN 'FR' WHEN 1 THEN 'Brazil' ELSE NULL END AS assignee_country,
+       CASE WHEN l_orderkey % 3 = 0 THEN lower(split_part('{_CODES}', ',', CAST(l_partkey % 40 AS INTEGER) + 1)) WHEN l_orderkey % 3 = 1 THEN 'Brazil' END
+         AS assignee_country,
        concat('loc-', CAST(l_suppkey % 97 AS STRING)) AS location_id,
-       CASE l_orderkey % 6 WHEN 0 THEN 'US' WHEN 1 THEN NULL WHEN 2 THEN 'jp' ELSE concat('Land ', CAST(l_orderkey AS STRING)) END
+       CASE l_orderkey % 6 WHEN 1 THEN NULL WHEN 2 THEN concat('Land ', CAST(l_orderkey AS STRING))
+         ELSE split_part('{_CODES}', ',', CAST(l_suppkey % 40 AS INTEGER) + 1) END
          AS disambig_country
-FROM {lineitem}
+FROM {{lineitem}}
 """
 
 # Patents without ids or titles, and with ids that repeat.

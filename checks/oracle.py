@@ -3,8 +3,23 @@
 from __future__ import annotations
 
 from checks.fixtures import RAW_TABLES
-from grantmill.functions.country import COUNTRY_NAMES
-from grantmill.functions.text import WHITESPACE
+
+# Fixed values, a second time so that a wrong one shows: characters that are stripped, and
+# the names of the codes in the raw tables.
+WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+COUNTRY_NAMES = {
+    "AT": "Austria", "AU": "Australia", "BE": "Belgium", "BR": "Brazil", "CA": "Canada", "CH": "Switzerland",
+    "CN": "China", "CZ": "Czechia", "DE": "Germany", "DK": "Denmark", "ES": "Spain", "FI": "Finland", "FR": "France",
+    "GB": "United Kingdom", "HU": "Hungary", "IE": "Ireland", "IL": "Israel", "IN": "India", "IT": "Italy",
+    "JP": "Japan", "KR": "South Korea", "LU": "Luxembourg", "MX": "Mexico", "MY": "Malaysia", "NL": "Netherlands",
+    "NO": "Norway", "NZ": "New Zealand", "PL": "Poland", "PT": "Portugal", "RU": "Russia", "SA": "Saudi Arabia",
+    "SE": "Sweden", "SG": "Singapore", "TH": "Thailand", "TW": "Taiwan", "UA": "Ukraine", "US": "United States",
+    "VN": "Vietnam", "ZA": "South Africa",
+}
 
 
 def strip(x: str) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from itertools import chain
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grantmill.functions.text import strip, title_case
@@ -13,7 +13,7 @@ from grantmill.operators.joins import lookup_left
 
 UNKNOWN = "Unknown"
 
-# Names shown for two-letter codes where no larger table is given.
+# Names of the most frequent codes.
 COUNTRY_NAMES = {
     "US": "United States",
     "JP": "Japan",
@@ -33,6 +33,18 @@ COUNTRY_NAMES = {
 }
 
 
+_iso_names: dict[str, str] = {}
+
+
+def iso_country_names(spark: SparkSession) -> dict[str, str]:
+    """English names of all two-letter codes of ISO 3166, as the Java platform has them."""
+    if not _iso_names:
+        locale = spark._jvm.java.util.Locale
+        _iso_names.update({code: locale("", code).getDisplayCountry(locale.ENGLISH) for code in locale.getISOCountries()})
+        _iso_names.update(COUNTRY_NAMES)
+    return _iso_names
+
+
 def _code(c: Column) -> Column:
     return F.upper(strip(c))
 

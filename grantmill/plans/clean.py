@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grantmill.functions.country import COUNTRY_NAMES, UNKNOWN, country_lookup, normalize_country
+from grantmill.functions.country import UNKNOWN, country_lookup, iso_country_names, normalize_country
 from grantmill.functions.text import blank_to_null, full_name, parse_date, strip, strip_or_empty
 from grantmill.operators.columns import add_missing_default, add_missing_null, pick_column, rename_columns
 from grantmill.operators.dedupe import distinct_pairs, keep_first
@@ -20,8 +20,8 @@ KEPT_TYPES = ("utility", "reissue", "")
 INVENTOR_ID = ("disambig_inventor_id", "inventor_id")
 COMPANY_ID = ("disambig_assignee_id", "assignee_id")
 
-# Country names by code: a mapping, or a table (code, name) of any size.
-Names = Mapping[str, str] | DataFrame
+# Country names by code: a mapping, a table (code, name) of any size, or None for those of ISO 3166.
+Names = Mapping[str, str] | DataFrame | None
 
 
 def typed_patents(raw: DataFrame, rows: int | None = None) -> DataFrame:
@@ -50,10 +50,10 @@ def clean_patents(raw: DataFrame, rows: int | None = None) -> DataFrame:
 def _with_spelling(df: DataFrame, column: str, names: Names, out: str) -> DataFrame:
     if isinstance(names, DataFrame):
         return country_lookup(df, column, names, out)
-    return df.withColumn(out, normalize_country(F.col(column), names))
+    return df.withColumn(out, normalize_country(F.col(column), iso_country_names(df.sparkSession) if names is None else names))
 
 
-def clean_locations(raw: DataFrame, names: Names = COUNTRY_NAMES, order: Sequence[str] = ()) -> DataFrame:
+def clean_locations(raw: DataFrame, names: Names = None, order: Sequence[str] = ()) -> DataFrame:
     """One country per location: of the first row by ``order``, else of the least country."""
     located = _with_spelling(
         raw.select("location_id", *order, "disambig_country"), "disambig_country", names, "country_from_location"
@@ -96,7 +96,7 @@ def _distinct_entities(
 def clean_inventors(
     raw: DataFrame,
     locations: DataFrame | None,
-    names: Names = COUNTRY_NAMES,
+    names: Names = None,
     order: Sequence[str] = (),
 ) -> DataFrame:
     """One named row per inventor: short names go first, then the first row of each id stays.
@@ -120,7 +120,7 @@ def clean_inventors(
 def clean_companies(
     raw: DataFrame,
     locations: DataFrame | None,
-    names: Names = COUNTRY_NAMES,
+    names: Names = None,
     order: Sequence[str] = (),
 ) -> DataFrame:
     """One named row per company: the first row of each id stays, then short names go."""

@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from grantmill import schemas
-from grantmill.functions.country import COUNTRY_NAMES
 from grantmill.operators.columns import align_to_schema, pick_column
 from grantmill.operators.integrity import check_unique_key, surrogate_id
 from grantmill.operators.joins import fresh_key, lookup_left, pair_per_patent
@@ -278,12 +277,12 @@ def _publish(spark: SparkSession, root: str, manifest: Manifest) -> None:
     spark.createDataFrame([row], _MANIFEST).coalesce(1).write.mode("append").json(f"{root}/manifests")
 
 
-def replace_star(spark: SparkSession, raw: RawTables, root: str, names: Names = COUNTRY_NAMES, rows: int | None = None) -> VersionedStar:
+def replace_star(spark: SparkSession, raw: RawTables, root: str, names: Names = None, rows: int | None = None) -> VersionedStar:
     """Load a star anew. Readers have the old one until the last table is written."""
     return _load(spark, raw, root, names, rows, newest_manifest(spark, root), add=False)
 
 
-def add_to_star(spark: SparkSession, raw: RawTables, root: str, names: Names = COUNTRY_NAMES) -> VersionedStar:
+def add_to_star(spark: SparkSession, raw: RawTables, root: str, names: Names = None) -> VersionedStar:
     """Add the patents of a batch that the star does not have, with their pairs, and new inventors and companies.
 
     A batch holds all pairs of its patents. Rows of patents that were loaded before are

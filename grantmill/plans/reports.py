@@ -142,16 +142,19 @@ def _first_per_patent(pairs: DataFrame, key: str, dimension: DataFrame, resolved
 
 
 def patents_full_detail(star: Star) -> DataFrame:
-    """Every patent with every inventor and company of it: the join of Q5 without its limit."""
+    """Every patent with every inventor and company of it: the join of Q5 without its limit.
+
+    Ids alone go through the pairing; titles and names are looked up for its rows.
+    """
     inventors = star.inventors.select(
         "inventor_id", F.col("name").alias("inventor_name"), F.col("country").alias("inventor_country")
     )
     companies = star.companies.select("company_id", F.col("name").alias("company_name"))
-    named_inventors = lookup_left(star.patent_inventor, inventors, "inventor_id", spread_by="patent_id")
-    named_companies = lookup_left(star.patent_company, companies, "company_id", spread_by="patent_id")
-    pairs = pair_per_patent(named_inventors, named_companies)
+    pairs = pair_per_patent(star.patent_inventor, star.patent_company)
     paired = star.patent_inventor.select("patent_id").union(star.patent_company.select("patent_id"))
-    return with_patent(pairs, star.patents.select("patent_id", "title", "year"), paired).select(
+    detail = with_patent(pairs, star.patents.select("patent_id", "title", "year"), paired)
+    named = lookup_left(detail, inventors, "inventor_id", spread_by="patent_id")
+    return lookup_left(named, companies, "company_id", spread_by="patent_id").select(
         "patent_id", "title", "year", "inventor_name", "inventor_country", "company_name"
     )
 

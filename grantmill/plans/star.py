@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from grantmill import schemas
-from grantmill.functions.country import COUNTRY_NAMES
 from grantmill.operators.columns import align_to_schema
 from grantmill.operators.dedupe import keep_first
 from grantmill.operators.integrity import check_unique_key, surrogate_id
@@ -80,7 +79,7 @@ class RawStar(Star):
 
     resolved = False
 
-    def __init__(self, raw: RawTables, names: Names = COUNTRY_NAMES, rows: int | None = None):
+    def __init__(self, raw: RawTables, names: Names = None, rows: int | None = None):
         self._raw, self._names, self._rows = raw, names, rows
         ordinal = getattr(raw, "ordinal", None)
         self._order = (ordinal,) if ordinal else ()
@@ -220,7 +219,7 @@ def build_star(
     spark: SparkSession,
     raw: RawTables,
     root: str,
-    names: Names = COUNTRY_NAMES,
+    names: Names = None,
     rows: int | None = None,
     relationships: bool = True,
 ) -> StoredStar:
