@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,14 +32,16 @@ from grantmill.operators.integrity import surrogate_id
 from grantmill.session import materialize
 
 # Words of a chunk, bytes of text split at a time.
-CHUNK_WORDS = 1 << 21
-TEXT_BYTES = 4 << 20
+CHUNK_WORDS = 1 << 20
+TEXT_BYTES = 1 << 20
 # Ids of the first class; cells of a tile that is counted directly.
 TILE_IDS = 1 << 10
 DENSE_CELLS = 1 << 22
 CLASSES = TILE_IDS << np.arange(21, dtype=np.int64)
-# Lists of a tile that one task merges, and words per part of a sparse tile.
-LISTS_MERGED = 32
+# Lists of a tile that one task merges, entries it holds before it merges them, and words
+# per part of a sparse tile.
+LISTS_MERGED = 256
+LIST_ENTRIES = 1 << 20
 WORDS_OF_A_PART = 1 << 31
 
 # What ends a piece, and what separates words.
@@ -46,11 +49,33 @@ PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 BLANKS = b" \t"
 END = b"."
 
-LISTS = "tile long, chunk long, entries long, lefts binary, rights binary, counts binary"
+UNITS = "chunk long, places binary, ids binary"
+LISTS = "tile long, chunk long, entries long, pairs binary, counts binary"
 _UPPER = bytes(range(ord("A"), ord("Z") + 1))
 _PLAIN = bytes.maketrans(_UPPER + PIECE_ENDS + BLANKS, _UPPER.lower() + END * len(PIECE_ENDS) + b" " * len(BLANKS))
 
 
+# --- numbers in rows -----------------------------------------------------------------------
+
+
+def packed(numbers: np.ndarray, rising: bool = False) -> bytes:
+    """Numbers from 0 on, compressed: by planes of their bytes, rising ones by their steps."""
+    x = numbers.astype("<i8")
+    if rising:
+        x[1:] -= x[:-1].copy()
+    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpacked(data: bytes, rising: bool = False) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    x = np.zeros((planes.shape[1], 8), np.uint8)
+    x[:, : data[0]] = planes.T
+    found = x.view("<i8").ravel()
+    return found.cumsum() if rising else found
+
+
 # --- texts to chunks -----------------------------------------------------------------------
 
 
@@ -84,7 +109,7 @@ class OpenChunk:
             "chunk": pa.array([chunk]),
             "lang": pa.array([lang], pa.string()),
             "total": pa.array([int(counts.sum())]),
-            "body": pa.array([body.tobytes()], pa.binary()),
+            "body": pa.array([packed(body)], pa.binary()),
             "words": pa.ListArray.from_arrays(ends, words),
             "counts": pa.ListArray.from_arrays(ends, pa.array(counts, pa.int64())),
         }
@@ -128,7 +153,7 @@ def word_chunks(df: DataFrame, lang_col: str = "lang", text_col: str = "text") -
 
 def classes(ids: np.ndarray) -> np.ndarray:
     """The class of each id from 1: the first TILE_IDS, as many again, twice as many, ..."""
-    return np.searchsorted(CLASSES, ids - 1, side="right")
+    return np.searchsorted(CLASSES, ids - 1, side="right").astype(np.int8)
 
 
 def origin(kind: int) -> tuple[int, int]:
@@ -143,10 +168,12 @@ def is_dense(kind: int) -> bool:
 def tiles_of(left: np.ndarray, right: np.ndarray, parts: int) -> np.ndarray:
     """Tile numbers of pairs: both classes, and for a sparse tile one of so many parts."""
     across, along = classes(left), classes(right)
-    kind = across << 6 | along
-    sparse = CLASSES[np.maximum(across - 1, 0)] * CLASSES[np.maximum(along - 1, 0)] > DENSE_CELLS
-    mixed = (left * 0x9E3779B1 + right * 0x85EBCA77) & 0x7FFFFFFF
-    return kind << 32 | np.where(sparse, mixed % parts, 0)
+    tiles = (across.astype(np.int64) << 6 | along) << 32
+    if parts > 1:
+        sparse = CLASSES[np.maximum(across, 1) - 1] * CLASSES[np.maximum(along, 1) - 1] > DENSE_CELLS
+        mixed = (left * 0x9E3779B1 + right * 0x85EBCA77) & 0x7FFFFFFF
+        tiles |= np.where(sparse, mixed % parts, 0)
+    return tiles
 
 
 def count_pairs(tile: int, left: np.ndarray, right: np.ndarray, counts: np.ndarray | None = None):
@@ -174,20 +201,27 @@ def count_pairs(tile: int, left: np.ndarray, right: np.ndarray, counts: np.ndarr
     return codes >> 32, codes & 0xFFFFFFFF, added
 
 
-def pairs_in(body: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of a chunk where two units follow each other, with their ids."""
-    at = np.flatnonzero((body[:-1] > 0) & (body[1:] > 0))
-    return at, body[at].astype(np.int64), body[at + 1].astype(np.int64)
+def pairs_in(places: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places at which a unit starts that another follows at the next place, and both ids."""
+    at = np.flatnonzero(places[1:] == places[:-1] + 1)
+    return places[at], ids[at], ids[at + 1]
 
 
-def _packed(x: np.ndarray, kind: str) -> bytes:
-    return x.astype(kind).tobytes()
+def unit_of(places: bytes | None, ids: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A chunk's places and ids. Words stand at every place, 0 for none; longer units list their places."""
+    found = unpacked(ids)
+    if places is not None:
+        return unpacked(places, rising=True), found
+    at = np.flatnonzero(found)
+    return at, found[at]
 
 
 def _lists(rows: list[tuple]) -> pa.RecordBatch:
-    names = ("tile", "chunk", "entries", "lefts", "rights", "counts")
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-    columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+    """Rows (tile, chunk, left, right, n) as rows of LISTS."""
+    made = [(tile, chunk, len(n), packed(a << 32 | b, rising=True), packed(n)) for tile, chunk, a, b, n in rows]
+    names = ("tile", "chunk", "entries", "pairs", "counts")
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    columns = zip(*made, strict=True) if made else [[]] * len(names)
     return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
@@ -196,8 +230,8 @@ def pair_lists(units: DataFrame, parts: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                _, left, right = pairs_in(np.frombuffer(packed.as_buffer(), "<u4"))
+            for row in batch.to_pylist():
+                _, left, right = pairs_in(*unit_of(row["places"], row["ids"]))
                 tiles = tiles_of(left, right, parts)
                 order = np.argsort(tiles, kind="stable")
                 cuts = np.flatnonzero(np.diff(tiles[order])) + 1
@@ -205,28 +239,37 @@ def pair_lists(units: DataFrame, parts: int) -> DataFrame:
                 for which in np.split(order, cuts) if len(order) else []:
                     tile = int(tiles[which[0]])
                     a, b, n = count_pairs(tile, left[which], right[which])
-                    rows.append((tile, chunk, len(n), _packed(a, "<u4"), _packed(b, "<u4"), _packed(n, "<u8")))
+                    rows.append((tile, row["chunk"], a, b, n))
                 yield _lists(rows)
 
-    return units.select("chunk", "body").mapInArrow(run, LISTS)
+    return units.select("chunk", "places", "ids").mapInArrow(run, LISTS)
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """The lists of one tile as one; a few lists are held at a time."""
-    tile, held, size = None, [], 0
+    """The lists of one tile as one: added to a table of its cells, or merged whenever as many are held again."""
+    tile, table, held, size, limit = None, None, [], 0, LIST_ENTRIES
     for batch in batches:
-        tile = batch.column("tile")[0].as_py()
-        for row in range(batch.num_rows):
-            a, b, n = (
-                np.frombuffer(batch.column(name)[row].as_buffer(), kind).astype(np.int64)
-                for name, kind in (("lefts", "<u4"), ("rights", "<u4"), ("counts", "<u8"))
-            )
+        for row in batch.to_pylist():
+            code, n = unpacked(row["pairs"], rising=True), unpacked(row["counts"])
+            a, b = code >> 32, code & 0xFFFFFFFF
+            if tile is None:
+                tile = row["tile"]
+                (first, height), (base, width) = origin(tile >> 38), origin(tile >> 32 & 63)
+                table = np.zeros(height * width, np.int64) if is_dense(tile >> 32) else None
+            if table is not None:
+                # A list has each pair once.
+                table[(a - first) * width + (b - base)] += n
+                continue
             held.append((a, b, n))
             size += len(n)
-            if size > DENSE_CELLS:
+            if size > limit:
                 held = [count_pairs(tile, *map(np.concatenate, zip(*held, strict=True)))]
                 size = len(held[0][2])
-    if tile is not None:
+                limit = max(limit, 2 * size)
+    if table is not None:
+        found = np.flatnonzero(table)
+        yield tile, found // width + first, found % width + base, table[found]
+    elif tile is not None:
         yield tile, *count_pairs(tile, *map(np.concatenate, zip(*held, strict=True)))
 
 
@@ -236,9 +279,10 @@ def frequent_pairs(lists: DataFrame, chunks: int, least: int) -> DataFrame:
     Lists of a tile are merged along a tree, some LISTS_MERGED at a time.
     """
 
-    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def some(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tile, a, b, n in _merged(batches):
-            yield _lists([(tile, 0, len(n), _packed(a, "<u4"), _packed(b, "<u4"), _packed(n, "<u8"))])
+            # The merged list stands for the chunks of its group.
+            yield _lists([(tile, key[1].as_py(), a, b, n)])
 
     def all_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tile, a, b, n in _merged(batches):
@@ -246,57 +290,51 @@ def frequent_pairs(lists: DataFrame, chunks: int, least: int) -> DataFrame:
             columns = [np.full(int(keep.sum()), tile), a[keep], b[keep], n[keep]]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["tile", "left", "right", "a"])
 
-    groups, place = chunks, F.pmod(F.xxhash64("chunk"), F.lit(1 << 30))
-    lists = lists.withColumn("group", place)
+    groups = chunks
     while groups > LISTS_MERGED:
         groups = math.ceil(groups / LISTS_MERGED)
-        group = F.pmod("group", F.lit(groups)).alias("group")
-        merged = lists.groupBy("tile", group).applyInArrow(_with_group(some), f"{LISTS}, group long")
-        lists = merged
+        group = F.pmod(F.xxhash64("chunk"), F.lit(groups)).alias("group")
+        lists = lists.groupBy("tile", group).applyInArrow(some, LISTS)
     return lists.groupBy("tile").applyInArrow(all_, "tile long, left long, right long, a long")
 
 
-def _with_group(merge):
-    """The same merge for groups (tile, group), whose group stays in the rows."""
-
-    def run(
-        key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]
-    ) -> Iterator[pa.RecordBatch]:
-        for batch in merge(batches):
-            yield batch.append_column("group", pa.array([key[1].as_py()] * batch.num_rows, pa.int64()))
-
-    return run
+# --- ids back to chunks --------------------------------------------------------------------
 
 
-# --- ids back to chunks --------------------------------------------------------------------
+def _unit(chunk: list[int], places: np.ndarray | None, ids: np.ndarray | None) -> pa.Table:
+    """One row of UNITS, or none without a chunk."""
+    columns = [[None if places is None else packed(places, rising=True)], [None if ids is None else packed(ids)]]
+    kept = [pa.array(c[: len(chunk)], pa.binary()) for c in columns]
+    return pa.table({"chunk": pa.array(chunk, pa.int64()), "places": kept[0], "ids": kept[1]})
 
 
 def word_units(chunks: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows (chunk, body): the chunks with the ids of rows (lang, word, id); 0 for other words."""
+    """Rows of UNITS: the chunks with the ids of rows (lang, word, id); 0 for other words."""
     listed = chunks.select("chunk", "lang", F.posexplode("words").alias("place", "word"))
-    told = listed.join(ids.select("lang", "word", "id"), ["lang", "word"]).select(F.col("chunk").alias("asker"), "place", "id")
+    # Shuffled at every size: the ids are as many as the corpus makes them.
+    told = listed.join(ids.select("lang", "word", "id").hint("merge"), ["lang", "word"]).select(F.col("chunk").alias("asker"), "place", "id")
 
     def run(bodies: pa.Table, told: pa.Table) -> pa.Table:
         if not bodies.num_rows:
-            return pa.table({"chunk": pa.array([], pa.int64()), "body": pa.array([], pa.binary())})
-        body = np.frombuffer(bodies.column("body")[0].as_buffer(), "<i4")
-        table = np.zeros(int(body.max(initial=0)) + 1, np.uint32)
+            return _unit([], None, None)
+        body = unpacked(bodies.column("body")[0].as_py())
+        table = np.zeros(int(body.max(initial=0)) + 1, np.int64)
         table[told.column("place").to_numpy() + 1] = told.column("id").to_numpy()
-        return pa.table({"chunk": bodies.column("chunk"), "body": pa.array([table[body].tobytes()], pa.binary())})
+        return _unit(bodies.column("chunk").to_pylist(), None, table[body])
 
     bodies = chunks.select("chunk", "body")
-    return bodies.groupBy("chunk").cogroup(told.groupBy("asker")).applyInArrow(run, "chunk long, body binary")
+    return bodies.groupBy("chunk").cogroup(told.groupBy("asker")).applyInArrow(run, UNITS)
 
 
 def pair_units(units: DataFrame, lists: DataFrame, ids: DataFrame, chunks: int, entries: int, frequent: int) -> DataFrame:
-    """Rows (chunk, body): at each place the id of the pair that starts there, 0 if it is not frequent.
+    """Rows of UNITS: the places at which frequent pairs start, with the pairs' ids.
 
     A tile's frequent pairs meet the lists of some chunks at a time: of so many that the
     frequent pairs are sent again and again in no more rows than the lists have.
     """
     groups = max(1, min(math.ceil(chunks / LISTS_MERGED), entries // (3 * frequent)))
     told = ids.select("tile", "left", "right", "id", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
-    asked = lists.select("tile", "chunk", "lefts", "rights", F.pmod(F.xxhash64("chunk"), F.lit(groups)).cast("int").alias("group"))
+    asked = lists.select("tile", "chunk", "pairs", F.pmod(F.xxhash64("chunk"), F.lit(groups)).cast("int").alias("group"))
     schema = "chunk long, codes binary, ids binary"
 
     def answer(asked: pa.Table, told: pa.Table) -> pa.Table:
@@ -305,36 +343,35 @@ def pair_units(units: DataFrame, lists: DataFrame, ids: DataFrame, chunks: int,
         codes, number = codes[order], told.column("id").to_numpy()[order]
         rows = []
         for row in range(asked.num_rows if len(codes) else 0):
-            a, b = (np.frombuffer(asked.column(c)[row].as_buffer(), "<u4").astype(np.int64) for c in ("lefts", "rights"))
-            wanted = a << 32 | b
+            wanted = unpacked(asked.column("pairs")[row].as_py(), rising=True)
             at = np.minimum(np.searchsorted(codes, wanted), len(codes) - 1)
             hit = codes[at] == wanted
             if hit.any():
-                rows.append((asked.column("chunk")[row].as_py(), _packed(wanted[hit], "<i8"), _packed(number[at[hit]], "<u4")))
+                rows.append((asked.column("chunk")[row].as_py(), packed(wanted[hit], rising=True), packed(number[at[hit]])))
         columns = zip(*rows, strict=True) if rows else ([], [], [])
         kinds = (pa.int64(), pa.binary(), pa.binary())
         return pa.table([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["chunk", "codes", "ids"])
 
     answers = asked.groupBy("tile", "group").cogroup(told.groupBy("tile", "group")).applyInArrow(answer, schema)
 
-    def put(bodies: pa.Table, answers: pa.Table) -> pa.Table:
-        if not bodies.num_rows:
-            return pa.table({"chunk": pa.array([], pa.int64()), "body": pa.array([], pa.binary())})
-        body = np.frombuffer(bodies.column("body")[0].as_buffer(), "<u4")
-        out = np.zeros(len(body), np.uint32)
-        if answers.num_rows:
-            codes = np.frombuffer(b"".join(answers.column("codes").to_pylist()), "<i8")
-            number = np.frombuffer(b"".join(answers.column("ids").to_pylist()), "<u4")
-            order = np.argsort(codes)
-            codes, number = codes[order], number[order]
-            place, left, right = pairs_in(body)
-            wanted = left << 32 | right
-            at = np.minimum(np.searchsorted(codes, wanted), len(codes) - 1)
-            hit = codes[at] == wanted
-            out[place[hit]] = number[at[hit]]
-        return pa.table({"chunk": bodies.column("chunk"), "body": pa.array([out.tobytes()], pa.binary())})
-
-    return units.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(put, "chunk long, body binary")
+    def put(units: pa.Table, answers: pa.Table) -> pa.Table:
+        if not units.num_rows:
+            return _unit([], None, None)
+        chunk = units.column("chunk").to_pylist()
+        if not answers.num_rows:
+            nothing = np.array([], np.int64)
+            return _unit(chunk, nothing, nothing)
+        codes = np.concatenate([unpacked(x, rising=True) for x in answers.column("codes").to_pylist()])
+        number = np.concatenate([unpacked(x) for x in answers.column("ids").to_pylist()])
+        order = np.argsort(codes)
+        codes, number = codes[order], number[order]
+        places, left, right = pairs_in(*unit_of(units.column("places")[0].as_py(), units.column("ids")[0].as_py()))
+        wanted = left << 32 | right
+        at = np.minimum(np.searchsorted(codes, wanted), len(codes) - 1)
+        hit = codes[at] == wanted
+        return _unit(chunk, places[hit], number[at[hit]])
+
+    return units.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(put, UNITS)
 
 
 # --- phrases -------------------------------------------------------------------------------
