@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from checks.fixtures import Fixtures
 from checks.oracle import ascii_like, country, strip
 from checks.registry import check
-from grantmill.plans import clean, datasets, raw, reports, star
+from grantmill.plans import clean, datasets, raw, reports, search, star
 from grantmill.sources.readers import scan_raw_table
 from grantmill.sources.writers import write_raw
 
@@ -328,3 +328,13 @@ def _(fx: Fixtures):
 )
 def _(fx: Fixtures):
     return datasets.search_patents(fx.star, "Tion")
+
+
+@check(
+    "search_patents_indexed",
+    f"""SELECT patent_id, title, year, abstract FROM patents
+        WHERE {ascii_like("title", "%specified%")} AND year BETWEEN 2010 AND 2024 ORDER BY year DESC, patent_id LIMIT 100""",
+)
+def _(fx: Fixtures):
+    index = search.build_title_index(fx.star, fx.scratch("title_index"))
+    return search.search_indexed(fx.star, index, "Specified")
