@@ -9,6 +9,8 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
+from checks import joins_counts  # noqa: F401
+from checks.registry import CHECKS
 from grantmill.operators import counting, dedupe, integrity, joins, ranking
 from grantmill.plans import clean, reports
 from tests.conftest import executed_plan, rows
@@ -104,6 +106,33 @@ def test_hot_inventor_is_split_in_the_orphan_lookup(spark, hot_pairs, no_broadca
     assert Counter(rows(repaired)) == Counter((p, i if i in ids else None) for p, i in rows(hot_pairs))
 
 
+@pytest.mark.parametrize("key", ["sql_cte_chain", "sql_scalar_subquery", "sql_order_by_alias"])
+def test_hot_keys_are_split_in_sql(spark, hot_pairs, no_broadcast, key):
+    """A third of the pairs have one inventor, or one company; the dimensions were just grouped."""
+    named = hot_pairs.groupBy("inventor_id").agg(F.first(F.lit("n")).alias("name"), F.first(F.lit("Here")).alias("country"))
+    pairs = hot_pairs.distinct()
+    companies = named.withColumnRenamed("inventor_id", "company_id")
+    dated = patents(spark).withColumn("year", F.lit(2020))
+    star = SimpleNamespace(patents=dated, inventors=named, companies=companies, patent_inventor=pairs, patent_company=pairs.withColumnRenamed("inventor_id", "company_id"))
+    found = CHECKS[key].run(SimpleNamespace(spark=spark, star=star))
+    assert "SortMergeJoin(skew=true)" in executed_plan(found)
+    known = {str(i) for i in range(4000)} | {"hot"}
+    used = {p for p, _ in rows(hot_pairs)}
+    counts = {"sql_cte_chain": len(used & known), "sql_order_by_alias": len(used), "sql_scalar_subquery": round(100 * len(used) / 4001, 2)}
+    assert counts[key] in rows(found)[0]
+
+
+@pytest.mark.parametrize("key", ["sql_derived_table", "sql_checked_limit"])
+def test_sql_counts_before_it_joins(spark, hot_pairs, no_broadcast, key):
+    named = hot_pairs.select("inventor_id", F.lit("n").alias("name"), F.lit("Here").alias("country")).distinct()
+    star = SimpleNamespace(
+        patents=None, inventors=named, companies=named.withColumnRenamed("inventor_id", "company_id"),
+        patent_inventor=hot_pairs, patent_company=hot_pairs.withColumnRenamed("inventor_id", "company_id"),
+    )
+    plan = CHECKS[key].run(SimpleNamespace(spark=spark, star=star))._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Join LeftSemi.*\n(.*\n)?.*Aggregate \[(inventor|company)_id", plan)
+
+
 def test_null_keys_do_not_meet_in_one_task(spark, settings):
     settings(autoBroadcastJoinThreshold="-1", adaptive__enabled="false")
     left = spark.range(0, N, 1, 8).select(F.when(F.col("id") % 10 == 0, F.col("id").cast("string")).alias("k"), "id")
