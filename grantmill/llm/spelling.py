@@ -33,7 +33,7 @@ from grantmill.session import materialize
 # holds, and cells of all block pairs compared at a time.
 BLOCK_ROWS = 512
 UNIT_ROWS = 1 << 16
-CELLS_AT_ONCE = 1 << 21
+CELLS_AT_ONCE = 1 << 18
 COUNTED_AT_ONCE = 1 << 19
 NO_RANK = np.iinfo(np.int32).max
 
@@ -108,18 +108,34 @@ def padded(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ahead, back, sizes
 
 
-def common_length(rows: np.ndarray) -> np.ndarray:
-    """For matrices of rows (g, m, width): the common prefix of every two rows of each, as (g, m, m)."""
-    g, m, width = rows.shape
-    alive = np.ones((g, m, m), bool)
-    found = np.zeros((g, m, m), np.uint16)
-    for c in range(width):
-        column = rows[:, :, c]
-        alive &= column[:, :, None] == column[:, None, :]
+def common_length(codes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The common prefix of every two of the rows (g, m) of a matrix of codes, as (m, m, g).
+
+    A row with itself counts as nothing, so that the search ends where all others differ.
+    Groups are the innermost axis where there are more of them than rows in one.
+    """
+    g, m = rows.shape
+    width = codes.shape[1]
+    inner = g > m
+    columns = np.ascontiguousarray(codes.T[:, rows.T if inner else rows])
+    found = np.zeros((m, m, g) if inner else (g, m, m), np.uint8 if width < 64 else np.uint16)
+    alive = np.ones(found.shape, bool)
+    own = np.arange(m)
+    if inner:
+        alive[own, own] = False
+    else:
+        alive[:, own, own] = False
+    same = np.empty_like(alive)
+    for column in columns:
+        if inner:
+            np.equal(column[:, None, :], column[None, :, :], out=same)
+        else:
+            np.equal(column[:, :, None], column[:, None, :], out=same)
+        alive &= same
         if not alive.any():
             break
         found += alive
-    return found
+    return found if inner else found.transpose(1, 2, 0)
 
 
 def compare_unit(unit: pa.Table) -> pa.Table:
@@ -140,39 +156,43 @@ def compare_unit(unit: pa.Table) -> pa.Table:
         change[1:] |= k[order][1:] != k[order][:-1]
     starts = np.flatnonzero(change)
     counts = np.diff(np.append(starts, len(order)))
-    crossed = (keys[0] != keys[1])[order][starts]
+    crossed = keys[0] != keys[1]
     widths = np.maximum.reduceat(sizes[order], starts) if len(starts) else starts
-    # Groups of like size and width are compared together.
+    # Groups of like size and width are compared together, filled up with a row that is
+    # longer than any word and so near none.
+    filler = len(words)
+    ahead, back = (np.concatenate([x, np.zeros((1, x.shape[1]), x.dtype)]) for x in (ahead, back))
     shape_m = np.maximum(2, 1 << np.ceil(np.log2(np.maximum(counts, 1))).astype(np.int64))
     shape_w = (widths + 7) // 8 * 8
     near = np.zeros(len(words), np.int64)
     best = np.full(len(words), NO_RANK, np.int32)
     for m, width in sorted({*zip(shape_m.tolist(), shape_w.tolist(), strict=True)}):
         which = np.flatnonzero((shape_m == m) & (shape_w == width) & (counts > 1))
+        kind = np.uint8 if width < 64 else np.uint16
+        size_of = np.append(sizes, 4 * width).astype(kind) if width < 64 else np.append(sizes, 1 << 15).astype(kind)
         step = max(1, CELLS_AT_ONCE // (m * m))
         for at in range(0, len(which), step):
             some = which[at : at + step]
             place = np.arange(m)
             real = place < counts[some, None]
-            rows = order[np.where(real, starts[some, None] + place, starts[some, None])]
-            size = sizes[rows]
-            longer = np.maximum(size[:, :, None], size[:, None, :])
-            low = np.minimum(size[:, :, None], size[:, None, :])
-            prefix = common_length(ahead[rows, :width])
-            suffix = common_length(back[rows, :width])
-            same_half = prefix >= half[rows][:, :, None]
-            ok = prefix.astype(np.int64) + suffix >= longer - 1
-            ok &= (longer - low <= 1) & (low == shorter[rows][:, :, None])
-            ok &= real[:, :, None] & real[:, None, :] & ~np.eye(m, dtype=bool)
+            rows = np.where(real, order[np.where(real, starts[some, None] + place, 0)], filler)
+            size = size_of[rows.T]
+            prefix = common_length(ahead[:, :width], rows)
+            reach = common_length(back[:, :width], rows)
+            reach += prefix
+            reach += 1
+            i, j, group = np.nonzero(reach >= np.maximum(size[:, None, :], size[None, :, :]))
+            shared = prefix[i, j, group]
+            i, j = rows[group, i], rows[group, j]
+            low = np.minimum(sizes[i], sizes[j])
+            ok = (i != j) & (np.maximum(sizes[i], sizes[j]) - low <= 1) & (low == shorter[i])
             # Different groups whose keys have the same hash are told apart here.
-            ok &= (ends[rows][:, :, None] == ends[rows][:, None, :]) & (shorter[rows][:, :, None] == shorter[rows][:, None, :])
-            ok &= same_half != ends[rows][:, :, None]
-            ok &= ~crossed[some, None, None] | (block[rows][:, :, None] != block[rows][:, None, :])
-            found = ok.sum(axis=2)
-            least = np.where(ok, rank[rows][:, None, :], NO_RANK).min(axis=2)
-            hit = found > 0
-            np.add.at(near, rows[hit], found[hit])
-            np.minimum.at(best, rows[hit], least[hit])
+            ok &= (ends[i] == ends[j]) & (shorter[i] == shorter[j])
+            ok &= (shared >= half[i]) != ends[i]
+            ok &= ~crossed[i] | (block[i] != block[j])
+            i, j = i[ok], j[ok]
+            near += np.bincount(i, minlength=len(near))
+            np.minimum.at(best, i, rank[j])
     have = np.flatnonzero(near)
     of = [by_rank[r] for r in best[have].tolist()]
     return pa.table(
