@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks.fixtures import Fixtures
@@ -170,47 +173,69 @@ def _(fx: Fixtures):
     loaded = writers.recreate_tables(fx.spark, fx.scratch("tables"), fx.target_tables)["relationships"]
     # The ids are dense and unique; which row has which is not fixed.
     ids = loaded.agg(F.count_distinct("id").alias("ids"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
-    row = ids.first()
-    return loaded.select("patent_id", "inventor_id", "company_id", *[F.lit(row[c]).cast("bigint").alias(c) for c in ids.columns])
+    return loaded.drop("id").join(F.broadcast(ids), how="cross")
+
+
+_SHARE = "round(CAST(patent_count AS DOUBLE) * 100 / (SELECT count(*) FROM patents), 2)"
 
 
 @check(
     "export_reports_csv",
-    """SELECT * FROM (SELECT 'top_inventors' AS report, name AS label, patent_count FROM inventor_counts
-                      ORDER BY patent_count DESC, inventor_id LIMIT 20)
-       UNION ALL SELECT * FROM (SELECT 'top_companies', name, patent_count FROM company_counts
+    f"""SELECT * FROM (SELECT 'top_inventors' AS report, name AS label, country, patent_count, CAST(NULL AS DOUBLE) AS pct_share
+                      FROM inventor_counts ORDER BY patent_count DESC, inventor_id LIMIT 20)
+       UNION ALL SELECT * FROM (SELECT 'top_companies', name, country, patent_count, NULL FROM company_counts
                                 ORDER BY patent_count DESC, company_id LIMIT 20)
-       UNION ALL SELECT * FROM (SELECT 'country_trends', country, patent_count FROM country_counts
+       UNION ALL SELECT * FROM (SELECT 'country_trends', country, country, patent_count, {_SHARE} FROM country_counts
                                 WHERE country NOT IN ('Unknown', '') ORDER BY patent_count DESC, country LIMIT 20)
-       UNION ALL SELECT 'yearly_trends', CAST(year AS VARCHAR), patent_count FROM yearly
+       UNION ALL SELECT 'yearly_trends', CAST(year AS VARCHAR), NULL, patent_count, NULL FROM yearly
                  WHERE year BETWEEN 1976 AND 2025""",
 )
 def _(fx: Fixtures):
     paths = writers.export_reports_csv(reports.csv_reports(fx.star), fx.scratch("reports"))
-    rows = None
-    for report, path in paths.items():
-        table = fx.spark.read.option("header", True).csv(path)
-        part = table.select(
+
+    def stored(report: str, path: str):
+        table = columns.add_missing_null(fx.spark.read.option("header", True).csv(path), ["country", "pct_share"])
+        return table.select(
             F.lit(report).alias("report"),
             F.col(table.columns[0]).alias("label"),
+            "country",
             F.col("patent_count").cast("bigint").alias("patent_count"),
+            F.col("pct_share").cast("double").alias("pct_share"),
         )
-        rows = part if rows is None else rows.unionByName(part)
-    return rows
+
+    return functools.reduce(DataFrame.unionByName, [stored(*item) for item in paths.items()])
 
 
 @check(
     "export_report_json",
-    """SELECT (SELECT count(*) FROM patents) AS total_patents, CAST(rank AS BIGINT) AS rank, name, country,
-              patent_count AS patents
-       FROM (SELECT row_number() OVER (ORDER BY patent_count DESC, inventor_id) AS rank, * FROM inventor_counts)
-       WHERE rank <= 10""",
+    f"""SELECT total_patents, list, CAST(rank AS BIGINT) AS rank, name, country, patents, share FROM (
+          SELECT (SELECT count(*) FROM patents) AS total_patents, * FROM (
+            SELECT 'inventors' AS list, row_number() OVER (ORDER BY patent_count DESC, inventor_id) AS rank, name, country,
+                   patent_count AS patents, CAST(NULL AS DOUBLE) AS share FROM inventor_counts
+            UNION ALL SELECT 'companies', row_number() OVER (ORDER BY patent_count DESC, company_id), name, country,
+                   patent_count, NULL FROM company_counts
+            UNION ALL SELECT 'countries', row_number() OVER (ORDER BY patent_count DESC, country), NULL, country, patent_count,
+                   {_SHARE} FROM country_counts WHERE country NOT IN ('Unknown', ''))
+          WHERE rank <= 10)
+       UNION ALL SELECT (SELECT count(*) FROM patents), 'years', year, NULL, NULL, patent_count, NULL FROM yearly
+       WHERE year BETWEEN 1976 AND 2025""",
 )
 def _(fx: Fixtures):
     report = reports.report_json(fx.star)
     path = writers.export_report_json(report, fx.scratch("patent_report"))
     stored = fx.spark.read.schema(report.schema).json(path)
-    return stored.select("total_patents", F.inline("top_inventors"))
+
+    def entries(name: str, field: str):
+        rows = stored.select("total_patents", F.posexplode(field).alias("place", "e")).select("total_patents", "place", "e.*")
+        rows = columns.add_missing_null(rows, ["name", "country", "share"])
+        rank = F.col("year") if name == "years" else F.col("place") + 1
+        return rows.select(
+            "total_patents", F.lit(name).alias("list"), rank.cast("bigint").alias("rank"), "name", "country", "patents",
+            F.col("share").cast("double").alias("share"),
+        )
+
+    lists = {"inventors": "top_inventors", "companies": "top_companies", "countries": "top_countries", "years": "yearly_trend"}
+    return functools.reduce(DataFrame.unionByName, [entries(*item) for item in lists.items()])
 
 
 @check(

@@ -17,6 +17,14 @@ def checked_size(k: int, least: int = 0, most: int | None = None) -> int:
     return k
 
 
+MOST_BROADCAST_ROWS = 10_000
+
+
+def few(df: DataFrame, k: int) -> DataFrame:
+    """A result of at most k rows, to be broadcast if that is few; a longer one is joined as its size asks for."""
+    return F.broadcast(df) if k <= MOST_BROADCAST_ROWS else df
+
+
 def top_k(df: DataFrame, k: int, value: str, *ties: str) -> DataFrame:
     """The k largest, ties in key order; every task keeps only its own k rows."""
     return df.orderBy(F.desc(value), *ties).limit(checked_size(k))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from grantmill.functions.country import UNKNOWN
 from grantmill.functions.text import label, matches_keyword, share
 from grantmill.operators.counting import count_rows, year_between, year_min_max
-from grantmill.operators.ranking import checked_size, head_n, top_k
+from grantmill.operators.ranking import checked_size, few, head_n, top_k
 from grantmill.plans.reports import country_counts, top_companies, top_countries, top_entities, top_inventors, year_counts
 from grantmill.plans.star import Star
 
@@ -85,9 +85,6 @@ def dash_countries(star: Star, k: int = 20) -> DataFrame:
     return top_countries(star, k, NOT_A_COUNTRY, "pct")
 
 
-MOST_BROADCAST_HITS = 10_000
-
-
 def search_patents(
     star: Star, keyword: str, first: int = 2010, last: int = 2024, limit: int = SEARCH_ROWS
 ) -> DataFrame:
@@ -102,9 +99,7 @@ def search_patents(
     if not star.resolved:
         return head_n(found.select("patent_id", "title", "year", "abstract"), limit, *order)
     hits = head_n(found.select("patent_id", "title", "year"), limit, *order)
-    if limit <= MOST_BROADCAST_HITS:
-        hits = F.broadcast(hits)
-    texts = star.patents.select("patent_id", "year", "abstract").join(hits, ["year", "patent_id"])
+    texts = star.patents.select("patent_id", "year", "abstract").join(few(hits, limit), ["year", "patent_id"])
     return texts.select("patent_id", "title", "year", "abstract").orderBy(*order)
 
 

@@ -20,6 +20,7 @@ from grantmill.operators.counting import (
 from grantmill.operators.joins import fresh_key, lookup_left, null_out_orphans, pair_per_patent, with_patent
 from grantmill.operators.ranking import (
     checked_size,
+    few,
     head_n,
     rank_by_counts,
     tail_n,
@@ -43,7 +44,7 @@ def top_entities(
     """
     counts = count_pairs_by(pairs, key, name)
     if resolved:
-        found = dimension.join(F.broadcast(top_k(counts, k, name, key)), key)
+        found = dimension.join(few(top_k(counts, k, name, key), k), key)
     else:
         found = counts.join(dimension, key)
     return top_k(found, k, name, key).select(key, "name", "country", name)
@@ -101,7 +102,7 @@ def patent_detail(star: Star, since: int = 2000, k: int = 500) -> DataFrame:
     relevant = star.patents.where(F.col("year") >= since).select("patent_id", "title", "year")
     patents = materialize(head_n(relevant, k, "patent_id"), "first_patents")
     pi, pc = star.patent_inventor, star.patent_company
-    ids = F.broadcast(patents.select("patent_id"))
+    ids = few(patents.select("patent_id"), k)
     pi = _first_per_patent(pi.join(ids, "patent_id", "left_semi"), "inventor_id", star.inventors, star.resolved, k)
     pc = _first_per_patent(pc.join(ids, "patent_id", "left_semi"), "company_id", star.companies, star.resolved, k)
     with_inventors = head_n(
@@ -120,17 +121,17 @@ def patent_detail(star: Star, since: int = 2000, k: int = 500) -> DataFrame:
     )
     companies = star.companies.select("company_id", F.col("name").alias("company_name"))
     return (
-        _names_of(detail, inventors, "inventor_id")
-        .transform(_names_of, companies, "company_id")
+        _names_of(detail, inventors, "inventor_id", k)
+        .transform(_names_of, companies, "company_id", k)
         .orderBy("patent_id", F.asc_nulls_first("inventor_id"), F.asc_nulls_first("company_id"))
         .select("patent_id", "title", "year", "inventor_name", "inventor_country", "company_name")
     )
 
 
-def _names_of(rows: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
+def _names_of(rows: DataFrame, dimension: DataFrame, key: str, k: int) -> DataFrame:
     """Names for a short list of rows: the dimension is filtered by their ids, not shuffled."""
-    few = dimension.join(F.broadcast(rows.select(key)), key, "left_semi")
-    return rows.join(few, key, "left")
+    named = dimension.join(few(rows.select(key), k), key, "left_semi")
+    return rows.join(named, key, "left")
 
 
 def _first_per_patent(pairs: DataFrame, key: str, dimension: DataFrame, resolved: bool, k: int) -> DataFrame:
@@ -194,7 +195,7 @@ def inventor_ranking(star: Star, k: int = 50) -> DataFrame:
     counts = inventor_counts(star)
     total = counts.agg(F.sum("patent_count").alias("total"))
     top = with_ranks_of_top(top_k(counts, k, "patent_count", "inventor_id"), "patent_count")
-    ranked = star.inventors.join(F.broadcast(top), "inventor_id")
+    ranked = star.inventors.join(few(top, k), "inventor_id")
     return with_share(ranked, total, "pct_of_total", 4).orderBy(F.desc("patent_count"), "inventor_id").select(
         "rank", "dense_rank", F.col("name").alias("inventor"), "country", "patent_count", "pct_of_total"
     )

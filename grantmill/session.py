@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
 import os
 import tempfile
@@ -9,7 +10,7 @@ import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,16 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Rows of a large table that a join drops are mostly left out where the table is read, by
+    # a Bloom filter of 8 MB over the other side's keys; the join itself stays exact. Spark's
+    # own limits would leave it out where the other side has more than some megabytes.
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1GB",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "100GB",
+    "spark.sql.optimizer.runtime.bloomFilter.expectedNumItems": "10000000",
+    "spark.sql.optimizer.runtime.bloomFilter.maxNumItems": "10000000",
+    "spark.sql.optimizer.runtime.bloomFilter.numBits": str(1 << 26),
+    "spark.sql.optimizer.runtime.bloomFilter.maxNumBits": str(1 << 26),
 }
 
 
@@ -92,6 +103,18 @@ def list_folder(spark: SparkSession, path: str) -> list[str]:
 
 
 _open_areas: list[list[str]] = []
+_kept_to_the_end: list[str] = []
+
+
+@atexit.register
+def _drop_scratch() -> None:
+    """Delete scratch tables of lazy results if the session is still there; a lost one leaves them to the folder's owner."""
+    spark = SparkSession.getActiveSession()
+    if spark is None or spark.sparkContext._jsc is None:
+        return
+    for path in _kept_to_the_end:
+        with suppress(Exception):
+            delete_path(spark, path)
 
 
 @contextmanager
@@ -111,11 +134,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
     This cuts the lineage, survives lost executors, and tells Spark the size. The table
-    goes with the innermost ``scratch_area``; without one it stays as long as the folder.
+    goes with the innermost ``scratch_area``; without one it goes with this process.
     """
     path = scratch_path(df.sparkSession, name)
-    if _open_areas:
-        _open_areas[-1].append(path.rpartition("/")[0])
+    (_open_areas[-1] if _open_areas else _kept_to_the_end).append(path.rpartition("/")[0])
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -167,15 +167,19 @@ def source_status(spark: SparkSession, paths: Mapping[str, str], want: Mapping[s
 def sample_rows(df: DataFrame, rows: int | None = None, order: str = "patent_id") -> DataFrame:
     """The first rows by key, rows without a key left out; ``None`` keeps all.
 
-    A sort with so large a limit would send that many rows of every task to one
-    task. So the key at the limit is found first, from the numbered key column,
-    and only rows up to it are sorted.
+    A sort with so large a limit would send that many rows of every task to one task. So
+    the key at the limit is found first, from the numbered key column. Rows below it are
+    all taken as they come; only of the rows with that key some are left out.
     """
     if rows is None:
         return df
     keyed = df.where(F.col(order).isNotNull())
-    last = surrogate_id(keyed.select(order), order).where(F.col("id") == rows).select(order).scalar()
-    return keyed.where(last.isNull() | (F.col(order) <= last)).orderBy(order).limit(rows)
+    places = surrogate_id(keyed.select(order), order)
+    last = places.where(F.col("id") == rows).select(order).first()
+    if last is None:
+        return keyed
+    before = places.where(F.col(order) < F.lit(last[0])).count()
+    return keyed.where(F.col(order) < F.lit(last[0])).unionByName(keyed.where(F.col(order) == F.lit(last[0])).limit(rows - before))
 
 
 def read_clean(spark: SparkSession, path: str) -> DataFrame | None:

@@ -219,3 +219,44 @@ def test_numbering_hands_no_task_all_rows(spark, hot_pairs, settings):
     total = hot_pairs.distinct().count()
     assert [r.id for r in numbered.orderBy("id").select("id").collect()] == list(range(1, total + 1))
     assert "SinglePartition" not in re.sub(r"Window.*", "", executed_plan(numbered), flags=re.S)
+
+
+def written_rows(df) -> list[int]:
+    """Rows that each shuffle of a query wrote."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    found, open_ = [], [plan]
+    while open_:
+        node = open_.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            open_.append(node.executedPlan())
+            continue
+        if name.endswith("QueryStage"):
+            open_.append(node.plan())
+            continue
+        if name == "Exchange":
+            found.append(node.metrics().apply("shuffleRecordsWritten").value())
+        children = node.children()
+        open_ += [children.apply(i) for i in range(children.size())]
+    return found
+
+
+def test_pairs_of_dropped_patents_stay_out_of_the_shuffle(spark, settings, tmp_path):
+    """The Bloom filter of the valid patents is asked where the pairs are read; the join stays exact."""
+    n = F.col("id")
+    spark.range(0, 60_000, 1, 4).select(
+        n.cast("string").alias("patent_id"), (n % 700).cast("string").alias("disambig_inventor_id")
+    ).write.parquet(f"{tmp_path}/pairs")
+    spark.range(3000).select(
+        n.cast("string").alias("patent_id"), F.lit("t").alias("patent_title"), F.lit("2020-01-01").alias("patent_date"), F.lit("utility").alias("patent_type")
+    ).write.parquet(f"{tmp_path}/patents")
+    pairs, raw = spark.read.parquet(f"{tmp_path}/pairs"), spark.read.parquet(f"{tmp_path}/patents")
+    bloom = "optimizer__runtime__bloomFilter__"
+    settings(autoBroadcastJoinThreshold="-1", adaptive__autoBroadcastJoinThreshold="-1", **{bloom + "applicationSideScanSizeThreshold": "0"})
+    found = clean.clean_patent_inventor(pairs, clean.clean_patents(raw))
+    assert "might_contain" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert max(written_rows(found)) < 4000
+    assert found.count() == 3000
+    settings(**{bloom + "enabled": "false"})
+    assert max(written_rows(clean.clean_patent_inventor(pairs, clean.clean_patents(raw)))) == 60_000
