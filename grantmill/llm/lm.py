@@ -1,6 +1,8 @@
 """Cross-entropy difference: how much likelier a text is under a target model than under a background model.
 
-Both models are interpolated bigram models of the same order, smoothing and vocabulary.
+Both models are interpolated bigram models of the same order, smoothing and vocabulary: the
+different words of both models and one more for all others. The probabilities of what
+follows a word add up to one, whether a model has seen the word or not.
 Every different word and every different pair of words has counts of its own, so what is
 counted grows with the corpus. A word stands as a 64-bit hash and a pair as those of both
 words; nothing is cut to a table size.
@@ -36,8 +38,6 @@ from grantmill.llm.common import chunks, ship, texts
 from grantmill.session import materialize
 
 TOKEN = re.compile(r"\w+|[^\w\s]")
-# The smoothing spreads over 2**WORD_BITS words, or over as many as there are if those are more.
-WORD_BITS = 18
 # Share of the bigram estimate, and what each word of the vocabulary counts before any text.
 BIGRAM_SHARE, PRIOR = 0.6, 0.5
 # A chunk ends after the text that reaches so many tokens.
@@ -158,9 +158,11 @@ class _Chunk:
     def losses(self, counts: np.ndarray, row: int, total: int, vocabulary: int) -> np.ndarray:
         """Negative log probabilities summed over each text, under the model of that row of counts."""
         words, pairs = np.split(counts[row], [len(self.words)])
-        single = (words[self.pair_word] + PRIOR) / (total + PRIOR * max(1 << WORD_BITS, vocabulary))
-        double = pairs / np.maximum(counts[2 + row][self.pair_before], 1)
-        loss = -np.log(BIGRAM_SHARE * double + (1 - BIGRAM_SHARE) * single)
+        single = (words[self.pair_word] + PRIOR) / (total + PRIOR * vocabulary)
+        begun = counts[2 + row][self.pair_before]
+        # A word that the model never saw anything follow says nothing about the next.
+        share = np.where(begun > 0, BIGRAM_SHARE, 0.0)
+        loss = -np.log(share * pairs / np.maximum(begun, 1) + (1 - share) * single)
         return np.bincount(self.text, loss[self.pair], len(self.sizes))
 
 

@@ -172,15 +172,17 @@ def slow_losses(target, background, texts):
 
     out = []
     both = counts(target), counts(background)
+    vocabulary = len({*both[0][0], *both[1][0]}) + 1
     for t in texts:
         found = [lm.word_entry(w) for w in lm.TOKEN.findall((t or "").lower())]
         losses = []
         for words, firsts, pairs in both:
             total = 0.0
             for before, word in zip([lm.START, *found], found, strict=False):
-                single = (words[word] + lm.PRIOR) / (sum(words.values()) + lm.PRIOR * (1 << lm.WORD_BITS))
+                single = (words[word] + lm.PRIOR) / (sum(words.values()) + lm.PRIOR * vocabulary)
                 double = pairs[before, word] / max(firsts[before], 1)
-                total -= math.log(lm.BIGRAM_SHARE * double + (1 - lm.BIGRAM_SHARE) * single)
+                share = lm.BIGRAM_SHARE if firsts[before] else 0
+                total -= math.log(share * double + (1 - share) * single)
             losses.append(total / len(found) if found else None)
         out.append((len(found), *losses))
     return out
@@ -220,6 +222,19 @@ def test_no_texts_for_the_models(spark):
     assert rows[1] == 0 and rows[2] is None
 
 
+def test_what_follows_a_word_has_probability_one(spark):
+    texts = ["a b a c", "b b a", "c d e"]
+    models = lm.fit(documents(spark, [(1, texts[0]), (2, texts[1])]), documents(spark, list(enumerate(texts))))
+    vocabulary = ["a", "b", "c", "d", "e", "unheard"]
+    # Seen before a word, seen only last in the target, not seen at all in the target, and nowhere.
+    for before in ("a", "c", "d", "nowhere"):
+        asked = [(i, t) for i, word in enumerate(vocabulary) for t in (f"{before} {word}",)] + [(99, before)]
+        found = {r.doc_id: r for r in lm.score(documents(spark, asked), models).collect()}
+        for loss in ("target_loss", "background_loss"):
+            total = sum(math.exp(found[99][loss] - 2 * found[i][loss]) for i in range(len(vocabulary)))
+            assert total == pytest.approx(1)
+
+
 def exact_losses(target, background, texts, vocabulary):
     """The estimates from plain dictionaries of the words themselves."""
 
@@ -237,8 +252,8 @@ def exact_losses(target, background, texts, vocabulary):
         yield [
             -sum(
                 math.log(
-                    lm.BIGRAM_SHARE * pairs[before, word] / max(firsts[before], 1)
-                    + (1 - lm.BIGRAM_SHARE) * (words[word] + lm.PRIOR) / (total + lm.PRIOR * vocabulary)
+                    (lm.BIGRAM_SHARE if firsts[before] else 0) * pairs[before, word] / max(firsts[before], 1)
+                    + (1 - (lm.BIGRAM_SHARE if firsts[before] else 0)) * (words[word] + lm.PRIOR) / (total + lm.PRIOR * vocabulary)
                 )
                 for before, word in zip([None, *found], found, strict=False)
             )
@@ -256,7 +271,7 @@ def test_more_words_and_pairs_than_a_fixed_table(spark):
     target = df.where("doc_id < 50")
     pairs = {p for t in texts for p in zip(t.split(), t.split()[1:], strict=False)}
     words = len({w for t in texts for w in t.split()})
-    assert len(pairs) > 1 << 21 and words > 1 << lm.WORD_BITS
+    assert len(pairs) > 1 << 21 and words > 1 << 18
     seen = "w1 w2 " + texts[60][:2000]
     asked = documents(spark, [(1, seen), (2, "w5 unheard w7")])
     got = {r.doc_id: (r.target_loss, r.background_loss) for r in lm.score(asked, lm.fit(target, df)).collect()}
