@@ -11,7 +11,8 @@ from grantmill import schemas
 from grantmill.functions.country import COUNTRY_NAMES, UNKNOWN, country_lookup
 from grantmill.functions.text import scaled_bar_length, share
 from grantmill.operators import columns, counting, dedupe, integrity, joins, ranking
-from grantmill.plans import clean, datasets, reports
+from grantmill.plans import buckets, clean, datasets, reports
+from grantmill.plans.star import build_star
 from grantmill.sources.readers import read_table_query
 
 # Joins
@@ -118,6 +119,16 @@ def _(fx: Fixtures):
     return reports.patents_full_detail(fx.star)
 
 
+@check(
+    "detail_in_buckets",
+    """SELECT patent_id, title, year, inventor_name, inventor_country, company_name
+       FROM patents LEFT JOIN detail USING (patent_id)""",
+)
+def _(fx: Fixtures):
+    stored = build_star(fx.spark, fx, fx.scratch("star"), relationships=False)
+    return reports.patents_full_detail(buckets.bucket_star(stored, fx.scratch("buckets")))
+
+
 @check("scalar_total", "SELECT country, patent_count, (SELECT count(*) FROM patents) AS total FROM country_counts")
 def _(fx: Fixtures):
     total = counting.count_rows(fx.star.patents, "n").scalar()

@@ -17,7 +17,7 @@ from grantmill.operators.counting import (
     with_share,
     year_between,
 )
-from grantmill.operators.joins import fresh_key, lookup_left, null_out_orphans, pair_per_patent, with_patent
+from grantmill.operators.joins import fresh_key, lookup_left, null_out_orphans
 from grantmill.operators.ranking import (
     checked_size,
     few,
@@ -151,10 +151,7 @@ def patents_full_detail(star: Star) -> DataFrame:
         "inventor_id", F.col("name").alias("inventor_name"), F.col("country").alias("inventor_country")
     )
     companies = star.companies.select("company_id", F.col("name").alias("company_name"))
-    pairs = pair_per_patent(star.patent_inventor, star.patent_company)
-    paired = star.patent_inventor.select("patent_id").union(star.patent_company.select("patent_id"))
-    detail = with_patent(pairs, star.patents.select("patent_id", "title", "year"), paired)
-    named = lookup_left(detail, inventors, "inventor_id", spread_by="patent_id")
+    named = lookup_left(star.detail_ids(), inventors, "inventor_id", spread_by="patent_id")
     return lookup_left(named, companies, "company_id", spread_by="patent_id").select(
         "patent_id", "title", "year", "inventor_name", "inventor_country", "company_name"
     )

@@ -14,7 +14,7 @@ from grantmill import schemas
 from grantmill.operators.columns import align_to_schema
 from grantmill.operators.dedupe import keep_first
 from grantmill.operators.integrity import check_unique_key, surrogate_id
-from grantmill.operators.joins import fresh_key, keep_valid_patents, null_out_orphans, pair_per_patent
+from grantmill.operators.joins import fresh_key, keep_valid_patents, null_out_orphans, pair_per_patent, with_patent
 from grantmill.plans.clean import (
     Names,
     clean_companies,
@@ -69,11 +69,23 @@ class Star(ABC):
     def relationships(self) -> DataFrame:
         """Inventor by company of every patent, orphaned ids null."""
 
+    def detail_ids(self) -> DataFrame:
+        """Every patent, with title and year, with each of its inventors and companies: ids, null where it has none."""
+        return detail_of(self.patents, self.patent_inventor, self.patent_company)
+
     def kept_counts(self, name: str) -> DataFrame | None:
         """Counts that were kept at load time, in parts that add up; ``None`` where none are."""
         return None
 
 
+def detail_of(patents: DataFrame, patent_inventor: DataFrame, patent_company: DataFrame) -> DataFrame:
+    """``(patent_id, title, year, inventor_id, company_id)``: pairs and patents joined so that a hot patent can be split."""
+    pairs = pair_per_patent(patent_inventor, patent_company)
+    paired = patent_inventor.select("patent_id").union(patent_company.select("patent_id"))
+    detail = with_patent(pairs, patents.select("patent_id", "title", "year"), paired)
+    return detail.select("patent_id", "title", "year", "inventor_id", "company_id")
+
+
 class RawStar(Star):
     """The star as lazy plans over raw tables; nothing is written, and only what is read is planned."""
 
