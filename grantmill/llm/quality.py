@@ -38,6 +38,9 @@ _bare = frozenset(string.punctuation)
 _SYMBOLS = string.punctuation.encode()
 _UPPER = string.ascii_uppercase.encode()
 _LOWER = string.ascii_lowercase.encode()
+_ASCII = bytes(range(128))
+# From this share of other letters on, a text without common words may be of a language that has others.
+OTHER_LETTERS = 0.06
 # Frequent short words of English, French, German and Spanish (fixed values).
 COMMON = frozenset(
     "the of and to in is that for it with as was on be by this are or from an a "
@@ -60,6 +63,7 @@ class Measures:
     top_share: float
     bare: float
     common: float
+    other_letters: float
     lines: int
     line_copies: float
 
@@ -71,6 +75,7 @@ def measure(text: str) -> Measures:
     upper = len(raw) - len(raw.translate(None, _UPPER))
     letters = upper + len(raw) - len(raw.translate(None, _LOWER))
     symbols = len(raw) - len(raw.translate(None, _SYMBOLS))
+    others = len(raw.translate(None, _ASCII)) / 2
     n, size = max(len(words), 1), max(len(raw), 1)
     lines = [x for x in text.split("\n") if x]
     return Measures(
@@ -83,6 +88,7 @@ def measure(text: str) -> Measures:
         top_share=max(counts.values(), default=0) / n,
         bare=sum(map(_bare.__contains__, words)) / n,
         common=sum(map(COMMON.__contains__, text.lower().split())) / n,
+        other_letters=others / max(letters + others, 1),
         lines=len(lines),
         line_copies=1 - len(set(lines)) / max(len(lines), 1),
     )
@@ -100,7 +106,7 @@ LABELLERS = {
     "variety": lambda m: _vote(-m.different, -0.3, -0.5, m.words >= 40),
     "top_word": lambda m: _vote(m.top_share, 0.2, 0.12, m.words >= 12),
     "separators": lambda m: _vote(m.bare, 0.08, 0.02, m.words >= 12),
-    "common_words": lambda m: _vote(-m.common, -0.02, -0.08, m.words >= 30),
+    "common_words": lambda m: _vote(-m.common, -0.02, -0.08, m.words >= 30 and (m.common > 0.02 or m.other_letters < OTHER_LETTERS)),
     "line_copies": lambda m: _vote(m.line_copies, 0.6, 0.4, m.lines >= 6),
 }
 

@@ -64,6 +64,22 @@ def test_quality_of_odd_rows(spark):
     assert quality.score(empty, quality.fit(empty)).collect() == []
 
 
+def test_no_labeller_votes_against_languages_it_does_not_know():
+    good = {
+        "ru": "Совет собрался в понедельник утром и обсудил новую дорогу вдоль реки. Жители долго спорили о цене работ, "
+        "но в конце концов решили начать строительство весной, когда земля оттает и лёд сойдёт с воды полностью без остатка.",
+        "pl": "Rada zebrała się wczoraj rano, żeby omówić nową drogę wzdłuż rzeki. Mieszkańcy długo spierali się o koszty robót, ale "
+        "ostatecznie postanowili rozpocząć budowę wiosną, gdy ziemia odmarznie i lód całkiem zniknie z wody przy starym moście.",
+        "tr": "Meclis pazartesi sabahı toplandı ve nehir boyunca yapılacak yeni yolu görüştü. Köylüler işin bedelini uzun süre tartıştı, "
+        "sonunda toprak çözülünce inşaata ilkbaharda başlamaya karar verdiler; eski köprü ise bu yıl olduğu gibi kalacak, dediler.",
+    }
+    for text in good.values():
+        votes = dict(zip(quality.LABELLERS, quality.votes_of(np.array([quality.pattern(text)]))[0].tolist(), strict=True))
+        assert quality.BAD not in votes.values(), votes
+    junk = " ".join(["qwpo zxmv bnty"] * 12)
+    assert quality.LABELLERS["common_words"](quality.measure(junk)) == quality.BAD
+
+
 # --- toxicity ---
 
 INSULTS = ["blarghface", "zonkhead", "grumblewit", "snotbagger"]
