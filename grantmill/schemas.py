@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# Column names of the raw files and of the target tables.
 PATENT_COLUMNS = ["patent_id", "patent_title", "patent_abstract", "patent_date", "patent_type", "wipo_kind"]
 INVENTOR_COLUMNS = [
     "disambig_inventor_id",
