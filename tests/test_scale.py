@@ -260,3 +260,29 @@ def test_pairs_of_dropped_patents_stay_out_of_the_shuffle(spark, settings, tmp_p
     assert found.count() == 3000
     settings(**{bloom + "enabled": "false"})
     assert max(written_rows(clean.clean_patent_inventor(pairs, clean.clean_patents(raw)))) == 60_000
+
+
+def test_compressed_tables_are_not_taken_for_small(spark, tmp_path):
+    """A file of repeated text is some kilobytes, its rows in memory are not: it must not be broadcast by its file size."""
+    n = F.col("id")
+    wide = spark.range(0, 400_000, 1, 1).select(n.alias("k"), F.lit("much the same text in every row").alias("a"), F.lit("and more of it").alias("b"))
+    wide.write.parquet(f"{tmp_path}/wide")
+    table = spark.read.parquet(f"{tmp_path}/wide")
+    size = sum(f.stat().st_size for f in (tmp_path / "wide").iterdir())
+    assert size < 10 << 20
+    counted = table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    assert counted > 10 << 20
+
+
+def test_a_cluster_cuts_large_shuffles_finely(monkeypatch):
+    """The share of one task is bounded by settings wherever there are executors; a local session keeps its own."""
+    from grantmill import session
+
+    def tuned(master):
+        conf = {}
+        session.tune(SimpleNamespace(sparkContext=SimpleNamespace(master=master), conf=SimpleNamespace(set=conf.__setitem__)))
+        return conf
+
+    name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    assert name not in tuned("local[8]") and name not in tuned("local")
+    assert int(tuned("local-cluster[2,4,1024]")[name]) > 200 and int(tuned("yarn")[name]) > 200
