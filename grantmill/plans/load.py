@@ -168,11 +168,12 @@ def route_pairs(raw: DataFrame, candidates: Sequence[str], key: str, patents: Da
     now null. Further rows of a kept pair are one rejected row with their number.
     """
     pairs = raw.select("patent_id", F.col(pick_column(raw, candidates)).alias(key))
-    grouped = pairs.groupBy("patent_id", key).agg(F.count("*").alias("rows"))
     loaded = patents.select("patent_id").withColumn("_loaded", F.lit(True))
     there = entities.select(key).withColumn("_there", F.lit(True))
-    found = lookup_left(fresh_key(grouped, "patent_id", key), loaded, "patent_id", spread_by=key)
-    found = lookup_left(found, there, key, spread_by="patent_id")
+    found = lookup_left(pairs, loaded, "patent_id", spread_by=key, keep_as="_patent")
+    # Equal pairs stand together after the lookup, so they are counted without another exchange.
+    grouped = found.groupBy("_patent", "patent_id", key).agg(F.count("*").alias("rows"), F.max("_loaded").alias("_loaded"))
+    found = lookup_left(fresh_key(grouped.drop("_patent"), key), there, key, spread_by="patent_id")
     reason = _first_reason({"no_id": F.col("patent_id").isNull() | F.col(key).isNull(), "unknown_patent": F.col("_loaded").isNull()})
 
     def row(entity: Column, why: Column, rows: Column) -> Column:
@@ -186,13 +187,16 @@ def route_pairs(raw: DataFrame, candidates: Sequence[str], key: str, patents: Da
 
 
 def _write_routed(df: DataFrame, path: str, table: str, reasons: Sequence[str], rows: Column, by: Sequence[str] = ()) -> list[tuple[str, str, int]]:
-    """Store rows by outcome and return how many rows had which, counted by the write."""
+    """Store rows by outcome and return how many rows had which, counted by the write.
+
+    Rows laid out by further columns are shuffled once more for it; others are written as they come.
+    """
     outcome = F.when(F.col("reason").isNull() | (F.col("reason") == ORPHANED), F.lit(KEPT)).otherwise(F.lit(REJECTED))
     seen = Observation()
     named = F.coalesce("reason", F.lit(KEPT))
     counts = [F.coalesce(F.sum(F.when(named == r, rows)), F.lit(0)).cast("long").alias(r) for r in (KEPT, *reasons)]
     placed = df.withColumn("outcome", outcome).observe(seen, *counts)
-    placed.hint("rebalance", "outcome", *by).write.partitionBy("outcome", *by).parquet(path)
+    (placed.hint("rebalance", "outcome", *by) if by else placed).write.partitionBy("outcome", *by).parquet(path)
     # Both outcomes can be read, also where no row has one of them.
     for folder in (KEPT, REJECTED):
         make_folder(df.sparkSession, f"{path}/outcome={folder}")

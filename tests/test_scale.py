@@ -286,3 +286,18 @@ def test_a_cluster_cuts_large_shuffles_finely(monkeypatch):
     name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
     assert name not in tuned("local[8]") and name not in tuned("local")
     assert int(tuned("local-cluster[2,4,1024]")[name]) > 200 and int(tuned("yarn")[name]) > 200
+
+
+def test_pairs_of_a_load_are_counted_where_they_are_looked_up(spark, settings, hot_pairs):
+    """One exchange by patent and one by inventor; equal pairs are counted between them without another."""
+    from grantmill.plans import load
+
+    settings(autoBroadcastJoinThreshold="-1", adaptive__autoBroadcastJoinThreshold="-1", adaptive__forceOptimizeSkewedJoin="false")
+    raw = hot_pairs.unionByName(hot_pairs.limit(100))
+    entities = spark.range(50).select(F.col("id").cast("string").alias("inventor_id"))
+    routed = load.route_pairs(raw, ["inventor_id"], "inventor_id", patents(spark), entities)
+    moved = [n for n in written_rows(routed) if n > N // 2]
+    assert len(moved) <= 2
+    kept = routed.where("reason IS NULL OR reason = 'orphaned'").count()
+    valid = {str(i) for i in range(4000)} | {"hot"}
+    assert kept == len({(p, i) for p, i in rows(hot_pairs) if p in valid})
