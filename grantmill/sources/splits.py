@@ -156,7 +156,7 @@ def summaries(spark: SparkSession, path: str | list[str], sep: str) -> DataFrame
 
 
 def with_states(summary: DataFrame) -> DataFrame:
-    """Each range with the state it begins in, `opens`, and what it is like when read from there.
+    """Each range with the state it begins in, `opens`.
 
     A range whose end does not depend on its beginning settles the state for those after
     it; the others keep or flip it. There is one row per range of a file.
@@ -169,7 +169,17 @@ def with_states(summary: DataFrame) -> DataFrame:
     flipped = F.last(F.when(settles, F.col("_flips")), True).over(along)
     since = F.col("_flips") - F.coalesce(flipped, F.lit(0))
     opens = F.coalesce(ended, F.lit(False)) != (since % 2 == 1)
-    found = placed.withColumn("opens", opens)
+    return placed.select("file", "block", opens.alias("opens"))
+
+
+def with_texts(summary: DataFrame) -> DataFrame:
+    """Each range with `opens` and what it is like when read from there.
+
+    The texts of a summary do not go through the windows of a file: one task would get those of all ranges.
+    """
+    flags = summary.select("file", "block", F.struct("closed.ends").alias("closed"), F.struct("open.ends").alias("open"))
+    # One row for each range of a file.
+    found = summary.join(F.broadcast(with_states(flags)), ["file", "block"])
     return found.select("file", "block", "opens", F.when(F.col("opens"), F.col("open")).otherwise(F.col("closed")).alias("read"))
 
 
@@ -251,7 +261,7 @@ def split_records(spark: SparkSession, path: str | list[str], header: list[str],
     (file, block, row) orders the records as they stand in the files. None if a record is
     too long to be put together: such files are for a reader that takes them whole.
     """
-    states = materialize(with_states(summaries(spark, path, sep)), "ranges")
+    states = materialize(with_texts(materialize(summaries(spark, path, sep), "summaries")), "ranges")
     across, too_long = states.agg(F.max(F.col("opens") | F.col("read.ends")), F.max("read.too_long")).first()
     if too_long:
         return None

@@ -126,3 +126,13 @@ def test_headers_must_agree(spark, tmp_path):
 def test_ends_inside(line, outside, inside):
     assert splits.ends_inside(line, False) == outside
     assert splits.ends_inside(line, True) == inside
+
+
+def test_texts_stay_out_of_the_windows_of_a_file(spark, settings, tmp_path):
+    """One task sees all ranges of a file: it gets where they end, and not the texts that reach out of them."""
+    path = write(tmp_path / "raw.tsv", made_lines(2000, seed=5))
+    settings(files__maxPartitionBytes="5000", files__openCostInBytes="0")
+    found = splits.summaries(spark, path, "\t").localCheckpoint()
+    states = splits.with_states(found)
+    assert states.columns == ["file", "block", "opens"]
+    assert states.count() == found.count() == splits.with_texts(found).where("read IS NOT NULL").count() > 4
