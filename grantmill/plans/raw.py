@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
 from grantmill import schemas
 from grantmill.plans.star import RawTables
+from grantmill.session import run_together
 from grantmill.sources.readers import if_present, land_raw_table, scan_raw_table
 
 # Names of the raw files.
@@ -36,12 +38,19 @@ def open_raw(spark: SparkSession, folder: str, landed: str | None = None, **opti
             return scan_raw_table(spark, path, want, ordinal=ordinal, **options)
         return land_raw_table(spark, path, want, f"{landed.rstrip('/')}/{name.removesuffix('.tsv')}", ordinal=ordinal, **options)
 
-    return RawTables(
-        raw_patent=table(PATENT_FILE, schemas.PATENT_COLUMNS),
-        raw_inventor=table(INVENTOR_FILE, ["patent_id", *schemas.INVENTOR_COLUMNS], ORDINAL),
-        raw_assignee=table(ASSIGNEE_FILE, ["patent_id", *schemas.ASSIGNEE_COLUMNS], ORDINAL),
-        raw_location=if_present(lambda: table(LOCATION_FILE, schemas.LOCATION_COLUMNS, ORDINAL)),
-        raw_patent_inventor=if_present(lambda: table(PATENT_INVENTOR_FILE, schemas.PATENT_INVENTOR_COLUMNS)),
-        raw_patent_assignee=if_present(lambda: table(PATENT_ASSIGNEE_FILE, schemas.PATENT_ASSIGNEE_COLUMNS)),
-        ordinal=ORDINAL,
-    )
+    reads = {
+        "raw_patent": lambda: table(PATENT_FILE, schemas.PATENT_COLUMNS),
+        "raw_inventor": lambda: table(INVENTOR_FILE, ["patent_id", *schemas.INVENTOR_COLUMNS], ORDINAL),
+        "raw_assignee": lambda: table(ASSIGNEE_FILE, ["patent_id", *schemas.ASSIGNEE_COLUMNS], ORDINAL),
+        "raw_location": lambda: if_present(lambda: table(LOCATION_FILE, schemas.LOCATION_COLUMNS, ORDINAL)),
+        "raw_patent_inventor": lambda: if_present(lambda: table(PATENT_INVENTOR_FILE, schemas.PATENT_INVENTOR_COLUMNS)),
+        "raw_patent_assignee": lambda: if_present(lambda: table(PATENT_ASSIGNEE_FILE, schemas.PATENT_ASSIGNEE_COLUMNS)),
+    }
+    tables: dict[str, DataFrame | None] = {}
+
+    def store(name: str) -> None:
+        tables[name] = reads[name]()
+
+    # Files are read at the same time: the last tasks of one do not hold up the next.
+    run_together(spark, *[functools.partial(store, name) for name in reads])
+    return RawTables(**tables, ordinal=ORDINAL)
