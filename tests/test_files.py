@@ -15,7 +15,7 @@ from grantmill import schemas
 from grantmill.functions.text import CSV_NULL_TOKENS
 from grantmill.operators import integrity
 from grantmill.plans import datasets, reports
-from grantmill.plans.star import StoredStar
+from grantmill.plans.star import RawStar, StoredStar
 from grantmill.sources import readers, writers
 from tests.conftest import rows
 
@@ -180,3 +180,19 @@ def test_fixtures_have_the_known_sizes(spark):
     assert small.clean_patent_inventor.count() == 3755
     assert small.clean_patent_company.count() == 1075
     assert small.clean_relationships.count() == 5951
+
+
+def test_reports_of_a_lazy_star_read_what_was_written_once(spark, fx):
+    """Patents and inventors' pairs are shared by the CSV reports; none of them reads the raw tables of these again."""
+    lazy = reports.csv_reports(RawStar(fx))
+    for name in ("top_inventors", "country_trends", "yearly_trends"):
+        files = " ".join(lazy[name].inputFiles())
+        assert "lineitem.parquet" not in files and "orders.parquet" not in files
+    assert rows(lazy["top_inventors"]) == rows(reports.top_inventors(RawStar(fx)))
+
+
+def test_rows_in_order_are_as_many_files_as_they_need(spark, fx, settings):
+    """The files of spellings are ranges of their rows, and their number grows with the rows."""
+    settings(adaptive__coalescePartitions__enabled="false")
+    path = fx.spelling_file("patent_id", "location_id")
+    assert len([f for f in os.listdir(path.removeprefix("file:")) if f.endswith(".csv")]) > 4
