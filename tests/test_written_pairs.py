@@ -32,6 +32,14 @@ def _reads(df, *tables: str) -> bool:
     return any(f"/{t}/" in file for file in df.inputFiles() for t in tables)
 
 
+def test_relationships_of_raw_tables_read_patents_once(spark, tmp_path):
+    star = _raw_folder_star(spark, tmp_path)
+    found = star.relationships()
+    assert rows(found) == [("p1", "i1", "c1"), ("p1", "i2", "c1"), ("p2", None, None)]
+    # They and the pairs are in scratch files by now.
+    assert not _reads(found, *RAW)
+
+
 def test_numbered_relationships_pair_written_tables(spark, tmp_path, monkeypatch):
     star, asked = _raw_folder_star(spark, tmp_path), []
     monkeypatch.setattr(star_plans, "pair_per_patent", lambda *pairs: asked.extend(pairs) or pair_per_patent(*pairs))
