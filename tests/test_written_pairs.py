@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from grantmill.operators.joins import pair_per_patent
+from grantmill.plans import reports
 from grantmill.plans import star as star_plans
 from grantmill.plans.star import RawStar, RawTables
 from tests.conftest import rows
@@ -46,3 +47,15 @@ def test_numbered_relationships_pair_written_tables(spark, tmp_path, monkeypatch
     found = star_plans.load_relationships(star.patent_inventor, star.patent_company, star.inventors, star.companies, star.patents)
     assert rows(found) == [(1, "p1", "i1", "c1"), (2, "p1", "i2", "c1"), (3, "p2", None, None)]
     assert len(asked) == 2 and not any(_reads(pairs, *RAW) for pairs in asked)
+
+
+def test_full_detail_of_raw_tables_reads_patents_once(spark, tmp_path):
+    star = _raw_folder_star(spark, tmp_path)
+    found = reports.patents_full_detail(star)
+    assert rows(found) == [
+        ("p1", "One", 2020, "Ann Lee", "United States", "Group"),
+        ("p1", "One", 2020, "Bo Ek", "Sweden", "Group"),
+        ("p2", "Two", 2021, None, None, None),
+        ("p3", "Three", 2021, None, None, None),
+    ]
+    assert not _reads(found, "raw_patent")
