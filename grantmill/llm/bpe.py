@@ -97,10 +97,10 @@ class WordVocabulary:
         )
         self.marks = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or "(?!)")
         self.bytes_of = {s: b for b, s in enumerate(symbols)}
-        self.ids_of_word: Remembered[bytes] = Remembered(REMEMBERED)
-        self.ids_of_block: Remembered[bytes] = Remembered(REMEMBERED)
-        self.size_of_word: Remembered[int] = Remembered(2 * REMEMBERED)
-        self.size_of_block: Remembered[int] = Remembered(2 * REMEMBERED)
+        self.ids_of_word: Remembered[bytes] = Remembered(REMEMBERED, __name__)
+        self.ids_of_block: Remembered[bytes] = Remembered(REMEMBERED, __name__)
+        self.size_of_word: Remembered[int] = Remembered(2 * REMEMBERED, __name__)
+        self.size_of_block: Remembered[int] = Remembered(2 * REMEMBERED, __name__)
 
     @functools.cached_property
     def library(self):

@@ -83,16 +83,39 @@ def texts(batch: pa.RecordBatch, column: int) -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
+_held: dict[int, dict | Remembered] = {}
+_holder = ""
+
+
+def hold(owner: str, memory: dict | Remembered) -> None:
+    """Let one operator at a time remember in this process; what the one before it remembered is forgotten.
+
+    Python workers serve the steps of a session in turn, and would end with what all of them remembered.
+    """
+    global _holder
+    if owner != _holder:
+        for kept in _held.values():
+            kept.clear()
+        _held.clear()
+        _holder = owner
+    _held[id(memory)] = memory
+
+
 class Remembered[V]:
     """A bounded memory of two generations: what was used since the last turn, and before it."""
 
-    def __init__(self, limit: int):
+    def __init__(self, limit: int, owner: str = ""):
         self.limit = limit
+        self.owner = owner
         self.now: dict[str, V] = {}
         self.before: dict[str, V] = {}
 
+    def clear(self) -> None:
+        self.now, self.before = {}, {}
+
     def turn(self) -> dict[str, V]:
         """The current generation, a new one if it is full."""
+        hold(self.owner, self)
         if len(self.now) > self.limit:
             self.now, self.before = {}, self.now
         return self.now
@@ -104,8 +127,9 @@ class Remembered[V]:
         return keys - old
 
 
-def remember(cache: dict, limit: int) -> None:
+def remember(cache: dict, limit: int, owner: str) -> None:
     """Forget everything once a cache is full; only speed depends on it."""
+    hold(owner, cache)
     if len(cache) > limit:
         with suppress(KeyError):
             cache.clear()

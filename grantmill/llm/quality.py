@@ -194,7 +194,7 @@ def slots(token: str) -> tuple[int, int]:
 def hashed(text: str) -> tuple[list[int], list[float]]:
     """Slots of a text and their shares of its tokens."""
     tokens = text.split()
-    remember(_slots, REMEMBERED)
+    remember(_slots, REMEMBERED, __name__)
     counts: Counter[int] = Counter()
     for token, n in Counter(tokens).items():
         for slot in slots(token):

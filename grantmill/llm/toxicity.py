@@ -79,7 +79,7 @@ def _coded(word: str) -> bytes:
 def windows(text: str) -> list[bytes]:
     """The coded windows of a whole text."""
     words = WORD.findall(text.lower())
-    remember(_codes, REMEMBERED)
+    remember(_codes, REMEMBERED, __name__)
     return [b"".join(map(_coded, words[i : i + WINDOW_WORDS])) for i in range(0, len(words), WINDOW_WORDS)]
 
 
