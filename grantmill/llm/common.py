@@ -115,7 +115,8 @@ class Remembered[V]:
 
     def turn(self) -> dict[str, V]:
         """The current generation, a new one if it is full."""
-        hold(self.owner, self)
+        if self.owner:
+            hold(self.owner, self)
         if len(self.now) > self.limit:
             self.now, self.before = {}, self.now
         return self.now
