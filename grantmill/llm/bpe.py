@@ -20,8 +20,9 @@ import heapq
 import json
 import re
 import unicodedata
+from collections import defaultdict
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -46,9 +47,12 @@ OTHER_SCRIPT = re.compile("[^\u0000-\u036f\u2000-\u206f\u20ac]")
 # The Unicode white space characters (fixed values).
 BLANK = "\\x09-\\x0d\\x20\\x85\\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 BLANKS = re.compile(f"[{BLANK}]+")
+# What may part a run without ASCII white space.
+PARTS_RUN = re.compile(rf"<\||[{BLANK}]")
 # What str.split takes for white space beyond these.
 NOT_BLANK = "\x1c\x1d\x1e\x1f"
 ROWS_AT_ONCE = 256
+RUNS_AT_ONCE = 1 << 18
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 
 
@@ -64,6 +68,13 @@ def _class(kind: str) -> str:
     return "".join(re.escape(chr(c)) for c in range(0x370) if unicodedata.category(chr(c))[0] == kind)
 
 
+def numbering() -> defaultdict[str, int]:
+    """Numbers strings from 0 in the order in which they are first asked for."""
+    numbers: defaultdict[str, int] = defaultdict()
+    numbers.default_factory = numbers.__len__
+    return numbers
+
+
 class WordVocabulary:
     """Merges, symbols and word splitting of one tokenizer file."""
 
@@ -90,6 +101,11 @@ class WordVocabulary:
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order].astype(np.uint32), order
         self.merged = np.array([ids[a + b] for a, b in pairs], np.int64)
+        # The bytes' symbols are most pairs that are looked up: their ranks by place in a square.
+        self.low = 1 + int(max(self.inner.max(), self.last.max()))
+        pairs_of_bytes = (self.keys >> 16 < self.low) & (self.keys & 0xFFFF < self.low)
+        self.low_ranks = np.full((self.low + 1, self.low + 1), NONE)
+        self.low_ranks[self.keys[pairs_of_bytes] >> 16, self.keys[pairs_of_bytes] & 0xFFFF] = order[pairs_of_bytes]
         self.rank_of = dict(zip(keys.tolist(), range(len(keys)), strict=True))
         letters, numbers = _class("L"), _class("N")
         self.split = re.compile(
@@ -149,6 +165,25 @@ class WordVocabulary:
             return [normal[:-1], normal[-1]]
         return self.split.findall(normal)
 
+    def words_of(self, blocks: list[str]) -> list[str | list[str]]:
+        """The words of each of many blocks, as by `words`; a single one as it is.
+
+        No step of normalising reaches across a blank, so all blocks are normalised as one line.
+        """
+        line = " ".join(blocks)
+        normal = line.lower() if line.isascii() else unicodedata.normalize("NFC", line).lower()
+        plain = normal.isascii() or not OTHER_SCRIPT.search(normal)
+        return [
+            self._words_by_library(b)
+            if not (plain or n.isascii()) and OTHER_SCRIPT.search(n)
+            else n
+            if n.isalpha()
+            else [n[:-1], n[-1]]
+            if n[-1] in ".,|!" and n[:-1].isalpha()
+            else self.split.findall(n)
+            for b, n in zip(blocks, normal.split(" ") if blocks else [], strict=True)
+        ]
+
     def _words_by_library(self, block: str) -> list[str]:
         normal = self.library.normalizer.normalize_str(block)
         pieces = self.library.pre_tokenizer.pre_tokenize_str(normal)
@@ -240,8 +275,8 @@ def merge_by_trees(vocab: WordVocabulary, words: list[str]) -> list[bytes]:
             for row in rows.tolist():
                 out[row] = np.array(merge_by_tree(vocab, words[row]), "<u4").tobytes()
             continue
-        for start in range(0, len(rows), 1 << 15):
-            part = rows[start : start + (1 << 15)]
+        for start in range(0, len(rows), 1 << 13):
+            part = rows[start : start + (1 << 13)]
             ids, live = _merge_table(vocab, [coded[r] for r in part.tolist()], sizes[part], width)
             flat = ids[live].astype("<u4").tobytes()
             ends = (live.sum(axis=1).cumsum() * 4).tolist()
@@ -271,7 +306,8 @@ def _merge_table(
     place = np.arange(width)
     tree = np.full((n, 2 * width), NONE)
     # The last place of a row holds no symbol, so the pair across its edge is none.
-    ranks = vocab.pair_ranks(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(n, width - 1)
+    low = np.minimum(ids, vocab.low)
+    ranks = vocab.low_ranks[low[:, :-1], low[:, 1:]]
     tree[:, width:-1] = np.where(ranks == NONE, NONE, (ranks & LOW) << shift | place[:-1])
     for i in range(width - 1, 0, -1):
         np.minimum(tree[:, 2 * i], tree[:, 2 * i + 1], out=tree[:, i])
@@ -312,18 +348,60 @@ def _merge_table(
     return ids.reshape(n, width), live.reshape(n, width)
 
 
-def encode_texts(vocab: WordVocabulary, given: list[str]) -> list[bytes]:
-    """Ids of each text, as little-endian 32-bit numbers."""
+def encode_blocks(vocab: WordVocabulary, blocks: list[str]) -> list[bytes]:
+    """Ids of different runs without ASCII white space, as little-endian 32-bit numbers."""
     known, of_word = vocab.ids_of_block.turn(), vocab.ids_of_word.turn()
+    known[""] = b""
     known.update((mark, np.array([i], "<u4").tobytes()) for mark, i in vocab.special.items())
-    split = [vocab.blocks(t) for t in given]
-    new = set().union(*split) - known.keys()
-    words = {b: vocab.words(b) for b in vocab.ids_of_block.recall(new)}
-    unseen = list(vocab.ids_of_word.recall({w for parts in words.values() for w in parts if w not in of_word}))
+    found = list(map(known.get, blocks))
+    new = list(vocab.ids_of_block.recall({b for b, ids in zip(blocks, found, strict=True) if ids is None}))
+    # Special strings and other white space inside a run part it further.
+    odd = [b for b in new if PARTS_RUN.search(b)] if PARTS_RUN.search("".join(new)) else []
+    parted = {b: parts for b in odd if (parts := vocab.blocks(b)) != [b]}
+    if parted:
+        inner = list(set().union(*parted.values()))
+        of_inner = dict(zip(inner, encode_blocks(vocab, inner), strict=True))
+        known.update((b, b"".join([of_inner[p] for p in parts])) for b, parts in parted.items())
+        new = [b for b in new if b not in known]
+    # The words of the new runs by number, so that each word is looked up once.
+    numbers = numbering()
+    made = [numbers[w] if type(w) is str else [numbers[x] for x in w] for w in vocab.words_of(new)]
+    words = list(numbers)
+    unseen = list(vocab.ids_of_word.recall({w for w in words if w not in of_word}))
     of_word.update(zip(unseen, merge_by_trees(vocab, unseen), strict=True))
-    for block, parts in words.items():
-        known[block] = of_word[parts[0]] if len(parts) == 1 else b"".join([of_word[w] for w in parts])
-    return [b"".join(map(known.__getitem__, blocks)) for blocks in split]
+    coded = list(map(of_word.__getitem__, words))
+    known.update(
+        (block, coded[word] if type(word) is int else b"".join([coded[w] for w in word]))
+        for block, word in zip(new, made, strict=True)
+    )
+    return [known[b] if ids is None else ids for b, ids in zip(blocks, found, strict=True)]
+
+
+def encode_texts(vocab: WordVocabulary, given: list[str]) -> list[bytes]:
+    """Ids of each text, as little-endian 32-bit numbers.
+
+    Each different run without white space is looked up once for all texts; the ids are then
+    put in the order of the texts together.
+    """
+    split = pc.ascii_split_whitespace(pa.array(given, pa.string()))
+    runs = split.flatten().dictionary_encode()
+    flat, bounds = runs.indices.to_numpy(), split.offsets.to_numpy()
+    if not len(flat):
+        return [b""] * len(given)
+    line = pc.binary_join(pa.ListArray.from_arrays([0, len(runs.dictionary)], runs.dictionary), " ")
+    coded = encode_blocks(vocab, line[0].as_py().split(" "))
+    ids = np.frombuffer(b"".join(coded), "<u4")
+    sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+    starts = sizes.cumsum() - sizes
+    ordered = []
+    for at in range(0, len(flat), RUNS_AT_ONCE):
+        some = flat[at : at + RUNS_AT_ONCE]
+        length = sizes[some]
+        ends = length.cumsum()
+        ordered.append(ids[np.repeat(starts[some] - ends + length, length) + np.arange(ends[-1])].tobytes())
+    whole = b"".join(ordered)
+    cuts = 4 * np.concatenate([[0], sizes[flat].cumsum()])[bounds - bounds[0]]
+    return [whole[begin:end] for begin, end in pairwise(cuts.tolist())]
 
 
 # --- counting: a heap of pairs over a linked list of symbols -------------------------------

@@ -60,7 +60,7 @@ def cut(
         known = bpe.vocabulary(vocab.value)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for part in chunks(batch, 1, 2 << 20):
+            for part in chunks(batch, 1):
                 rows, starts, ids = [], [], []
                 for row, coded in enumerate(bpe.encode_texts(known, texts(part, 1))):
                     coded += end
@@ -291,12 +291,8 @@ def pack(pieces: DataFrame, limit: int = 4096, length_col: str = "length") -> Da
     length = F.col("row").getField(length_col)
     sized = keyed.select("id", length.cast("long").alias("size")).where((F.col("size") >= 1) & (F.col("size") <= limit))
     sequences = assign(sized, limit)
-    offset = F.sum(length).over(Window.partitionBy("sequence").orderBy("id").rowsBetween(Window.unboundedPreceding, -1))
-    # At most `limit` pieces share a sequence, so the window's groups are small.
-    joined = keyed.join(sequences, "id", "left")
-    fit = joined.where("sequence is not null").withColumn("offset", F.coalesce(offset, F.lit(0)).cast("long"))
-    out = fit.select("row.*", F.col("sequence").alias("sequence_id"), "offset")
-    unfit = joined.where("sequence is null").select(
-        "row.*", F.lit(None).cast("long").alias("sequence_id"), F.lit(None).cast("long").alias("offset")
-    )
-    return out.unionByName(unfit)
+    # At most `limit` pieces share a sequence and those without one stand alone, so the window's groups are small.
+    together = Window.partitionBy(F.coalesce("sequence", -1 - F.col("id"))).orderBy("id")
+    offset = F.coalesce(F.sum(length).over(together.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    placed = keyed.join(sequences, "id", "left").withColumn("offset", F.when(F.col("sequence").isNotNull(), offset))
+    return placed.select("row.*", F.col("sequence").alias("sequence_id"), "offset")

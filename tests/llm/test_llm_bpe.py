@@ -74,6 +74,41 @@ def test_a_full_memory_changes_nothing(vocab, library):
     assert len(memory.now) < 20
 
 
+def test_runs_are_looked_up_once_for_all_texts(vocab, library):
+    class Counted(dict):
+        asked = 0
+
+        def get(self, key, default=None):
+            Counted.asked += 1
+            return super().get(key, default)
+
+        def __getitem__(self, key):
+            Counted.asked += 1
+            return super().__getitem__(key)
+
+    memory = bpe.Remembered(1000)
+    memory.now = Counted()
+    old, vocab.ids_of_block = vocab.ids_of_block, memory
+    try:
+        got = bpe.encode_texts(vocab, ["the cat, the dog"] * 50)
+    finally:
+        vocab.ids_of_block = old
+    assert got == [np.array(as_library(library, "the cat, the dog"), "<u4").tobytes()] * 50
+    assert Counted.asked <= 6
+
+
+def test_all_kinds_of_blanks_marks_and_scripts_together(vocab, library):
+    texts = [
+        "", " ", "  a  b ", "".join(f"x{chr(c)}y{chr(c)}{chr(c)}" for c in range(33)), "a\x85b\xa0c\u1680d\u2000e\u2028f\u3000",
+        "x<|endoftext|>y <|endoftext|> <|end <|startoftext|><|endoftext|>\u2003z", "\xa0", "İΣ ΑΣ.", "e\u0301. \u0301 E\u0301x",
+        "<| |>", "кот,кот cat中文\u3000cat", "it's IT'S 'll",
+    ]
+    want = [np.array(as_library(library, t), "<u4").tobytes() for t in texts]
+    assert bpe.encode_texts(vocab, texts) == want
+    assert [bpe.encode_texts(vocab, [t])[0] for t in texts] == want
+    assert bpe.encode_texts(vocab, []) == []
+
+
 def test_round_trip_of_a_table(spark, library):
     vocab = bpe.load(spark, PATH)
     encoded = bpe.encode(documents(spark), vocab).withColumn("decoded", bpe.decode(vocab)("ids"))
