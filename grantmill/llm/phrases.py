@@ -17,6 +17,7 @@ a tile are merged along a tree, and ids go back to chunks for the pairs they hol
 from __future__ import annotations
 
 import math
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -43,6 +44,9 @@ CLASSES = TILE_IDS << np.arange(21, dtype=np.int64)
 LISTS_MERGED = 256
 LIST_ENTRIES = 1 << 20
 WORDS_OF_A_PART = 1 << 31
+# Words that chunks ask one task for, and at least so many for each id that is sent to answer them.
+ASKED_WORDS = 1 << 19
+ASKED_PER_ID = 16
 
 # What ends a piece, and what separates words.
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -51,6 +55,7 @@ END = b"."
 
 UNITS = "chunk long, places binary, ids binary"
 LISTS = "tile long, chunk long, entries long, pairs binary, counts binary"
+WORD_LISTS = "lang string, part int, chunk long, places binary, words binary"
 _UPPER = bytes(range(ord("A"), ord("Z") + 1))
 _PLAIN = bytes.maketrans(_UPPER + PIECE_ENDS + BLANKS, _UPPER.lower() + END * len(PIECE_ENDS) + b" " * len(BLANKS))
 
@@ -308,22 +313,77 @@ def _unit(chunk: list[int], places: np.ndarray | None, ids: np.ndarray | None) -
     return pa.table({"chunk": pa.array(chunk, pa.int64()), "places": kept[0], "ids": kept[1]})
 
 
-def word_units(chunks: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of UNITS: the chunks with the ids of rows (lang, word, id); 0 for other words."""
-    listed = chunks.select("chunk", "lang", F.posexplode("words").alias("place", "word"))
-    # Shuffled at every size: the ids are as many as the corpus makes them.
-    told = listed.join(ids.select("lang", "word", "id").hint("merge"), ["lang", "word"]).select(F.col("chunk").alias("asker"), "place", "id")
+def _word_lists(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows (lang, part, chunk, places, words) as rows of WORD_LISTS."""
+    made = [
+        (lang, part, chunk, packed(at, rising=True), zstandard.ZstdCompressor(level=1).compress(b" ".join(words)))
+        for lang, part, chunk, at, words in rows
+    ]
+    names = ("lang", "part", "chunk", "places", "words")
+    kinds = (pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+    columns = zip(*made, strict=True) if made else [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+
+def word_lists(chunks: DataFrame, parts: int) -> DataFrame:
+    """Rows of WORD_LISTS: for every chunk its words and their numbers, in one of so many parts each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                chunk, lang = batch.column("chunk")[row].as_py(), batch.column("lang")[row].as_py()
+                words = batch.column("words")[row].values.cast(pa.binary()).to_pylist()
+                at = np.arange(1, len(words) + 1)
+                part = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % parts if parts > 1 else at * 0
+                order = np.argsort(part, kind="stable")
+                cuts = np.flatnonzero(np.diff(part[order])) + 1
+                groups = np.split(order, cuts) if len(order) else []
+                yield _word_lists([(lang, int(part[w[0]]), chunk, at[w], [words[i] for i in w]) for w in groups])
 
-    def run(bodies: pa.Table, told: pa.Table) -> pa.Table:
+    return chunks.select("chunk", "lang", "words").mapInArrow(run, WORD_LISTS)
+
+
+def word_units(chunks: DataFrame, ids: DataFrame, number: int, listed: int, frequent: int) -> DataFrame:
+    """Rows of UNITS: the chunks with the ids of rows (lang, word, id); 0 for other words.
+
+    Chunks ask with lists, as many words to a task as ASKED_WORDS. The ids of a part of the words
+    meet the lists of some chunks at a time: of so many that the ids sent again and again stay
+    in proportion to the words asked for.
+    """
+    cells = max(1, math.ceil(listed / ASKED_WORDS))
+    groups = max(1, min(cells, number, listed // (ASKED_PER_ID * frequent)))
+    parts = math.ceil(cells / groups)
+    key = ("lang", "part", "group")
+    word = F.col("word").cast("binary")
+    told = ids.select("lang", F.pmod(F.crc32(word), F.lit(parts)).cast("int").alias("part"), word.alias("word"), "id",
+                      F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
+    asked = word_lists(chunks, parts).withColumn("group", F.pmod(F.xxhash64("chunk"), F.lit(groups)).cast("int"))
+
+    def answer(asked: pa.Table, told: pa.Table) -> pa.Table:
+        known = dict(zip(told.column("word").to_pylist(), told.column("id").to_pylist(), strict=True))
+        made = [_unit([], None, None)]
+        for row in range(asked.num_rows if known else 0):
+            words = zstandard.ZstdDecompressor().decompress(asked.column("words")[row].as_py()).split(b" ")
+            found = np.fromiter((known.get(w, 0) for w in words), np.int64, len(words))
+            hit = np.flatnonzero(found)
+            if len(hit):
+                at = unpacked(asked.column("places")[row].as_py(), rising=True)
+                made.append(_unit([asked.column("chunk")[row].as_py()], at[hit], found[hit]))
+        return pa.concat_tables(made)
+
+    answers = asked.groupBy(*key).cogroup(told.groupBy(*key)).applyInArrow(answer, UNITS)
+
+    def put(bodies: pa.Table, answers: pa.Table) -> pa.Table:
         if not bodies.num_rows:
             return _unit([], None, None)
         body = unpacked(bodies.column("body")[0].as_py())
         table = np.zeros(int(body.max(initial=0)) + 1, np.int64)
-        table[told.column("place").to_numpy() + 1] = told.column("id").to_numpy()
+        for at, found in zip(answers.column("places").to_pylist(), answers.column("ids").to_pylist(), strict=True):
+            table[unpacked(at, rising=True)] = unpacked(found)
         return _unit(bodies.column("chunk").to_pylist(), None, table[body])
 
     bodies = chunks.select("chunk", "body")
-    return bodies.groupBy("chunk").cogroup(told.groupBy("asker")).applyInArrow(run, UNITS)
+    return bodies.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(put, UNITS)
 
 
 def pair_units(units: DataFrame, lists: DataFrame, ids: DataFrame, chunks: int, entries: int, frequent: int) -> DataFrame:
@@ -389,7 +449,8 @@ def frequent_phrases(
     """
     chunks = materialize(word_chunks(df, lang_col, text_col), "chunks")
     totals = chunks.groupBy("lang").agg(F.sum("total").alias("n"))
-    number, words = chunks.agg(F.count("*"), F.coalesce(F.sum("total"), F.lit(0))).first()
+    sums = [F.coalesce(F.sum(x), F.lit(0)) for x in (F.col("total"), F.size("counts"))]
+    number, words, listings = chunks.agg(F.count("*"), *sums).first()
     parts = max(1, math.ceil(words / WORDS_OF_A_PART))
 
     listed = chunks.select("lang", F.inline(F.arrays_zip("words", "counts")))
@@ -403,9 +464,10 @@ def frequent_phrases(
             "phrases",
         )
     ]
-    if tables[0].isEmpty():
+    known = tables[0].count()
+    if not known:
         return [], totals
-    units = word_units(chunks, tables[0].select("lang", F.col("words")[0].alias("word"), "id"))
+    units = word_units(chunks, tables[0].select("lang", F.col("words")[0].alias("word"), "id"), number, listings, known)
     for length in range(2, longest + 1):
         units = materialize(units, "units")
         lists = materialize(pair_lists(units, parts), "pair_lists")

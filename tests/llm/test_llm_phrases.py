@@ -113,3 +113,44 @@ def test_packed_numbers_come_back():
         assert (phrases.unpacked(phrases.packed(given)) == given).all()
         given.sort()
         assert (phrases.unpacked(phrases.packed(given, rising=True), rising=True) == given).all()
+
+
+def rows_made(plan):
+    """Output rows of all steps of an executed plan."""
+    if "AdaptiveSparkPlanExec" in plan.getClass().getName():
+        return rows_made(plan.executedPlan())
+    if "QueryStageExec" in plan.getClass().getName():
+        return rows_made(plan.plan())
+    children = plan.children()
+    metric = plan.metrics().get("numOutputRows")
+    return (metric.get().value() if metric.isDefined() else 0) + sum(rows_made(children.apply(i)) for i in range(children.size()))
+
+
+def test_ids_of_words_are_told_in_lists(spark, monkeypatch):
+    """Twelve times the texts have more words that are frequent, each in more chunks; no step has a row for every such word of a chunk."""
+    monkeypatch.setattr(phrases, "CHUNK_WORDS", 2000)
+    made, look_up = [], phrases.word_units
+
+    def watched(*args):
+        made.append(look_up(*args))
+        return made[-1]
+
+    monkeypatch.setattr(phrases, "word_units", watched)
+    rows = [("en", " ".join(f"w{(i * k) % 499}" for i in range(1000))) for k in range(1, 9)]
+    for times in (1, 12):
+        phrases.frequent_phrases(frame(spark, rows * times), least=10, longest=2)
+        assert {len(r.ids) > 0 for r in made[-1].collect()} == {True}
+    few, many = (rows_made(df._jdf.queryExecution().executedPlan()) for df in made)
+    told = 12 * 8 * 1000 // 2000 * 499
+    assert many < told / 2
+    assert many <= 12 * few
+
+
+@pytest.mark.parametrize(("asked", "per_id"), [(4, 1), (4, 1000), (64, 1)])
+def test_words_in_parts_and_groups(spark, monkeypatch, asked, per_id):
+    """Ids of several parts of the words meet several groups of chunks; words of other scripts are in the same part on both sides."""
+    monkeypatch.setattr(phrases, "CHUNK_WORDS", 40)
+    monkeypatch.setattr(phrases, "ASKED_WORDS", asked)
+    monkeypatch.setattr(phrases, "ASKED_PER_ID", per_id)
+    rows = [*sayings(60, seed=7), ("en", None), ("fr", " . "), ("de", "only here")]
+    assert found(phrases.collocations(frame(spark, rows), least=3)) == slow_collocations(rows, 3)
