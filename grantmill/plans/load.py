@@ -33,7 +33,7 @@ from grantmill.operators.joins import fresh_key, lookup_left, pair_per_patent
 from grantmill.plans.clean import COMPANY_ID, INVENTOR_ID, KEPT_TYPES, Names, typed_patents
 from grantmill.plans.reports import company_counts_by_year
 from grantmill.plans.star import RawStar, RawTables, StoredStar
-from grantmill.session import delete_path, list_folder, make_folder, materialize, run_together, scratch_area
+from grantmill.session import delete_path, list_folder, make_folder, materialize, run_together, scratch_area, shuffles_dropped
 
 KEPT, REJECTED = "kept", "rejected"
 # Reasons in the order they are asked; a row has the first that holds.
@@ -48,6 +48,8 @@ COUNTS = {
     "company_year_counts": "year int, company string, patent_count long",
 }
 _MANIFEST = "version long, loads array<string>, relationships long, report array<struct<table: string, outcome: string, row_count: long>>"
+# Versions and rejected rows stay on disk, so they are stored smaller than by Spark's default.
+_STORED = {"compression": "zstd"}
 _PATENT_ORDER = ("filing_date", "patent_type", "wipo_kind", "title", "abstract")
 
 
@@ -196,7 +198,7 @@ def _write_routed(df: DataFrame, path: str, table: str, reasons: Sequence[str],
     named = F.coalesce("reason", F.lit(KEPT))
     counts = [F.coalesce(F.sum(F.when(named == r, rows)), F.lit(0)).cast("long").alias(r) for r in (KEPT, *reasons)]
     placed = df.withColumn("outcome", outcome).observe(seen, *counts)
-    (placed.hint("rebalance", "outcome", *by) if by else placed).write.partitionBy("outcome", *by).parquet(path)
+    (placed.hint("rebalance", "outcome", *by) if by else placed).write.options(**_STORED).partitionBy("outcome", *by).parquet(path)
     # Both outcomes can be read, also where no row has one of them.
     for folder in (KEPT, REJECTED):
         make_folder(df.sparkSession, f"{path}/outcome={folder}")
@@ -229,32 +231,30 @@ def _load(spark: SparkSession, raw: RawTables, root: str, names: Names, rows: in
 
     def write_new(entities: DataFrame, stored: DataFrame, table: str, key: str) -> None:
         new = entities.join(fresh_key(stored.select(key), key), key, "left_anti") if add else entities
-        align_to_schema(new, schemas.TARGETS[table]).write.parquet(path(table))
+        align_to_schema(new, schemas.TARGETS[table]).write.options(**_STORED).parquet(path(table))
 
     def write_pairs(table: str, given: DataFrame | None, other: DataFrame, candidates: Sequence[str], key: str, entities: DataFrame) -> None:
         routed = route_pairs(other if given is None else given, candidates, key, alone.patents, entities)
         reasons = (*PAIR_REASONS, ORPHANED)
         report.extend(_write_routed(routed, path(table), table, reasons, F.col("row_count")))
 
-    with scratch_area(spark):
+    with scratch_area(spark), shuffles_dropped(spark):
         run_together(
             spark,
             write_patents,
             lambda: write_new(source.inventors, before.inventors, "inventors", "inventor_id"),
             lambda: write_new(source.companies, before.companies, "companies", "company_id"),
         )
-        run_together(
-            spark,
-            lambda: write_pairs("patent_inventor", raw.raw_patent_inventor, raw.raw_inventor, INVENTOR_ID, "inventor_id", after.inventors),
-            lambda: write_pairs("patent_company", raw.raw_patent_assignee, raw.raw_assignee, COMPANY_ID, "company_id", after.companies),
-        )
+        # These are a load's largest shuffles; one after the other, only one table's are on disk at a time.
+        write_pairs("patent_inventor", raw.raw_patent_inventor, raw.raw_inventor, INVENTOR_ID, "inventor_id", after.inventors)
+        write_pairs("patent_company", raw.raw_patent_assignee, raw.raw_assignee, COMPANY_ID, "company_id", after.companies)
         numbered = surrogate_id(pair_per_patent(alone.patent_inventor, alone.patent_company))
         seen = Observation()
         moved = numbered.withColumn("id", F.col("id") + before.manifest.relationships).observe(seen, F.count("*").alias("rows"))
-        align_to_schema(moved, schemas.RELATIONSHIPS).write.parquet(path("relationships"))
+        align_to_schema(moved, schemas.RELATIONSHIPS).write.options(**_STORED).parquet(path("relationships"))
         yearly = alone.patents.where(F.col("year").isNotNull()).groupBy("year").agg(F.count("*").alias("patent_count"))
-        yearly.write.parquet(path("year_counts"))
-        _company_years(alone, after).write.parquet(path("company_year_counts"))
+        yearly.write.options(**_STORED).parquet(path("year_counts"))
+        _company_years(alone, after).write.options(**_STORED).parquet(path("company_year_counts"))
     made = _observed(seen).get("rows", 0)
     report.append(("relationships", KEPT, made))
     done = Manifest(base.version + 1, after.manifest.loads, before.manifest.relationships + made, tuple(sorted(report)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 import pytest
@@ -137,3 +138,57 @@ def test_a_load_leaves_no_scratch(spark, tmp_path, monkeypatch):
     load.replace_star(spark, raw(spark, *FIRST), f"{tmp_path}/star")
     build_star(spark, raw(spark, *FIRST), f"{tmp_path}/plain")
     assert made and not list(shared.iterdir())
+
+
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+    return {f for f in files.split("\n") if "/shuffle_" in f}
+
+
+def left_after(spark, before, seconds=10):
+    """New shuffle files that are still there; Spark deletes them in the background."""
+    for _ in range(seconds * 10):
+        if not (left := shuffle_files(spark) - before):
+            break
+        time.sleep(0.1)
+    return left
+
+
+def test_shuffles_of_a_load_do_not_pile_up(spark, tmp_path, monkeypatch):
+    """They go with the action that made them: one pair table's before the other's are written, and all of them at the end."""
+    before, left, write = shuffle_files(spark), {}, load._write_routed
+
+    def write_routed(df, path, table, *more, **named):
+        if table == "patent_company":
+            left[table] = left_after(spark, before)
+        counts = write(df, path, table, *more, **named)
+        if table != "patents":
+            left[f"{table}, written"] = left_after(spark, before)
+        return counts
+
+    monkeypatch.setattr(load, "_write_routed", write_routed)
+    star = load.add_to_star(spark, raw(spark, *FIRST), f"{tmp_path}/star")
+    star = load.add_to_star(spark, raw(spark, *SECOND), f"{tmp_path}/star")
+    left["loads"] = left_after(spark, before)
+    assert len(left) == 4 and not any(left.values())
+    assert rows(reports.yearly_trend(star)) == [(2020, 3)]
+
+
+def test_loads_leave_the_shuffle_setting_as_it_was(spark, tmp_path, monkeypatch, settings):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    inside = []
+    monkeypatch.setattr(load, "_company_years", lambda *_: inside.append(spark.conf.get(name)) or 1 / 0)
+    for old in (None, "false", "true"):
+        if old is not None:
+            settings(classic__shuffleDependency__fileCleanup__enabled=old)
+        given = spark.conf.get(name, None)
+        with pytest.raises(ZeroDivisionError):
+            load.replace_star(spark, raw(spark, *FIRST), f"{tmp_path}/star")
+        assert spark.conf.get(name, None) == given
+    assert inside == ["true"] * 3
+
+
+def test_stored_tables_are_small_files(spark, tmp_path):
+    load.replace_star(spark, raw(spark, *FIRST), f"{tmp_path}/star")
+    files = [f.name for f in (tmp_path / "star").rglob("*.parquet")]
+    assert files and all(f.endswith(".zstd.parquet") for f in files)
